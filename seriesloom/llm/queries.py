@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from seriesloom.llm import mixing, packing, quantiles, splits
+from seriesloom.llm import linkage, mixing, packing, quantiles, splits
 from seriesloom.llm.tokens import n_tokens
 from seriesloom.util import stage, table
 
@@ -13,6 +14,32 @@ QS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 KEYS = ["uid", "metric"]
 
 
+def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    bins = table(spark, d, "bins")
+    n = bins.count()  # fixed catalogue of bins
+    at = bins.select("chrom", "bin_idx", (F.row_number().over(Window.orderBy("chrom_rank", "bin_idx")) - 1).alias("pos"))
+    seg = F.when(~F.isnan("segmented") & (F.abs("segmented") < 1e6), F.bround("segmented", 0)).cast("int")
+    rows = table(spark, d, "assaydata").select("name", "chrom", "bin_idx", F.coalesce("copynumber", seg).alias("state"), F.col("loaded_at").alias("at"))
+    return rows.join(F.broadcast(at), ["chrom", "bin_idx"]).select("name", "pos", "state", "at"), n
+
+
+#: Fixed values of TESTDATA.md: bins known in both, and the largest share of them that may differ.
+LEAST_KNOWN, MOST_SHARE = 60, 0.125
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cells in clusters of two or more, with the smallest name of the cluster."""
+    cells, n = _profiles(spark, d)
+    return linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE)[0].select("name", "cluster_name")
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical cells of each cluster."""
+    cells, n = _profiles(spark, d)
+    members, planes = linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE)
+    return linkage.describe(members, planes, n)
+
+
 def _measures(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pdata").select(splits.uid_of(F.col("uid"), F.col("name")).alias("uid"), F.to_date("loaded_at").alias("day"), "rpc", "ploidy")
     each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("rpc", "ploidy")])
@@ -94,6 +121,6 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(r, t), r, t)
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares)}
 
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seriesloom.llm import linkage, mixing, packing, quantiles, splits
+from seriesloom.llm import linkage, mixing, packing, quantiles, residue, splits
 from seriesloom.llm.tokens import n_tokens
 from seriesloom.util import stage, table
 
@@ -121,6 +121,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(r, t), r, t)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Speeches that hold template residue, filler, error-page text or script notices."""
+    return residue.residue(table(spark, d, "documents"), "doc_id", "text", "sitting").select("doc_id")
+
+
+def p8_residue(spark: SparkSession, d: str) -> DataFrame:
+    """The same with kind, probability and sentence."""
+    return residue.residue(table(spark, d, "documents"), "doc_id", "text", "sitting").withColumn("p", F.round("p", 4))
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of sittings that weren't used for fitting, by weak label, and how many the classifier flags."""
+    return residue.validation(table(spark, d, "documents"), "doc_id", "text", "sitting")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
 
 ORACLES: dict[str, str] = {}

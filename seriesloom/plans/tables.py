@@ -278,14 +278,14 @@ def paired_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(CELLS + """, c as (select uid, read_size, count(*) n from cells where read_size is not null group by 1, 2), m as (select uid, read_size from (select *, row_number() over (partition by uid order by n desc, read_size) rn from c) where rn = 1)
-select row_id, m.read_size as usual_size, round(used_reads * (cast(is_paired as int) + 1) * m.read_size / 3.2e9, 12) as depth from cells join m on cells.uid = m.uid""")
+select row_id, m.read_size as usual_size, round(used_reads * (cast(is_paired as int) + 1) * m.read_size / 3.2e9, 15) as depth from cells join m on cells.uid = m.uid""")
 def read_length_mode(spark: SparkSession, d: str) -> DataFrame:
     """Most frequent read size of each UID, and coverage by it."""
     from seriesloom.operators.metrics import modes
 
     c = cells(spark, d).select("row_id", "uid", "used_reads", "is_paired", "read_size")
     m = modes(c, ["uid"], "read_size").select("uid", F.col("mode").alias("usual_size"))
-    return c.join(m, "uid").select("row_id", "usual_size", F.round(F.col("used_reads") * (F.col("is_paired").cast("int") + 1) * F.col("usual_size") / 3.2e9, 12).alias("depth"))
+    return c.join(m, "uid").select("row_id", "usual_size", F.round(F.col("used_reads") * (F.col("is_paired").cast("int") + 1) * F.col("usual_size") / 3.2e9, 15).alias("depth"))
 
 
 @R.add("""with n as (select chrom, chrom_rank, max(end_pos) size from bins group by 1, 2), o as (select *, coalesce(sum(size) over (order by chrom_rank rows between unbounded preceding and 1 preceding), 0) as off from n)

@@ -66,3 +66,16 @@ def int_state(x: Column) -> Column:
 def strip(x: Column) -> Column:
     """Outer blanks of any kind removed."""
     return F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")
+
+
+def spread_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitions on ``keys`` in a number that adaptive execution keeps: for kernels whose work is large against their bytes."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for all cores where the scan has fewer; a scan that has enough splits isn't shuffled."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(2 * want)

@@ -106,9 +106,12 @@ def overdispersion(df: DataFrame, series: str, state: str, value: str, least: in
 
 
 def bisquare_line(x: np.ndarray, y: np.ndarray, intercept: bool = True, rounds: int = 50) -> tuple[float, float, float]:
-    """(intercept, slope, robust scale) by iterated bisquare weights from a median-slope start; a documented stand-in for an MM estimate."""
+    """(intercept, slope, robust scale) by iterated bisquare weights from a least-absolute start; stands in for an MM estimate and needn't equal it."""
     design = np.column_stack([np.ones(len(x)), x]) if intercept else x[:, None]
     beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    for _ in range(30):
+        w = 1 / np.sqrt(np.maximum(np.abs(y - design @ beta), 1e-6))
+        beta = np.linalg.lstsq(design * w[:, None], y * w, rcond=None)[0]
     scale = 0.0
     for _ in range(rounds):
         r = y - design @ beta

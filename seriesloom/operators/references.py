@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.skew import salted_join
 from seriesloom.util import strip
 
 
@@ -30,13 +31,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
     ``refs`` has (src_table, row_id, ref_key, at), ``parents`` comes from :func:`parent_validity`. Both sides are
     hash-partitioned and sorted by key and merged once (sort-merge join); the parents are aggregated before their shuffle,
-    so each key meets one parent row. Their second exchange stands directly under the join: adaptive execution can
-    then split a key that holds a large share of all references. Result: src_table, row_id, period (``yyyy-MM``), reason.
+    so each key meets one parent row. Keys that hold a large share of all references are dealt to several partitions
+    (see ``skew.salted_join``). Result: src_table, row_id, period (``yyyy-MM``), reason.
     References with a null key are none. A null ``at`` can be missing or deleted (period null), never late. A parent
     without any load time is never late. Empty parents: every reference is missing.
     """
-    side = parents.repartition("ref_key").hint("merge")
-    m = refs.where("ref_key is not null").join(side, "ref_key", "left")
+    m = salted_join(refs.where("ref_key is not null"), parents, "ref_key", "row_id")
     reason = (
         F.when(F.col("alive").isNull(), "missing")
         .when(~F.col("alive"), "deleted")

@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from seriesloom.operators.references import orphan_references, parent_validity, path_key, plain_key
+from seriesloom.operators.skew import hot_keys, salted_join
 
 T = [datetime(2024, m, 1) for m in range(1, 13)]
 
@@ -34,12 +35,9 @@ def test_a_key_with_a_third_of_all_references_is_split(spark):
 
     hot = spark.range(300_000).select(F.lit("t").alias("src_table"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(lit("k"), F.col("id"))).alias("ref_key"), F.lit(T[1]).alias("at"))
     p = parents(spark, [("hot", T[0], T[1], "")]).unionByName(spark.range(50_000).select(F.concat(lit("k"), F.col("id")).alias("ref_key"), F.lit(T[0]).alias("since"), F.lit(True).alias("alive")))
-    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        df = orphan_references(hot, p)
-        assert df.count() == 100_000 + sum(1 for i in range(50_000, 300_000) if i % 3)
-    finally:
-        for k in settings:
-            spark.conf.unset(k)
+    assert [r.ref_key for r in hot_keys(hot, "ref_key").collect()] == ["hot"]
+    assert orphan_references(hot, p).count() == 100_000 + sum(1 for i in range(50_000, 300_000) if i % 3)
+    dealt = salted_join(hot, p, "ref_key", "row_id")
+    assert dealt.count() == 300_000 and dealt.where("alive is null").count() == sum(1 for i in range(50_000, 300_000) if i % 3)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [ref_key" in plan and "_salt" in plan

@@ -61,7 +61,7 @@ def components(edges: DataFrame, merges: int = 2, fan_in: int = 8, max_rounds: i
     e = e.mapInArrow(_forest, pair)
     for _ in range(merges):
         parts = max(1, parts // fan_in)
-        e = e.repartition(parts, "b").mapInArrow(_forest, pair)
+        e = e.repartition(parts).mapInArrow(_forest, pair)  # any division will do, so none can be skewed
     e = stage(e)
     mark = None
     for _ in range(max_rounds):

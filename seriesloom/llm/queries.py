@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from seriesloom.llm import linkage, mixing, packing, quantiles, residue, splits
 from seriesloom.llm.tokens import n_tokens
-from seriesloom.util import stage, table
+from seriesloom.util import spread, stage, table
 
 QS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 KEYS = ["uid", "metric"]
@@ -89,7 +89,7 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each speech, counted once."""
-    return stage(table(spark, d, "documents").repartition("doc_id").select("doc_id", "source", n_tokens(F.col("text")).alias("tokens")))
+    return stage(spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", n_tokens(F.col("text")).alias("tokens")))
 
 
 def p6_packs(spark: SparkSession, d: str) -> DataFrame:

@@ -49,7 +49,7 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of rpc and ploidy per UID, from sketches per day of loaded_at."""
     daily = quantiles.sketch(_measures(spark, d), [*KEYS, "day"], "x")
-    return quantiles.percentiles(quantiles.merge(daily, KEYS), KEYS, QS)
+    return quantiles.percentiles(quantiles.merge(daily, KEYS), KEYS, QS).withColumn("value", F.round("value", 6))
 
 
 def p4_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -138,4 +138,32 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
 
-ORACLES: dict[str, str] = {}
+_CELLS = r"""
+with recursive rw as (select name, uid, regexp_replace(name, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') n, slx from pdata),
+ u as (select coalesce(nullif(upper(regexp_replace(uid, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), ''), nullif(upper(split_part(n, '_', 1)), '')) uid,
+  case when slx is null or regexp_full_match(slx, '[\s\x{a0}]*') then split_part(n, '_', 2) else slx end entry from rw)
+"""
+_UNKNOWN = ", ".join(f"'{x}'" for x in splits.UNKNOWN)
+_KNOWN = r"""(regexp_replace(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^SLX', '') not in ('', """ + _UNKNOWN + r""") and not regexp_full_match(regexp_replace(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^SLX', ''), '0+'))"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": """
+with recursive st as (select name, b.rk pos, arg_max(coalesce(copynumber, cast(round_even(segmented, 0) as int)), loaded_at) s0, any_value(1) from
+  (select *, row_number() over (partition by name, chrom, bin_idx order by loaded_at desc nulls last, coalesce(copynumber, cast(round_even(segmented, 0) as int)) desc nulls last) rn from assaydata) a
+  join (select chrom, bin_idx, row_number() over (order by chrom_rank, bin_idx) rk from bins) b on a.chrom = b.chrom and a.bin_idx = b.bin_idx where rn = 1 group by 1, 2),
+ s as (select name, pos, s0 from st where s0 is not null),
+ e as (select a.name x, b.name y from s a join s b on a.pos = b.pos and a.name <> b.name group by 1, 2 having count(*) >= 60 and 8 * count(*) filter (a.s0 <> b.s0) <= count(*)),
+ r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select x as name, least(x, min(y)) as cluster_name from r group by 1""",
+    "p4_percentiles": """
+with x as (select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(name), '_', 1))) uid, 'rpc' metric, rpc v from pdata union all select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(name), '_', 1))), 'ploidy', ploidy from pdata),
+ c as (select uid, metric, case when v = 0 then 0 else sign(v) * (1 + least(greatest(floor((log2(abs(v)) + 64) * 65536), 0), 8388606)) end m from x where v is not null and isfinite(v)),
+ g as (select uid, metric, count(*) n, list(m order by m) l from c group by 1, 2)
+select uid, metric, q, n, 24 * (n // 4800) as rank_error, round(case when l[cast(ceil(q * n) as int)] = 0 then 0 else sign(l[cast(ceil(q * n) as int)]) * pow(2, (abs(l[cast(ceil(q * n) as int)]) - 0.5) / 65536 - 64) end, 6) as value
+from g, (select unnest([0.05::double, 0.25, 0.5, 0.75, 0.95, 0.99]) q)""",
+    "p5_found": _CELLS + " , p as (select uid, unnest(string_split_regex(entry, '[+;/]')) part from u where uid is not null and " + _KNOWN.format("entry") + """),
+ l as (select distinct uid, upper(regexp_replace(part, '[^0-9A-Za-z]', '', 'g')) lib from p where """ + _KNOWN.format("part") + """),
+ e as (select distinct a.uid x, b.uid y from l a join l b on a.lib = b.lib),
+ r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select x as uid_a, y as uid_b from r where x < y""",
+}

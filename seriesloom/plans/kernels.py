@@ -12,7 +12,7 @@ from seriesloom.operators import changepoint, costs, fits, scaling, states
 from seriesloom.plans.base import CELLS, SIGNAL, cells, signal
 from seriesloom.plans.registry import Registry
 from seriesloom.plans.signals import FILLED, PART, _segments
-from seriesloom.util import r6
+from seriesloom.util import r6, spread_by
 
 R = Registry()
 SEG = [*PART, "seg_id"]
@@ -137,7 +137,7 @@ def event_p_values(spark: SparkSession, d: str) -> DataFrame:
             yield b[[*SEG, "state"]].assign(p=p)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ev.select(*SEG, "state").schema)
-    return ev.withColumn("h", F.xxhash64(*SEG)).mapInPandas(run, f"{kinds}, p double")
+    return spread_by(ev.withColumn("h", F.xxhash64(*SEG)), SEG).mapInPandas(run, f"{kinds}, p double")
 
 
 @R.add(None)

@@ -113,14 +113,14 @@ def oscillation(spark: SparkSession, d: str) -> DataFrame:
     return runs.oscillation(s, ["name"], ["chrom_rank", "bin_idx"], "copynumber", ["name"]).withColumn("sd_change", r6("sd_change"))
 
 
-@R.add(SIGNAL + """, x as (select name, chrom, bin_idx, coalesce(copynumber <> cast(round_even(segmented, 0) as int), false) dis from sig),
+@R.add(SIGNAL + """, x as (select name, chrom, bin_idx, coalesce(copynumber <> cast(floor(segmented) as int), false) dis from sig),
  y as (select *, case when row_number() over w = 1 or dis is distinct from lag(dis) over w then 1 else 0 end f from x window w as (partition by name, chrom order by bin_idx)),
  z as (select *, sum(f) over (partition by name, chrom order by bin_idx rows unbounded preceding) run_id from y),
  q as (select *, count(*) over (partition by name, chrom, run_id) n0, row_number() over (partition by name, chrom, run_id order by bin_idx) i from z where dis)
 select name, chrom, run_id, min(bin_idx) as "first", max(bin_idx) as "last", count(*) n, max(case when i = (n0 + 1) // 2 then bin_idx end) as middle from q group by 1, 2, 3""")
 def discordant_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Stretches where copy number and rounded segment level differ, with one mark each."""
-    s = signal(spark, d).select(*PART, *ORDER, "copynumber", F.bround("segmented", 0).cast("int").alias("near"))
+    """Stretches where copy number and the whole part of the segment level differ, with one mark each."""
+    s = signal(spark, d).select(*PART, *ORDER, "copynumber", F.floor("segmented").cast("int").alias("near"))
     return runs.discordant_marks(s, PART, ORDER, "copynumber", "near")
 
 

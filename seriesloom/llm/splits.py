@@ -12,7 +12,7 @@ from seriesloom.llm.components import components
 from seriesloom.llm.ranks import positions
 
 #: Entries, by letters and digits, that say that a library isn't known.
-UNKNOWN = ["NA", "NAN", "NIL", "NONE", "NULL", "UNK", "UNKNOWN", "NOTKNOWN", "NOTAVAILABLE", "MISSING", "UNDEFINED", "UNSPECIFIED", "TBD", "TBA", "X", "XX", "XXX"]
+UNKNOWN = ["NA", "NAN", "NIL", "NONE", "NULL", "UNK", "UNKNOWN", "NOTKNOWN", "NOTAVAILABLE", "MISSING", "UNDEFINED", "UNSPECIFIED", "TBD", "TBA", "PENDING", "NOTRECORDED", "NOTSPECIFIED", "NOLIBRARY", "UNBEKANNT", "INCONNU", "DESCONOCIDO"]
 
 
 def known_library(x: Column) -> Column:

@@ -150,6 +150,35 @@ def adjusted_r2(y: np.ndarray, ends: list[int]) -> float:
     return 1 - (1 - r2) * len(parts) / (len(parts) - 1)
 
 
+def segment_states(df: DataFrame, by: list[str], order: list[str], value: str, rpc: str, states: int = 9, alpha: float = 0.02, pen: str = "MBIC") -> DataFrame:
+    """Segments of each series that are explained by one copy state each: by.., seg, first, last, n, state.
+
+    The cost of a segment is minus the summed log-probability of its best state (negative binomial, mean state * rpc of the series). Series whose ``rpc`` is null or not
+    positive, or without values, give no rows.
+    """
+    from seriesloom.operators.states import emissions
+
+    at = order[-1]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    kind_at = df.schema[at].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.dropna(subset=[value, rpc]).sort_values(order)
+        r = float(p[rpc].iloc[0]) if len(p) else 0.0
+        if r <= 0:
+            return pd.DataFrame(columns=[*by, "seg", "first", "last", "n", "state"], dtype=object)
+        y, pos = p[value].to_numpy(float), p[at].to_numpy()
+        log_p = emissions(y, states, r, 0.05 * r, alpha, alpha)
+        ends = pelt(len(y), state_cost(log_p, pen == "MBIC"), penalty(pen, max(len(y), 3), 1))
+        starts = [0, *ends[:-1]]
+        out = {k: [pdf[k].iloc[0]] * len(ends) for k in by}
+        out |= {"seg": range(1, len(ends) + 1), "first": [pos[s] for s in starts], "last": [pos[e - 1] for e in ends], "n": [e - s for s, e in zip(starts, ends, strict=True)], "state": [int(log_p[s:e].sum(0).argmax()) for s, e in zip(starts, ends, strict=True)]}
+        return pd.DataFrame(out)
+
+    cols = df.select(*dict.fromkeys([*by, *order, value, rpc]))
+    return spread_by(cols, by).groupBy(*by).applyInPandas(run, f"{fields}, seg int, first {kind_at}, last {kind_at}, n int, state int")
+
+
 PARAMETERS = {"normal": 1, "poisson": 1}
 
 

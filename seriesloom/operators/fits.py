@@ -195,3 +195,34 @@ def trend_summary(df: DataFrame, series: str, segment: list[str], covariate: str
 
     cols = df.select(*dict.fromkeys([series, *segment, covariate, value]))
     return spread_by(cols, [series]).groupBy(series).applyInPandas(run, f"{series} {kind}, n_segments int, n_points int, " + ", ".join(f"{f} double" for f in fields))
+
+
+def segment_likelihoods(df: DataFrame, series: str, segment: list[str], value: str) -> DataFrame:
+    """Negative-binomial costs of each segment at the maximum-likelihood dispersion and at the conditional one: series, segment.., n, alpha, cost, alpha_conditional, cost_conditional.
+
+    All-zero segments cost 0; segments without extra variance have dispersion 0 (Poisson).
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(series, *segment).schema)
+
+    def minus_log(y: np.ndarray, a: float) -> float:
+        m, x = y.mean(), y.sum()
+        if x == 0:
+            return 0.0
+        gamma = sum(math.lgamma(v + 1) for v in y)
+        if a <= 0:
+            return float(len(y) * m - x * math.log(m) + gamma)
+        above = np.array([(y > j).sum() for j in range(int(y.max()))], float)
+        return float(-(above @ np.log1p(a * np.arange(len(above))) + x * math.log(m) - (x + len(y) / a) * math.log1p(a * m) - gamma))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for key, g in pdf.dropna(subset=[value]).groupby(segment, sort=True):
+            y = g[value].to_numpy(float)
+            a, c = dispersion_ml(y), dispersion_ml(y, True)
+            m = y.mean()
+            extra = 0.5 * math.log(len(y) / (m * (1 + c * m))) if m > 0 and c > 0 else 0.0
+            rows.append((pdf[series].iloc[0], *key, len(y), a, minus_log(y, a), c, minus_log(y, c) + extra))
+        return pd.DataFrame(rows, columns=[series, *segment, "n", "alpha", "cost", "alpha_conditional", "cost_conditional"])
+
+    cols = df.select(series, *segment, value)
+    return spread_by(cols, [series]).groupBy(series).applyInPandas(run, f"{kinds}, n int, alpha double, cost double, alpha_conditional double, cost_conditional double")

@@ -160,3 +160,25 @@ def copy_states(df: DataFrame, series: str, part: str, order: list[str], value:
 
     cols = df.select(*dict.fromkeys([series, part, *order, value, level]))
     return spread_by(cols, [series]).groupBy(series).applyInPandas(run, f"{series} {kinds[series]}, {part} {kinds[part]}, {at} {kinds[at]}, state int, p_state double, rpc double")
+
+
+def redecode(df: DataFrame, series: str, part: str, order: list[str], value: str, rpc: str, change: str, states: int = 9, alpha: float = 0.02) -> DataFrame:
+    """Most probable path with a change probability of its own for every step (column ``change``, of the point stepped to; null is 0.01) and known parameters.
+
+    Series whose ``rpc`` is null or not positive, or with fewer than 2 points, give no rows.
+    """
+    at = order[-1]
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (series, part, at)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.dropna(subset=[value, rpc]).sort_values(order)
+        if len(p) < 2 or float(p[rpc].iloc[0]) <= 0:
+            return pd.DataFrame(columns=[series, part, at, "state"], dtype=object)
+        y, r = p[value].to_numpy(float), float(p[rpc].iloc[0])
+        borders = p[part].to_numpy()[1:] != p[part].to_numpy()[:-1]
+        own = p[change].astype(float).fillna(0.01).to_numpy()[1:]
+        path = viterbi(emissions(y, states, r, 0.05 * r, alpha, alpha), steps(len(y), states, 0.01, borders, own))
+        return pd.DataFrame({series: p[series].tolist(), part: p[part].tolist(), at: p[at].tolist(), "state": path})
+
+    cols = df.select(*dict.fromkeys([series, part, *order, value, rpc, change]))
+    return spread_by(cols, [series]).groupBy(series).applyInPandas(run, f"{series} {kinds[series]}, {part} {kinds[part]}, {at} {kinds[at]}, state int")

@@ -282,4 +282,42 @@ def density_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def _with_rpc(spark: SparkSession, d: str) -> DataFrame:
+    s = _ordered(spark, d)
+    r = s.where("copynumber > 0").groupBy("name").agg(F.median(F.col("calls") / F.col("copynumber")).alias("rpc"))
+    return s.join(r, "name")
+
+
+@R.add(None)
+def state_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of one copy state each."""
+    return changepoint.segment_states(_with_rpc(spark, d), ["name"], ["pos"], "calls", "rpc")
+
+
+@R.add(None)
+def hmm_redecode(spark: SparkSession, d: str) -> DataFrame:
+    """Copy states with a change probability that is higher where the segment level jumps."""
+    from pyspark.sql.window import Window
+
+    step = F.abs(F.col("segmented") - F.lag("segmented").over(Window.partitionBy("name", "chrom").orderBy("bin_idx")))
+    return states.redecode(_with_rpc(spark, d).withColumn("change", F.when(step > 0.5, 0.2).when(step.isNotNull(), 0.002)), "name", "chrom", ["pos"], "calls", "rpc", "change")
+
+
+@R.add(None)
+def nb_cost_ml(spark: SparkSession, d: str) -> DataFrame:
+    """Negative-binomial costs of each segment by maximum and conditional maximum likelihood."""
+    return fits.segment_likelihoods(_calls(spark, d), "name", ["chrom", "seg_id"], "calls")
+
+
+@R.add(FILLED + """, g as (select name, chrom, seg_id, count(calls)::double w, avg(calls) m, var_samp(calls) v from seg where calls is not null group by 1, 2, 3 having count(calls) >= 4 and var_samp(calls) > 0 and avg(calls) >= 0.5)
+select name, count(*) as n_segments, round(sum(w * m) / sum(w), 6) as mean_reads, round(sum(w * m * m * (v - m)) / nullif(sum(w * pow(m, 4)), 0), 6) as alpha, round(sum(w * m * v) / nullif(sum(w * m * m), 0), 6) as omega from g group by 1""")
+def segment_model(spark: SparkSession, d: str) -> DataFrame:
+    """Mean-variance relation over the segments of each cell: quadratic (alpha) and linear (omega)."""
+    from seriesloom.operators.cohort import slope_through_origin
+
+    g = _calls(spark, d).groupBy(*SEG).agg(F.count("calls").cast("double").alias("w"), F.avg("calls").alias("m"), F.var_samp("calls").alias("v")).where("w >= 4 and v > 0 and m >= 0.5")
+    g = g.select("name", "w", "m", "v", (F.col("m") * F.col("m")).alias("x"), (F.col("v") - F.col("m")).alias("y"))
+    return g.groupBy("name").agg(F.count("*").alias("n_segments"), r6(F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("mean_reads"), r6(slope_through_origin("x", "y", "w")).alias("alpha"), r6(slope_through_origin("m", "v", "w")).alias("omega"))
+
+
 QUERIES, ORACLES = R.queries, R.sql

@@ -364,4 +364,47 @@ def weighted_error(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("status")).agg(F.round(F.avg("e"), 3).alias("mean_error"), F.round(F.stddev_samp("e"), 3).alias("sd_error"))
 
 
+@R.add(CELLS + "select row_id, 'hg19' as run_genome, 500 as run_bin_kb, '1-2-4' as run_ploidies, md5(concat_ws('|', cell, uid)) as run_digest from cells")
+def stamp_run(spark: SparkSession, d: str) -> DataFrame:
+    """Cells stamped with the parameters of a run; vectors become one text."""
+    p = F.array_join(F.array(*[F.lit(str(x)) for x in (1, 2, 4)]), "-")
+    return cells(spark, d).select("row_id", F.lit("hg19").alias("run_genome"), F.lit(500).alias("run_bin_kb"), p.alias("run_ploidies"), F.md5(F.concat_ws("|", "cell", "uid")).alias("run_digest"))
+
+
+@R.add("select info_id as id, 'cellcycle_info' as src, recorded_at from cellcycle_info where coalesce(quality, 0) >= 0.8 union all select flag_id, 'flagstat', recorded_at from flagstat where qctotal > 100000")
+def route_source(spark: SparkSession, d: str) -> DataFrame:
+    """Rows routed to a source by its name, then filtered by the rule of that source."""
+    a = table(spark, d, "cellcycle_info").select(F.col("info_id").alias("id"), F.lit("cellcycle_info").alias("src"), "recorded_at", F.coalesce("quality", F.lit(0.0)).alias("q"), F.lit(None).cast("double").alias("t"))
+    b = table(spark, d, "flagstat").select(F.col("flag_id").alias("id"), F.lit("flagstat").alias("src"), "recorded_at", F.lit(None).cast("double").alias("q"), F.col("qctotal").alias("t"))
+    return a.unionByName(b).where(((F.col("src") == "cellcycle_info") & (F.col("q") >= 0.8)) | ((F.col("src") == "flagstat") & (F.col("t") > 100000))).select("id", "src", "recorded_at")
+
+
+@R.add('select flag_id as "m.flag_id", qctotal as "m.qctotal", qcmapped as "m.qcmapped" from flagstat')
+def affix_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns with a prefix."""
+    return C.affix(table(spark, d, "flagstat").select("flag_id", "qctotal", "qcmapped"), prefix="m.")
+
+
+@R.add(SIGNAL + ", k as (select name, list(copynumber order by chrom_rank, bin_idx) l from sig where chrom = '1' and copynumber is not null group by 1) select name, i - 1 as place, l[i] as state from (select name, l, unnest(range(1, len(l) + 1)) i from k)")
+def list_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lists as rows with their place."""
+    x = signal(spark, d).where("chrom = '1' and copynumber is not null").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("bin_idx", "copynumber"))).alias("l"))
+    return x.select("name", F.posexplode("l").alias("place", "v")).select("name", F.col("place").cast("bigint").alias("place"), F.col("v.copynumber").alias("state"))
+
+
+@R.add(CELLS + FLAGS + """, w as (select uid, row_number() over (order by n desc, uid) place from (select uid, count(*) n from cells where uid is not null group by 1))
+select w.place, c.row_id, f.qcmapped from cells c join w on c.uid = w.uid join flags f on c.cell = f.cell""")
+def order_match(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two tables put together by key (never by position) and placed in the order of a third."""
+    c = cells(spark, d).select("cell", "uid", "row_id")
+    w = c.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "uid"))).select("uid", "place")
+    return c.join(w, "uid").join(flags(spark, d).select("cell", "qcmapped"), "cell").select("place", "row_id", "qcmapped").orderBy("place", "row_id")
+
+
+@R.add("select info_id, recorded_at from cellcycle_info")
+def complete_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Only the columns of the annotation that are never null."""
+    return C.without_null_columns(table(spark, d, "cellcycle_info").select("info_id", "filename", "cellcycle", "recorded_at"))
+
+
 QUERIES, ORACLES = R.queries, R.sql

@@ -51,18 +51,18 @@ MOMENT = "case when ssq <= m0 or (ssq - m0) / nullif({0}, 0) <= -1 / nullif(y_ma
 def _nb(spark: SparkSession, d: str, c, mean=None, clamp: bool = True) -> DataFrame:  # noqa: ANN001
     v = _calls(spark, d)
     s = costs.segment_sums(v, SEG, "calls")
-    return costs.negative_binomial_cost(s, v, SEG, "calls", c, mean, clamp).where("l >= 3").select(*SEG, F.round("cost", 2).alias("cost"))
+    return costs.negative_binomial_cost(s, v, SEG, "calls", c, mean, clamp).select(*SEG, F.round("cost", 2).alias("cost"))
 
 
 @R.add(_nb_sql(MOMENT.format("m0 * m0"), clamp=False))
 def nb_cost_mm(spark: SparkSession, d: str) -> DataFrame:
-    """Negative-binomial cost at the moment estimate of the dispersion."""
+    """Negative-binomial cost of each segment, of any length, at the moment estimate of the dispersion."""
     return _nb(spark, d, costs.dispersion(), clamp=False)
 
 
 @R.add(_nb_sql(MOMENT.format("m0 * m0 - ssq / l")))
 def nb_cost_bcmm(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the bias-corrected estimate."""
+    """The same with the bias-corrected estimate; null where that is undefined, as with all reads in one bin of two."""
     return _nb(spark, d, costs.dispersion(True))
 
 

@@ -122,18 +122,31 @@ def fit(y: np.ndarray, borders: np.ndarray, states: int, rpc: float, change: flo
     return (*best.tolist(), top)
 
 
-def event_p_value(y: np.ndarray, mean_in: float, mean_out: float, alpha: float, seed: int, draws: int = 1000, longest: int = 20) -> float:
-    """Monte-Carlo p-value of an event: share of draws at the outer mean whose summed log-ratio favours the inner mean as much as the
-    data do; events longer than ``longest`` points get the smallest value there is."""
-    if len(y) > longest:
-        return 1 / (draws + 1)
-    rng = np.random.default_rng(seed)
-    r = 1 / max(alpha, 1e-6)
-    sim = rng.poisson(rng.gamma(r, mean_out / r, (draws, len(y))))
-    one = lambda z, m: nb_log(z, np.full(z.shape, m), np.full(z.shape, alpha)).sum(-1)
-    table = np.arange(int(max(sim.max(), y.max())) + 1, dtype=float)
-    ratio = one(table[:, None], mean_out) - one(table[:, None], mean_in)
-    return float((1 + (ratio[sim].sum(1) <= ratio[y.astype(int)].sum()).sum()) / (1 + draws))
+def event_p_values(events: list[tuple[np.ndarray, float]], mean_out: float, alpha: float, seed: int, draws: int = 10_000, longest: int = 20, zero_out: bool = False) -> list[float]:
+    """Monte-Carlo p-values of the events (values, inner mean) of one series: share of draws at the outer mean whose summed log-ratio favours
+    the inner mean as much as the data do. Events longer than ``longest`` points get 1 / (draws + 1), shorter ones without any reads nearly 0, or
+    nearly 1 where the outer state is 0 (``zero_out``). All events share the draws, an event of n points the first n of each."""
+    sim, sums, out = None, {}, []
+    one = lambda z, m: nb_log(z, np.full(z.shape, m), np.full(z.shape, alpha))
+    for y, mean_in in events:
+        n = len(y)
+        if n > longest:
+            out.append(1 / (draws + 1))
+            continue
+        if not np.any(y):
+            out.append(1 - 1e-16 if zero_out else 1e-16)
+            continue
+        if sim is None:
+            rng, r = np.random.default_rng(seed), 1 / max(alpha, 1e-6)
+            sim = rng.poisson(rng.gamma(r, mean_out / r, (longest, draws)))
+            levels = np.arange(int(max(sim.max(), *(e.max() for e, _ in events))) + 1, dtype=float)
+            outer = one(levels, mean_out)
+        if (mean_in, n) not in sums:
+            ratio = outer - one(levels, mean_in)
+            sums[mean_in, n] = ratio, np.sort(ratio[sim[:n]].sum(0))
+        ratio, drawn = sums[mean_in, n]
+        out.append(float((1 + np.searchsorted(drawn, ratio[y.astype(int)].sum() + 1e-9, side="right")) / (1 + draws)))
+    return out
 
 
 def copy_states(df: DataFrame, series: str, part: str, order: list[str], value: str, level: str, states: int = 9, change: float = 0.01) -> DataFrame:

@@ -126,18 +126,18 @@ def hmm_states(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(None)
 def event_p_values(spark: SparkSession, d: str) -> DataFrame:
-    """Monte-Carlo p-values of segments against the cell's usual level."""
-    s = _segments(spark, d).where("calls is not null and filled > 0").select(*SEG, "filled", "calls")
-    rpc = s.groupBy("name").agg(F.median(F.col("calls") / F.col("filled")).alias("rpc"), F.mode("filled", True).alias("usual")).where("rpc > 0")
+    """Monte-Carlo p-values of segments, of state 0 too, against the cell's usual level above 0; the events of a cell share their draws."""
+    s = _segments(spark, d).where("calls is not null and filled >= 0").select(*SEG, "filled", "calls")
+    rpc = s.where("filled > 0").groupBy("name").agg(F.median(F.col("calls") / F.col("filled")).alias("rpc"), F.mode("filled", True).alias("usual")).where("rpc > 0")
     ev = s.groupBy(*SEG).agg(F.first("filled").alias("state"), F.array_sort(F.collect_list("calls")).alias("y")).join(rpc, "name").where("state <> usual")  # a segment's bins, bounded by the catalogue
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            p = [states.event_p_value(pd.Series(y).to_numpy(float), s * r, u * r, 0.02, (hash_ & 0x7FFFFFFF)) for y, s, r, u, hash_ in zip(b["y"], b["state"], b["rpc"], b["usual"], b["h"], strict=True)]
-            yield b[[*SEG, "state"]].assign(p=p)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, u, seed = float(pdf["rpc"].iloc[0]), float(pdf["usual"].iloc[0]), int(pdf["h"].iloc[0]) & 0x7FFFFFFF
+        events = [(pd.Series(y).to_numpy(float), (k if k > 0 else 0.05) * r) for y, k in zip(pdf["y"], pdf["state"], strict=True)]
+        return pdf[[*SEG, "state"]].assign(p=states.event_p_values(events, u * r, 0.02, seed))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ev.select(*SEG, "state").schema)
-    return spread_by(ev.withColumn("h", F.xxhash64(*SEG)), SEG).mapInPandas(run, f"{kinds}, p double")
+    return spread_by(ev.withColumn("h", F.xxhash64("name")), ["name"]).groupBy("name").applyInPandas(run, f"{kinds}, p double")
 
 
 @R.add(None)

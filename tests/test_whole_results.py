@@ -4,8 +4,10 @@ import datetime
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+from seriesloom.operators import states
 from seriesloom.plans import kernels
 
 ASSAY = "name string, chrom string, bin_idx int, copynumber double, segmented double, calls int, uid string, loaded_at timestamp"
@@ -78,3 +80,24 @@ def test_costs_at_a_given_dispersion_of_segments_of_any_length(spark, tmp_path):
     d = write(spark, tmp_path, SIGNAL)
     for name in ("nb_cost_alpha", "nb_cost_grid"):
         assert {(r["name"], r["chrom"], r["seg_id"]) for r in kernels.QUERIES[name](spark, d).where("cost is not null").collect()} == by_segment(SIGNAL).keys()
+
+
+def test_events_of_state_zero_are_tested(spark, tmp_path):
+    cell = [("a", "1", [(2.0, 20), (2.0, 18), (2.0, 22), (2.0, 20), (2.0, 21), (0.0, 1), (0.0, 0), (3.0, 31), (3.0, 29), (0.0, 0), (0.0, 0), (2.0, 20)])]
+    got = {r["seg_id"]: (r["state"], r["p"]) for r in kernels.event_p_values(spark, write(spark, tmp_path, cell)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {2: 0.0, 3: 3.0, 4: 0.0}
+    assert got[2][1] == 1 / 10_001 and got[4][1] == 1e-16 and 1 / 10_001 < got[3][1] < 0.05
+
+
+def test_p_values_of_events_against_exact_sums():
+    mean_in, mean_out, alpha = 9.0, 6.0, 0.02
+    at = np.arange(120.0)
+    prob = np.exp(states.nb_log(at, np.full(120, mean_out), np.full(120, alpha)))
+    y = [np.array([11.0]), np.array([8.0, 12.0]), np.zeros(3), np.full(21, 6.0)]
+    p = states.event_p_values([(v, mean_in) for v in y], mean_out, alpha, 5)
+    ratio = states.nb_log(at, np.full(120, mean_out), np.full(120, alpha)) - states.nb_log(at, np.full(120, mean_in), np.full(120, alpha))
+    assert p[0] == pytest.approx(prob[ratio <= ratio[11] + 1e-9].sum(), abs=0.01)
+    two = ratio[:, None] + ratio[None, :]
+    assert p[1] == pytest.approx((prob[:, None] * prob[None, :])[two <= ratio[8] + ratio[12] + 1e-9].sum(), abs=0.01)
+    assert p[2] == 1e-16 and p[3] == 1 / 10_001
+    assert states.event_p_values([(np.zeros(3), mean_in)], 0.3, alpha, 5, zero_out=True) == [1 - 1e-16]

@@ -127,12 +127,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_residue(spark: SparkSession, d: str) -> DataFrame:
-    """The same with kind, probability and sentence."""
-    return residue.residue(table(spark, d, "documents"), "doc_id", "text", "sitting").withColumn("p", F.round("p", 4))
+    """The same with probability, sentence and the kind that the lists of phrases and forms give it."""
+    kind = F.pandas_udf(lambda s: s.map(residue.kind_of), "string")
+    found = residue.residue(table(spark, d, "documents"), "doc_id", "text", "sitting")
+    return found.select("doc_id", kind("sentence").alias("kind"), F.round("p", 4).alias("p"), "sentence")
 
 
 def p8_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of sittings that weren't used for fitting, by weak label, and how many the classifier flags."""
+    """Speeches of sittings that neither the fit nor the threshold used, by weak label, and how many of them are found."""
     return residue.validation(table(spark, d, "documents"), "doc_id", "text", "sitting")
 
 

@@ -12,6 +12,7 @@ are compared with the whole bucket. So no link between records of a bucket is lo
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,8 @@ from pyspark.sql.window import Window
 
 from seriesloom.util import drop_stage, stage
 
-PLANES = 8
-TOP = (1 << PLANES) - 1
 BLOCKS = 10
-#: Edges of one home beyond which its nodes are spread over several tasks.
+#: Edges that one task holds at most for one home; a home with more is spread over several tasks.
 HOME_EDGES = 400_000
 
 
@@ -34,26 +33,39 @@ def _words(n: int) -> int:
     return -(-n // 64)
 
 
-def plane_columns(n: int) -> list[str]:
+def plane_columns(n: int, planes: int) -> list[str]:
     """Names of the known mask and the bit planes of vectors with n positions."""
-    return [f"k{w}" for w in range(_words(n))] + [f"p{i}_{w}" for i in range(PLANES) for w in range(_words(n))]
+    return [f"k{w}" for w in range(_words(n))] + [f"p{i}_{w}" for i in range(planes) for w in range(_words(n))]
 
 
-def vectors(cells: DataFrame, n: int) -> DataFrame:
+def n_planes(columns: list[str]) -> int:
+    """Number of bit planes among the columns of a table (with or without prefix)."""
+    return len({c.rsplit("_", 1)[0] for c in columns if c.rsplit("_", 1)[0].rsplit("_", 1)[-1].startswith("p") and c.endswith("_0")})
+
+
+def vectors(cells: DataFrame, n: int, planes: int | None = None) -> DataFrame:
     """One row per record: name, known (number of known positions) and its bit planes.
 
     cells: (name, pos, state, at), pos from 0 to n - 1. Of several rows for a place the one with the latest ``at`` counts (null is earliest; of equally late
-    ones that with the largest state); a null state is unknown. States are clipped to 0..255. Rows without name or pos are ignored.
+    ones that with the largest state); a null state is unknown. Rows without name or pos are ignored. States may be any whole numbers: they are held as
+    their rank among the states that occur, in as many planes as these need. With ``planes`` they are such ranks already.
     """
-    x = cells.where("name is not null and pos is not null").groupBy("name", "pos").agg(F.max(F.struct("at", "state")).alias("l")).select("name", "pos", "l.state")
-    s = F.least(F.greatest(F.col("state"), F.lit(0)), F.lit(TOP)).cast("long")
-    x = x.where("state is not null").select("name", F.floor(F.col("pos") / 64).alias("w"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("bit"), s.alias("s"))
+    x = cells.where("name is not null and pos is not null")
+    if planes is None:
+        ranks = x.where("state is not null").select("state").distinct()
+        planes = max((max(ranks.count(), 1) - 1).bit_length(), 1)
+        ranks = ranks.select("state", (F.row_number().over(Window.orderBy("state")) - 1).cast("long").alias("s"))  # the distinct states only
+    else:
+        ranks = None
+    x = x.groupBy("name", "pos").agg(F.max(F.struct("at", "state")).alias("l")).select("name", "pos", "l.state").where("state is not null")
+    x = x.withColumn("s", F.col("state").cast("long")) if ranks is None else x.join(ranks, "state")
+    x = x.select("name", F.floor(F.col("pos") / 64).alias("w"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("bit"), "s")
     out = []
     for w in range(_words(n)):
         out.append(F.bit_or(F.when(F.col("w") == w, F.col("bit")).otherwise(0)).alias(f"k{w}"))
-    for i in range(PLANES):
+    for i in range(planes):
         for w in range(_words(n)):
-            has = (F.col("w") == w) & (F.col("s").bitwiseAND(1 << i) != 0)
+            has = (F.col("w") == w) & (F.col("s").bitwiseAND(F.lit(1 << i)) != 0)
             out.append(F.bit_or(F.when(has, F.col("bit")).otherwise(0)).alias(f"p{i}_{w}"))
     y = x.groupBy("name").agg(*out)
     return y.withColumn("known", sum((F.bit_count(f"k{w}") for w in range(_words(n))), F.lit(0)))
@@ -64,26 +76,26 @@ def both_known(n: int) -> Column:
     return sum((F.bit_count(F.col(f"a_k{w}").bitwiseAND(F.col(f"b_k{w}"))) for w in range(_words(n))), F.lit(0))
 
 
-def differing(n: int) -> Column:
+def differing(n: int, planes: int) -> Column:
     """Places known in both that differ."""
     total = F.lit(0)
     for w in range(_words(n)):
         x = F.col(f"a_p0_{w}").bitwiseXOR(F.col(f"b_p0_{w}"))
-        for i in range(1, PLANES):
+        for i in range(1, planes):
             x = x.bitwiseOR(F.col(f"a_p{i}_{w}").bitwiseXOR(F.col(f"b_p{i}_{w}")))
         total = total + F.bit_count(x.bitwiseAND(F.col(f"a_k{w}")).bitwiseAND(F.col(f"b_k{w}")))
     return total
 
 
 def states(t: pa.Table, n: int) -> np.ndarray:
-    """(rows, n) states of a table of bit planes, -1 where unknown."""
+    """(rows, n) states of a table of bit planes (from 0 for the smallest), -1 where unknown."""
     def bits(c: str) -> np.ndarray:
         a = t[c].to_numpy().astype("<i8")
         return np.unpackbits(a.view(np.uint8).reshape(len(a), 8), axis=1, bitorder="little")
 
-    out = np.zeros((t.num_rows, _words(n) * 64), np.int16)
-    for i in range(PLANES):
-        out += np.concatenate([bits(f"p{i}_{w}") for w in range(_words(n))], axis=1).astype(np.int16) << i
+    out = np.zeros((t.num_rows, _words(n) * 64), np.int64)
+    for i in range(n_planes(t.column_names)):
+        out += np.concatenate([bits(f"p{i}_{w}") for w in range(_words(n))], axis=1).astype(np.int64) << i
     known = np.concatenate([bits(f"k{w}") for w in range(_words(n))], axis=1)
     return np.where(known == 1, out, -1)[:, :n]
 
@@ -100,8 +112,11 @@ def block_keys(x: np.ndarray, blocks: int) -> np.ndarray:
     """(rows, n) keys: the one at place j is a hash of j's block without j."""
     n = x.shape[1]
     rng = np.random.default_rng(2024)
-    value = rng.integers(1, 1 << 63, (n, TOP + 2), dtype=np.int64).view(np.uint64)
-    h = value[np.arange(n)[None, :], x]
+    odd = rng.integers(1, 1 << 62, (2, n), dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        h = (x.astype(np.uint64) + odd[0]) * odd[1]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
     tag = rng.integers(1, 1 << 63, n, dtype=np.int64).view(np.uint64)
     total = np.stack([h[:, b::blocks].sum(axis=1, dtype=np.uint64) for b in range(blocks)], axis=1)
     with np.errstate(over="ignore"):
@@ -122,9 +137,10 @@ def _keyed(n: int, blocks: int):
 
 def compare(pairs: DataFrame, classes: DataFrame, n: int, least_known: int, most_share: float) -> DataFrame:
     """(a, b) with both (places known in both), diff (of these, differing) and alike."""
-    cols = plane_columns(n)
+    planes = n_planes(classes.columns)
+    cols = plane_columns(n, planes)
     side = lambda p: classes.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    x = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both_known(n).alias("both"), differing(n).alias("diff"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both_known(n).alias("both"), differing(n, planes).alias("diff"))
     return x.withColumn("alike", (F.col("both") >= least_known) & (F.col("diff") <= F.col("both") * F.lit(most_share)))
 
 
@@ -135,6 +151,7 @@ def similarity_graph(classes: DataFrame, n: int, least_known: int, most_share: f
     reach = 2 * int(n * most_share)
     found: list[DataFrame] = []
     old: list[DataFrame] = []
+    held_back: list[DataFrame] = []
     while True:
         lead = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("gaps").alias("most_gaps"), F.count("*").alias("c")).where("c > 1").drop("c")
         led = stage(rows.join(lead, "key").where("id <> leader"))
@@ -149,6 +166,7 @@ def similarity_graph(classes: DataFrame, n: int, least_known: int, most_share: f
         beside = near.join(led.select("key", F.col("id").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         checked = stage(compare(beside, classes, n, least_known, most_share).where("alike"))
         found.append(checked.select("a", "b", "both", "diff"))
+        held_back += [seen, checked]
         rows = rest.select("key", "id", "gaps")
         if rest.isEmpty():
             break
@@ -156,7 +174,7 @@ def similarity_graph(classes: DataFrame, n: int, least_known: int, most_share: f
     for f in found[1:]:
         alike = alike.unionByName(f)
     stars = stage(alike.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("leader"), "both", "diff").distinct())
-    for o in old:
+    for o in [*old, *held_back]:
         drop_stage(o)
     # A leader with very many records would merge with them one at a time: where records that follow each other in a star are alike
     # themselves, the chain takes the place of the star's edge.
@@ -166,31 +184,31 @@ def similarity_graph(classes: DataFrame, n: int, least_known: int, most_share: f
     chain = stage(chain.where("alike").select("a", "b", "both", "diff"))
     held = linked.join(chain.select(F.col("a").alias("id"), F.col("b").alias("prev")), ["id", "prev"], "left_anti").select(F.col("id").alias("a"), F.col("leader").alias("b"), "both", "diff")
     edges = held.unionByName(chain).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (1 - F.col("diff") / F.col("both")).alias("sim")).distinct()
-    return stage(edges), stars
+    edges = stage(edges)
+    drop_stage(chain)
+    return edges, stars
 
 
-def merge_mutual(a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, fixed: np.ndarray, n: int, threshold: float, patience: int = 200) -> np.ndarray:
+def merge_mutual(a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, fixed: np.ndarray, n: int, threshold: float) -> np.ndarray:
     """Labels after merging all mutual best pairs, round by round, while their average similarity is at least ``threshold``.
 
-    Edges carry the sum and number of the similarities they stand for, so that clusters are compared by their average. Nodes marked
-    ``fixed`` have neighbours elsewhere and aren't merged. Ties are broken by a hash of the pair that is the same from both sides. After ``patience`` rounds (a star
-    merges one pair a round) nodes also merge with a best partner that has another best one.
+    Edges carry the sum and number of the similarities they stand for, so that clusters are compared by their average; pairs without an edge don't count. Nodes marked
+    ``fixed`` have neighbours elsewhere and aren't merged. Ties are broken by a hash of the pair that is the same from both sides. A node with one neighbour joins it
+    in the same round: nothing that happens to the neighbour changes their average, so that it would join in any case. When a round merges few pairs, the rest are merged best pair
+    first (the best of all pairs is always mutual), which gives the same clusters.
     """
     label = np.arange(n)
-    rounds = 0
     while len(a):
         mean = total / count
-        mix = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        order = np.lexsort((mix, -mean))
+        order = np.lexsort((_pair_hash(a, b), -mean))
         rank = np.empty(len(a), np.int64)
         rank[order] = np.arange(len(a))
         best = np.full(n, len(a))
         np.minimum.at(best, a, rank)
         np.minimum.at(best, b, rank)
+        degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
         good = (mean >= threshold) & ~fixed[a] & ~fixed[b]
-        mutual = good & (best[a] == rank) & (best[b] == rank)
-        if rounds >= patience:
-            mutual = good & ((best[a] == rank) | (best[b] == rank))
+        mutual = good & ((best[a] == rank) & (best[b] == rank) | (degree[a] == 1) | (degree[b] == 1))
         if not mutual.any():
             break
         up = np.arange(n)
@@ -208,10 +226,56 @@ def merge_mutual(a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndar
         a, b, total, count = np.minimum(a, b)[keep], np.maximum(a, b)[keep], total[keep], count[keep]
         u, inv = np.unique(a * n + b, return_inverse=True)
         a, b, total, count = u // n, u % n, np.bincount(inv, total, len(u)), np.bincount(inv, count, len(u))
-        rounds += 1
+        if mutual.sum() < FEW * len(np.unique(np.concatenate([a, b]))):
+            return _best_first(a, b, total, count, fixed, n, threshold)[label]
     return label
 
 
+#: Share of the nodes that a round must merge to be worth another round over all edges.
+FEW = 0.02
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _best_first(a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, fixed: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """The merges of :func:`merge_mutual`, one pair at a time, best first; the smaller list of neighbours moves to the larger."""
+    near: dict[int, dict[int, tuple[float, float]]] = {}
+    for x, y, t, c in zip(a.tolist(), b.tolist(), total.tolist(), count.tolist(), strict=True):
+        near.setdefault(x, {})[y] = (t, c)
+        near.setdefault(y, {})[x] = (t, c)
+    heap = list(zip((-(total / count)).tolist(), _pair_hash(a, b).tolist(), a.tolist(), b.tolist(), strict=True))
+    heapq.heapify(heap)
+    parent, closed = np.arange(n), fixed.copy()
+    while heap:
+        m, h, x, y = heapq.heappop(heap)
+        if -m < threshold:
+            break
+        tc = near.get(x, {}).get(y)
+        if tc is None or -tc[0] / tc[1] != m:
+            continue  # merged or averaged since
+        if closed[x] or closed[y]:
+            closed[x] = closed[y] = True  # the best partner isn't free: neither is this node
+            continue
+        if len(near[x]) < len(near[y]):
+            x, y = y, x
+        parent[y] = x
+        del near[x][y]
+        for z, (t, c) in near.pop(y).items():
+            if z == x:
+                continue
+            del near[z][y]
+            t0, c0 = near[x].get(z, (0.0, 0.0))
+            near[x][z] = near[z][x] = (t + t0, c + c0)
+            lo, hi = min(x, z), max(x, z)
+            heapq.heappush(heap, (-(t + t0) / (c + c0), int(_pair_hash(np.array([lo]), np.array([hi]))[0]), lo, hi))
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
 def _merger(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -230,80 +294,256 @@ def _merger(threshold: float):
     return run
 
 
-def average_linkage(edges: DataFrame, homes: DataFrame, threshold: float) -> DataFrame:
+def best_pairs(edges: DataFrame, weight: Column) -> DataFrame:
+    """(id, best, degree): the neighbour with the largest weight of every node of edges (a, b), ties broken by a hash of the pair."""
+    both = edges.select("a", "b", weight.alias("m"), F.xxhash64("a", "b").alias("h"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "m", "h"))
+    return both.groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct("m", "h")).alias("best"), F.count("*").alias("degree"))
+
+
+def mutual_round(edges: DataFrame) -> DataFrame:
+    """(id, into) of one round over edges (a, b, total, n) of any number: mutual best pairs, and nodes with a single neighbour. The best of all pairs is mutual, so the round is never empty."""
+    top = best_pairs(edges, F.col("total") / F.col("n"))
+    x = edges.select("a", "b").join(top.select(F.col("id").alias("a"), F.col("best").alias("ta"), F.col("degree").alias("da")), "a").join(top.select(F.col("id").alias("b"), F.col("best").alias("tb"), F.col("degree").alias("db")), "b")
+    pairs = x.where("ta = b and tb = a").select(F.col("b").alias("id"), F.col("a").alias("into"))
+    lone = x.where("not (ta = b and tb = a) and (da = 1 or db = 1)").select(F.when(F.col("da") == 1, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("da") == 1, F.col("b")).otherwise(F.col("a")).alias("to"))
+    lone = lone.join(pairs.select(F.col("id").alias("to"), F.col("into").alias("root")), "to", "left").select("id", F.coalesce("root", "to").alias("into"))
+    return pairs.unionByName(lone)
+
+
+def relabel(labels: DataFrame | None, step: DataFrame) -> DataFrame:
+    """(id, into) of all nodes merged so far, after the merges of ``step``; staged."""
+    if labels is None:
+        return stage(step)
+    moved = labels.join(step.select(F.col("id").alias("into"), F.col("into").alias("to")), "into", "left").select("id", F.coalesce("to", "into").alias("into"))
+    return stage(moved.unionByName(step))
+
+
+def contracted(edges: DataFrame, step: DataFrame) -> DataFrame:
+    """The edges with x, y, the clusters of their ends after ``step``, without those that lie inside one."""
+    c = edges.join(step.select(F.col("id").alias("a"), F.col("into").alias("ia")), "a", "left").join(step.select(F.col("id").alias("b"), F.col("into").alias("ib")), "b", "left")
+    return c.withColumn("x", F.coalesce("ia", "a")).withColumn("y", F.coalesce("ib", "b")).where("x <> y")
+
+
+def average_linkage(edges: DataFrame, homes: DataFrame, threshold: float, home_edges: int = HOME_EDGES) -> DataFrame:
     """(id, cluster) for every node that was merged; the others are clusters of their own.
 
     edges: (a, b, sim), a < b; homes: (id, home) says which nodes are best held together. In each pass the edges of a home go to one task, which merges mutual best pairs
-    round after round (merging them in any order gives the same tree) as long as both ends have no neighbour in another home; a home with very many edges
-    is spread by id. Then the graph is contracted, edges between the same clusters are averaged, and homes that touch become one.
+    round after round (merging them in any order gives the same tree) as long as both ends have no neighbour in another home; a home with more than ``home_edges`` edges
+    is spread by id. If no home can merge any, the pass makes one round over the whole graph instead (:func:`mutual_round`), which always merges some: every pass shrinks the graph.
+    Then the graph is contracted, edges between the same clusters are averaged, and homes that touch become one.
     """
     pair = T.StructType([T.StructField("id", T.LongType()), T.StructField("into", T.LongType())])
-    e = edges.select("a", "b", F.col("sim").alias("total"), F.lit(1).cast("long").alias("n"))
+    e = edges.select("a", "b", F.col("sim").alias("total"), F.lit(1).cast("long").alias("n")).where(F.col("sim") >= threshold)
     labels: DataFrame | None = None
     parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     old: list[DataFrame] = []
     while True:
         h = e.join(homes.select(F.col("id").alias("a"), F.col("home").alias("ha")), "a", "left").join(homes.select(F.col("id").alias("b"), F.col("home").alias("hb")), "b", "left")
         h = stage(h.select("a", "b", "total", "n", F.coalesce("ha", "a").alias("ha"), F.coalesce("hb", "b").alias("hb")))
-        big = h.groupBy(F.col("ha").alias("home")).agg(F.count("*").alias("c")).where(F.col("c") > HOME_EDGES)  # at most edges / HOME_EDGES rows
-        over = F.broadcast(big.select("home", F.lit(True).alias("big")))
+        big = h.groupBy(F.col("ha").alias("home")).agg(F.count("*").alias("c")).where(F.col("c") > home_edges)
+        over = big.select("home", F.lit(True).alias("big"))
         g = h.join(over.withColumnRenamed("home", "ha").withColumnRenamed("big", "ba"), "ha", "left").join(over.withColumnRenamed("home", "hb").withColumnRenamed("big", "bb"), "hb", "left")
         g = g.withColumn("sa", F.when(F.col("ba"), F.shiftright("a", 33)).otherwise(0)).withColumn("sb", F.when(F.col("bb"), F.shiftright("b", 33)).otherwise(0))
         g = g.withColumn("out", (F.col("ha") != F.col("hb")) | (F.col("sa") != F.col("sb")))
         outer = g.where("out").select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("o", F.lit(True))
         inner = g.where("not out").join(outer.select(F.col("id").alias("a"), F.col("o").alias("a_out")), "a", "left").join(outer.select(F.col("id").alias("b"), F.col("o").alias("b_out")), "b", "left").fillna(False, ["a_out", "b_out"])
         step = stage(inner.repartition(max(parts, 1), "ha", "sa").select("a", "b", "total", "n", "a_out", "b_out").mapInArrow(_merger(threshold), pair))
-        labels_new = step if labels is None else labels.join(step.select(F.col("id").alias("into"), F.col("into").alias("to")), "into", "left").select("id", F.coalesce("to", "into").alias("into")).unionByName(step)
-        labels_new = stage(labels_new.groupBy("id").agg(F.min("into").alias("into")))
-        c = h.join(step.select(F.col("id").alias("a"), F.col("into").alias("ia")), "a", "left").join(step.select(F.col("id").alias("b"), F.col("into").alias("ib")), "b", "left")
-        c = c.withColumn("x", F.coalesce("ia", "a")).withColumn("y", F.coalesce("ib", "b")).where("x <> y")
-        c = c.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "total", "n", F.least("ha", "hb").alias("h"))
+        if step.isEmpty():
+            drop_stage(step)
+            step = stage(mutual_round(h))
+        labels_new = relabel(labels, step)
+        c = contracted(h, step).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "total", "n", F.least("ha", "hb").alias("h"))
         nxt = stage(c.groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("h").alias("h")).where(F.col("total") / F.col("n") >= threshold))
-        if nxt.isEmpty():
+        done = nxt.isEmpty()
+        for o in [*old, h, step, *([labels] if labels is not None else []), *([nxt] if done else [])]:
+            drop_stage(o)
+        if done:
             return labels_new.select("id", F.col("into").alias("cluster"))
         homes = stage(nxt.select(F.explode(F.array("a", "b")).alias("id"), "h").groupBy("id").agg(F.min("h").alias("home")))
-        for o in [*old, h]:
-            drop_stage(o)
-        old, labels, e = [nxt, step, homes], labels_new, nxt.select("a", "b", "total", "n")
+        old, labels, e = [nxt, homes], labels_new, nxt.select("a", "b", "total", "n")
+
+
+def _kinds(cells: DataFrame, n: int, least_known: int) -> tuple[DataFrame, DataFrame]:
+    """Records with their vectors, and one row (id, weight, vector) for each kind of equal records; both staged."""
+    v = vectors(cells, n).where(F.col("known") >= least_known)
+    cols = plane_columns(n, n_planes(v.columns))
+    v = stage(v.withColumn("h1", F.xxhash64(*cols)).withColumn("h2", F.xxhash64(F.lit(7), *reversed(cols))))
+    kinds = v.groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.first("known").alias("known"), *[F.first(c).alias(c) for c in cols])
+    return v, stage(kinds.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _named(v: DataFrame, kinds: DataFrame, merged: DataFrame) -> DataFrame:
+    node = kinds.select("id", "h1", "h2").join(merged, "id", "left").select("h1", "h2", F.coalesce("cluster", "id").alias("cluster"))
+    member = v.select("name", "h1", "h2").join(node, ["h1", "h2"]).select("name", "cluster")
+    named = member.groupBy("cluster").agg(F.min("name").alias("cluster_name"), F.count("*").alias("size")).where("size > 1")
+    return member.join(named, "cluster").select("name", "cluster", "cluster_name", "size")
 
 
 def clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
     """(name, cluster, cluster_name, size) of every record in a cluster of two or more, and its vectors (name, bit planes).
 
     Two records are alike if at least ``least_known`` places are known in both and at most ``most_share`` of these differ. The graph holds alike
-    pairs only, so linkage ends when no alike pair joins two clusters: alike directly or through others is one cluster. Equal records are
-    one node. Records with fewer than ``least_known`` known places are like none.
+    pairs only and pairs without an edge don't count, so linkage ends when no alike pair joins two clusters: alike directly or through others is one cluster. See
+    :func:`close_clusters` for clusters whose members are alike on average. Equal records are one node. Records with fewer than ``least_known`` known places are like none.
     """
-    cols = plane_columns(n)
-    v = vectors(cells, n).where(F.col("known") >= least_known)
-    v = stage(v.withColumn("h1", F.xxhash64(*cols)).withColumn("h2", F.xxhash64(F.lit(7), *reversed(cols))))
-    kinds = v.groupBy("h1", "h2").agg(F.first("known").alias("known"), *[F.first(c).alias(c) for c in cols])
-    kinds = stage(kinds.withColumn("id", F.monotonically_increasing_id()))
+    v, kinds = _kinds(cells, n, least_known)
     edges, stars = similarity_graph(kinds, n, least_known, most_share, blocks)
     homes = stars.groupBy("id").agg(F.min("leader").alias("home"))
     homes = homes.join(homes.select(F.col("id").alias("home"), F.col("home").alias("higher")), "home", "left").select("id", F.coalesce("higher", "home").alias("home"))
     merged = average_linkage(edges, homes, 1 - most_share)
-    node = kinds.select("id", "h1", "h2").join(merged, "id", "left").select("h1", "h2", F.coalesce("cluster", "id").alias("cluster"))
-    member = v.select("name", "h1", "h2").join(node, ["h1", "h2"]).select("name", "cluster")
-    named = member.groupBy("cluster").agg(F.min("name").alias("cluster_name"), F.count("*").alias("size")).where("size > 1")
-    return member.join(named, "cluster").select("name", "cluster", "cluster_name", "size"), v.select("name", *cols)
+    for o in (edges, stars):
+        drop_stage(o)
+    return _named(v, kinds, merged), v.select("name", *plane_columns(n, n_planes(v.columns)))
+
+
+PROFILE = "id long, places array<long>, counts array<long>"
+
+
+def _dense(t: pa.Table, sides: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The places that occur, and the counts of the profiles of each side (rows, places)."""
+    flat = lambda c: (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
+    lists = [flat(t[f"{p}places"].combine_chunks()) for p in sides]
+    counts = [flat(t[f"{p}counts"].combine_chunks()).flatten().to_numpy() for p in sides]
+    places, at = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]), return_inverse=True)
+    out, begin = [], 0
+    for x, c in zip(lists, counts, strict=True):
+        d = np.zeros((t.num_rows, len(places)))
+        d[np.repeat(np.arange(t.num_rows), np.diff(x.offsets.to_numpy())), at[begin : begin + len(c)]] = c
+        begin += len(c)
+        out.append(d)
+    return places, out
+
+
+def _sparse(ids: np.ndarray, places: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
+    row, col = np.nonzero(dense)
+    offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(ids)))].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (places[col].astype(np.int64), dense[row, col].astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["id", "places", "counts"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Table]:
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield pa.Table.from_batches([b.slice(lo, rows)])
+
+
+def profiles(kinds: DataFrame, n: int, top: int) -> DataFrame:
+    """Sparse profile of each kind: place (position * (top + 1) + state) and the number of records there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _chunks(batches):
+            x = states(t, n)
+            row, pos = np.nonzero(x >= 0)
+            offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(x)))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(y)) for y in (pos * (top + 1) + x[row, pos], t["weight"].to_numpy()[row])]
+            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), *lists], ["id", "places", "counts"])
+
+    return kinds.mapInArrow(run, PROFILE)
+
+
+def average_similarity(pairs: DataFrame, prof: DataFrame, top: int) -> DataFrame:
+    """(a, b, sim) of pairs (a, b) of clusters: of all pairs of their records, the share of the places known in both that agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _chunks(batches):
+            places, (x, y) = _dense(t, ["a_", "b_"])
+            pos = places // (top + 1)
+            first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+            known = [np.add.reduceat(d, first, axis=1) for d in (x, y)]
+            sim = np.einsum("ij,ij->i", x, y) / np.maximum(np.einsum("ij,ij->i", *known), 1)
+            yield pa.RecordBatch.from_arrays([t["a"].combine_chunks(), t["b"].combine_chunks(), pa.array(sim)], ["a", "b", "sim"])
+
+    side = lambda p: prof.select(F.col("id").alias(p), F.col("places").alias(f"{p}_places"), F.col("counts").alias(f"{p}_counts"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, sim double")
+
+
+def merged_profiles(prof: DataFrame, step: DataFrame) -> DataFrame:
+    """Profiles after the pairs of ``step`` (id, into) were merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _chunks(batches):
+            places, (x, y) = _dense(t, ["", "b_"])
+            yield _sparse(t["id"].to_numpy(), places, x + y)
+
+    gone = step.select("id")
+    grown = prof.join(step.select(F.col("into").alias("id"), F.col("id").alias("other")), "id").join(prof.select(F.col("id").alias("other"), F.col("places").alias("b_places"), F.col("counts").alias("b_counts")), "other")
+    rest = prof.join(gone, "id", "left_anti").join(step.select(F.col("into").alias("id")), "id", "left_anti")
+    return rest.select("id", "places", "counts").unionByName(grown.select("id", "places", "counts", "b_places", "b_counts").mapInArrow(run, PROFILE))
+
+
+def close_clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """Clusters of records that are alike on average; returns what :func:`clusters` does.
+
+    Average linkage in rounds over the sparse graph of alike records: all mutual best pairs of clusters are merged, then the averages of those that changed are taken anew, over all
+    pairs of their records (unlike ones and ones without an edge too), from the clusters' profiles of states. Where no pair reaches the threshold any more, clusters that have a neighbour in common
+    are compared, each with the first and the next one beside it; linkage ends when none of these reaches it either. A cluster is a row with one count per place and state, whatever its size.
+    """
+    v, kinds = _kinds(cells, n, least_known)
+    top = (1 << n_planes(v.columns)) - 1
+    threshold = 1 - most_share
+    edges, stars = similarity_graph(kinds, n, least_known, most_share, blocks)
+    drop_stage(stars)
+    prof = stage(profiles(kinds, n, top))
+    e = stage(average_similarity(edges.select("a", "b"), prof, top))
+    drop_stage(edges)
+    labels: DataFrame | None = None
+    while True:
+        good = e.where(F.col("sim") >= threshold)
+        best = best_pairs(good, F.col("sim"))
+        pairs = good.select("a", "b").join(best.select(F.col("id").alias("a"), F.col("best").alias("ta")), "a").join(best.select(F.col("id").alias("b"), F.col("best").alias("tb")), "b")
+        step = stage(pairs.where("ta = b and tb = a").select(F.col("b").alias("id"), F.col("a").alias("into")))
+        if step.isEmpty():
+            drop_stage(step)
+            more = stage(_beside(e, prof, top))
+            if more.where(F.col("sim") >= threshold).isEmpty():
+                break
+            wider = stage(e.unionByName(more))
+            for o in (e, more):
+                drop_stage(o)
+            e = wider
+            continue
+        labels_new = relabel(labels, step)
+        prof_new = stage(merged_profiles(prof, step))
+        c = contracted(e, step.unionByName(step.select(F.col("into").alias("id"), "into")))
+        c = c.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.coalesce("ia", "ib")).alias("changed"), F.first("sim").alias("sim"))
+        c = stage(c)
+        nxt = stage(c.where("changed is null").select("a", "b", "sim").unionByName(average_similarity(c.where("changed is not null").select("a", "b"), prof_new, top)))
+        for o in [e, c, step, prof, *([labels] if labels is not None else [])]:
+            drop_stage(o)
+        e, prof, labels = nxt, prof_new, labels_new
+    for o in (e, prof, more):
+        drop_stage(o)
+    merged = kinds.select("id", F.col("id").alias("cluster")) if labels is None else labels.select("id", F.col("into").alias("cluster"))
+    return _named(v, kinds, merged), v.select("name", *plane_columns(n, n_planes(v.columns)))
+
+
+def _beside(e: DataFrame, prof: DataFrame, top: int) -> DataFrame:
+    """(a, b, sim) of clusters with a neighbour in common that weren't compared yet: each with the neighbour's first and with the next one."""
+    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.min("b").alias("f"))
+    w = Window.partitionBy("a", F.shiftright("b", 33)).orderBy("b")
+    x = both.withColumn("l", F.lag("b").over(w)).join(first, "a").select("b", F.explode(F.array("f", "l")).alias("o")).where("o is not null and b <> o")
+    x = x.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
+    return average_similarity(x.join(e.select("a", "b"), ["a", "b"], "left_anti"), prof, top)
 
 
 def describe(members: DataFrame, planes: DataFrame, n: int, top: int = 3) -> DataFrame:
     """One row per cluster: size and its most typical members, those that differ least from the most frequent state of each place."""
-    cols = plane_columns(n)
+    k = n_planes(planes.columns)
+    cols = plane_columns(n, k)
     w = _words(n)
     m = members.join(planes, "name")
     m = stage(m)
     x = m.select("cluster", *cols, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
     at = lambda c: F.expr(f"shiftrightunsigned({c}, cast(pos % 64 as int)) & 1L")
     pick = lambda c: sum((F.when(F.floor(F.col("pos") / 64) == i, at(f"{c}{i}")).otherwise(0) for i in range(w)), F.lit(0))
-    x = x.where(pick("k") == 1).select("cluster", "pos", sum((pick(f"p{i}_") * (1 << i) for i in range(PLANES)), F.lit(0)).alias("state"))
+    x = x.where(pick("k") == 1).select("cluster", "pos", sum((pick(f"p{i}_") * (1 << i) for i in range(k)), F.lit(0)).alias("state"))
     mode = x.groupBy("cluster", "pos", "state").agg(F.count("*").alias("c")).groupBy("cluster", "pos").agg(F.max_by("state", F.struct(F.col("c"), -F.col("state"))).alias("state"))
-    usual = vectors(mode.select(F.col("cluster").alias("name"), "pos", "state", F.lit(0).alias("at")), n)
+    usual = vectors(mode.select(F.col("cluster").alias("name"), "pos", "state", F.lit(0).alias("at")), n, k)
     a = m.select("cluster", "name", "cluster_name", "size", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = usual.select(F.col("name").alias("cluster"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    y = a.join(b, "cluster").select("cluster_name", "size", "name", F.round(1 - differing(n) / both_known(n), 6).alias("likeness"))
+    y = a.join(b, "cluster").select("cluster_name", "size", "name", F.round(1 - differing(n, k) / both_known(n), 6).alias("likeness"))
     best = Window.partitionBy("cluster_name").orderBy(F.desc("likeness"), "name")
     y = y.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
     return y.groupBy("cluster_name", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda s: s["name"]).alias("typical"), F.max("likeness").alias("likeness"))

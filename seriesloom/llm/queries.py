@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from seriesloom.llm import linkage, mixing, packing, quantiles, residue, splits
 from seriesloom.llm.tokens import n_tokens
-from seriesloom.util import spread, stage, table
+from seriesloom.util import finite, spread, stage, table
 
 QS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 KEYS = ["uid", "metric"]
@@ -18,8 +18,9 @@ def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     bins = table(spark, d, "bins")
     n = bins.count()  # fixed catalogue of bins
     at = bins.select("chrom", "bin_idx", (F.row_number().over(Window.orderBy("chrom_rank", "bin_idx")) - 1).alias("pos"))
-    seg = F.when(~F.isnan("segmented") & (F.abs("segmented") < 1e6), F.bround("segmented", 0)).cast("int")
-    rows = table(spark, d, "assaydata").select("name", "chrom", "bin_idx", F.coalesce("copynumber", seg).alias("state"), F.col("loaded_at").alias("at"))
+    seg = finite(F.col("segmented"))
+    whole = F.when(F.abs(seg) > 2.0**53, F.signum(seg) * 2.0**53).otherwise(F.bround(seg, 0)).cast("long")  # beyond 2^53 doubles don't tell whole numbers apart
+    rows = table(spark, d, "assaydata").select("name", "chrom", "bin_idx", F.coalesce(F.col("copynumber").cast("long"), whole).alias("state"), F.col("loaded_at").alias("at"))
     return rows.join(F.broadcast(at), ["chrom", "bin_idx"]).select("name", "pos", "state", "at"), n
 
 
@@ -34,12 +35,29 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Size and most typical cells of each cluster."""
+    """Size and most typical cells of each cluster of cells that are alike on average."""
     cells, n = _profiles(spark, d)
-    members, planes = linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE)
+    members, planes = linkage.close_clusters(cells, n, LEAST_KNOWN, MOST_SHARE)
     return linkage.describe(members, planes, n)
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Alike pairs of the cells whose first row_id in pdata is divisible by 100 with all cells, by comparing them all, and how many lie in one cluster."""
+    cells, n = _profiles(spark, d)
+    members, planes = linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE)
+    v = stage(planes.join(members.select("name", "cluster"), "name", "left"))
+    cell = F.lower(F.trim("name"))
+    asked = table(spark, d, "pdata").groupBy(cell.alias("cell")).agg(F.min("row_id").alias("r")).where("r % 100 = 0").select("cell")
+    q = stage(v.join(asked, cell == F.col("cell"), "left_semi"))
+    blocks = -(-q.count() // 4096) or 1  # the query set meets all rows in blocks
+    a = q.select(*[F.col(c).alias(f"a_{c}") for c in q.columns], F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("block"))
+    b = v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    both, diff = linkage.both_known(n), linkage.differing(n, linkage.n_planes(planes.columns))
+    alike = a.join(b, "block").where((F.col("a_name") != F.col("b_name")) & (both >= LEAST_KNOWN) & (diff <= both * F.lit(MOST_SHARE)))
+    found = alike.agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum(F.coalesce(F.col("a_cluster") == F.col("b_cluster"), F.lit(False)).cast("long")), F.lit(0)).alias("n_joined"))
+    return found.select(F.lit(q.count()).cast("long").alias("n_queries"), "n_pairs", "n_joined", F.when(F.col("n_pairs") > 0, F.col("n_joined") / F.col("n_pairs")).otherwise(1.0).alias("recall"))
+
+
 def _measures(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pdata").select(splits.uid_of(F.col("uid"), F.col("name")).alias("uid"), F.to_date("loaded_at").alias("day"), "rpc", "ploidy")
     each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("rpc", "ploidy")])
@@ -138,7 +156,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(table(spark, d, "documents"), "doc_id", "text", "sitting")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_recall, p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
 
 _CELLS = r"""
 with recursive rw as (select name, uid, regexp_replace(name, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') n, slx from pdata),
@@ -148,15 +166,23 @@ with recursive rw as (select name, uid, regexp_replace(name, '^[\s\x{a0}]+|[\s\x
 _UNKNOWN = ", ".join(f"'{x}'" for x in splits.UNKNOWN)
 _KNOWN = r"""(regexp_replace(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^SLX', '') not in ('', """ + _UNKNOWN + r""") and not regexp_full_match(regexp_replace(upper(regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')), '^SLX', ''), '0+'))"""
 
-ORACLES: dict[str, str] = {
-    "p2_found": """
+_STATES = """
 with recursive st as (select name, b.rk pos, arg_max(coalesce(copynumber, cast(round_even(segmented, 0) as int)), loaded_at) s0, any_value(1) from
   (select *, row_number() over (partition by name, chrom, bin_idx order by loaded_at desc nulls last, coalesce(copynumber, cast(round_even(segmented, 0) as int)) desc nulls last) rn from assaydata) a
   join (select chrom, bin_idx, row_number() over (order by chrom_rank, bin_idx) rk from bins) b on a.chrom = b.chrom and a.bin_idx = b.bin_idx where rn = 1 group by 1, 2),
- s as (select name, pos, s0 from st where s0 is not null),
+ s as (select name, pos, s0 from st where s0 is not null)"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": _STATES + """,
  e as (select a.name x, b.name y from s a join s b on a.pos = b.pos and a.name <> b.name group by 1, 2 having count(*) >= 60 and 8 * count(*) filter (a.s0 <> b.s0) <= count(*)),
  r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select x as name, least(x, min(y)) as cluster_name from r group by 1""",
+    "p2_recall": _STATES + """,
+ k as (select lower(trim(name)) cell from pdata where name is not null group by 1 having min(row_id) % 100 = 0),
+ known as (select name from s group by 1 having count(*) >= 60),
+ q as (select s.* from s where lower(trim(name)) in (select cell from k) and name in (select name from known)),
+ e as (select a.name x, b.name y from q a join s b on a.pos = b.pos and a.name <> b.name group by 1, 2 having count(*) >= 60 and 8 * count(*) filter (a.s0 <> b.s0) <= count(*))
+select (select count(distinct name) from q) as n_queries, count(*) as n_pairs, count(*) as n_joined, 1.0::double as recall from e""",
     "p4_percentiles": """
 with x as (select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(name), '_', 1))) uid, 'rpc' metric, rpc v from pdata union all select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(name), '_', 1))), 'ploidy', ploidy from pdata),
  c as (select uid, metric, case when v = 0 then 0 else sign(v) * (1 + least(greatest(floor((log2(abs(v)) + 64) * 65536), 0), 8388606)) end m from x where v is not null and isfinite(v)),

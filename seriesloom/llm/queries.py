@@ -80,20 +80,33 @@ def _libraries(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.lower("name").alias("cell"), splits.uid_of(F.col("uid"), F.col("name")).alias("uid"), splits.libraries_of(F.col("slx"), F.col("name")).alias("libs"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of UIDs that share a library, directly or through other UIDs."""
+def _members(spark: SparkSession, d: str) -> DataFrame:
     comp = splits.components(splits.library_links(_libraries(spark, d)))
-    u = comp.where("node like 'u:%'").select(F.substring("node", 3, 1 << 30).alias("uid"), "root")
-    a, b = u.select(F.col("uid").alias("uid_a"), "root"), u.select(F.col("uid").alias("uid_b"), "root")
-    return a.join(b, "root").where("uid_a < uid_b").select("uid_a", "uid_b")
+    return comp.where("node like 'u:%'").select(F.substring("node", 3, 1 << 30).alias("uid"), "root")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of UIDs that share a library, directly or through other UIDs. The pairs of a component are spread by its first UIDs."""
+    u = stage(_members(spark, d))
+    salts = 2 * spark.sparkContext.defaultParallelism
+    a = u.select(F.col("uid").alias("uid_a"), "root", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int").alias("salt"))
+    b = u.join(u.groupBy("root").agg(F.count("*").alias("c")).where("c > 1").select("root"), "root", "left_semi")
+    b = b.select(F.col("uid").alias("uid_b"), "root", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return a.join(b, ["root", "salt"]).where("uid_a < uid_b").select("uid_a", "uid_b")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Membership without the pairs: each UID with a library, the first UID of its group and the number of UIDs there."""
+    u = stage(_members(spark, d))
+    return u.join(u.groupBy("root").agg(F.min("uid").alias("group_uid"), F.count("*").alias("n_uids")), "root").select("uid", "group_uid", "n_uids")
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     """One split for each cell of pdata; UIDs that share a library or a cell stay together."""
     rows = _libraries(spark, d)
-    cells = rows.where("cell is not null and cell <> ''").groupBy("cell").agg(F.min("uid").alias("uid"), F.max("uid").alias("other"))
-    cells = stage(cells)
-    shared = cells.where("uid <> other").select(F.concat(F.lit("u:"), "uid").alias("a"), F.concat(F.lit("u:"), "other").alias("b"))
+    pairs = stage(rows.where("cell is not null and cell <> ''").select("cell", "uid").distinct())
+    cells = stage(pairs.groupBy("cell").agg(F.min("uid").alias("uid")))
+    shared = pairs.withColumnRenamed("uid", "other").join(cells, "cell").where("uid <> other").select(F.concat(F.lit("u:"), "uid").alias("a"), F.concat(F.lit("u:"), "other").alias("b")).distinct()
     links = splits.library_links(rows).unionByName(shared)
     out = splits.related_splits(cells.select(F.col("cell").alias("record"), F.col("uid").alias("entity")), links, table(spark, d, "split_targets"))
     return out.select(F.col("record").alias("cell"), F.col("entity").alias("uid"), F.col("grp").alias("group_name"), "split")
@@ -156,7 +169,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(table(spark, d, "documents"), "doc_id", "text", "sitting")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_recall, p4_percentiles, p4_daily, p5_found, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_recall, p4_percentiles, p4_daily, p5_found, p5_groups, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
 
 _CELLS = r"""
 with recursive rw as (select name, uid, regexp_replace(name, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') n, slx from pdata),
@@ -172,6 +185,12 @@ with recursive st as (select name, b.rk pos, arg_max(coalesce(copynumber, cast(r
   join (select chrom, bin_idx, row_number() over (order by chrom_rank, bin_idx) rk from bins) b on a.chrom = b.chrom and a.bin_idx = b.bin_idx where rn = 1 group by 1, 2),
  s as (select name, pos, s0 from st where s0 is not null)"""
 
+_LINKED = _CELLS + " , p as (select uid, unnest(string_split_regex(entry, '[+;/]')) part from u where uid is not null and " + _KNOWN.format("entry") + """),
+ l as (select distinct uid, upper(regexp_replace(part, '[^0-9A-Za-z]', '', 'g')) lib from p where """ + _KNOWN.format("part") + """),
+ e as (select distinct a.uid x, b.uid y from l a join l b on a.lib = b.lib),
+ r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+"""
+
 ORACLES: dict[str, str] = {
     "p2_found": _STATES + """,
  e as (select a.name x, b.name y from s a join s b on a.pos = b.pos and a.name <> b.name group by 1, 2 having count(*) >= 60 and 8 * count(*) filter (a.s0 <> b.s0) <= count(*)),
@@ -189,9 +208,6 @@ with x as (select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(n
  g as (select uid, metric, count(*) n, list(m order by m) l from c group by 1, 2)
 select uid, metric, q, n, 24 * (n // 4800) as rank_error, round(case when l[cast(ceil(q * n) as int)] = 0 then 0 else sign(l[cast(ceil(q * n) as int)]) * pow(2, (abs(l[cast(ceil(q * n) as int)]) - 0.5) / 65536 - 64) end, 6) as value
 from g, (select unnest([0.05::double, 0.25, 0.5, 0.75, 0.95, 0.99]) q)""",
-    "p5_found": _CELLS + " , p as (select uid, unnest(string_split_regex(entry, '[+;/]')) part from u where uid is not null and " + _KNOWN.format("entry") + """),
- l as (select distinct uid, upper(regexp_replace(part, '[^0-9A-Za-z]', '', 'g')) lib from p where """ + _KNOWN.format("part") + """),
- e as (select distinct a.uid x, b.uid y from l a join l b on a.lib = b.lib),
- r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
-select x as uid_a, y as uid_b from r where x < y""",
+    "p5_found": _LINKED + "select x as uid_a, y as uid_b from r where x < y",
+    "p5_groups": _LINKED + "select x as uid, min(y) as group_uid, count(*) as n_uids from r group by 1",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,30 +44,45 @@ def library_links(rows: DataFrame) -> DataFrame:
 def fill(counts: list[tuple[int, int]], shares: list[tuple[str, float]]) -> list[tuple[int, int, int, str]]:
     """Greedy largest first. counts: (size, number of groups of that size); shares: (split, share).
 
-    Returns (size, first, past, split): of the groups of a size, those numbered ``first`` to ``past`` - 1 go to the split that was
-    furthest below its target when their turn came. Groups of a size are alike, so all that keep the order of the
-    deficits go in one step. Ties go to the split named first.
+    Returns (size, first, past, split), at most one for each size and split: of the groups of a size, as many go to a split as greedy steps would give it, each to the split
+    furthest below its target (ties to the one named first). Groups of a size are alike, so their steps aren't taken one by one: they raise the lowest splits together, like water.
     """
     total = sum(s * n for s, n in counts)
     norm = sum(x for _, x in shares) or 1.0
-    heap = [(-total * x / norm, i) for i, (_, x) in enumerate(shares)]
-    heapq.heapify(heap)
+    lack = [total * x / norm for _, x in shares]  # how far each split is below its target
     out: list[tuple[int, int, int, str]] = []
     for size, n in sorted(counts, reverse=True):
-        done = 0
-        while done < n:
-            d, i = heapq.heappop(heap)
-            gap = (-d + heap[0][0]) if heap else float("inf")  # how much further below than the next
-            k = n - done if gap == float("inf") else min(n - done, max(1, int(gap // max(size, 1))))
-            if out and out[-1][0] == size and out[-1][3] == shares[i][0] and out[-1][2] == done:
-                out[-1] = (size, out[-1][1], done + k, shares[i][0])
-            else:
-                out.append((size, done, done + k, shares[i][0]))
-            done += k
-            heapq.heappush(heap, (d + k * size, i))
+        take = _water(lack, size, n) if size > 0 else [n] + [0] * (len(lack) - 1)
+        first = 0
+        for i, k in enumerate(take):
+            lack[i] -= k * size
+            if k:
+                out.append((size, first, first + k, shares[i][0]))
+                first += k
     return out
 
 
+def _water(lack: list[float], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each split gets when every group goes to the split with the largest lack."""
+    def given(level: float) -> list[int]:  # groups that a split gets while its lack is above the level
+        return [max(0, math.ceil((x - level) / size)) for x in lack]
+
+    lo, hi = min(lack) - (n + 1) * size, max(lack)  # the lower level gives at least n, the upper none
+    while hi - lo > size / 1000:
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        if sum(given(mid)) > n:
+            lo = mid
+        else:
+            hi = mid
+    take = given(hi)
+    for _ in range(n - sum(take)):  # at most one or two for each split are left
+        i = max(range(len(lack)), key=lambda k: (lack[k] - take[k] * size, -k))
+        take[i] += 1
+    return take
+
+
 def assign_groups(groups: DataFrame, shares: DataFrame, seed: int = 7) -> DataFrame:
     """(grp, size) to (grp, size, split).
 
@@ -87,7 +102,7 @@ def assign_groups(groups: DataFrame, shares: DataFrame, seed: int = 7) -> DataFr
 
 
 def _classes(steps: list[tuple[int, int, int, str]]) -> list[tuple[int, int, list[int], list[str]]]:
-    """One row per size: the groups of a size change sides often, so shares of each split are made contiguous."""
+    """One row per size: where the groups of each split end."""
     per: dict[int, dict[str, int]] = {}
     for size, a, b, name in steps:
         per.setdefault(size, {})

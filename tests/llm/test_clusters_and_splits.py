@@ -156,3 +156,85 @@ def test_greedy_is_largest_first():
     for size, lo, hi, s in steps_:
         total[s] += size * (hi - lo)
     assert total == {"a": 50, "b": 50}
+
+
+@pytest.mark.parametrize("n", [3, 999, 1_000_000])
+def test_equal_groups_are_planned_in_few_steps(n):
+    shares = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
+    steps_ = splits.fill([(3, n), (2, 17), (1, n)], shares)
+    assert len(steps_) <= 9
+    for size, count in ((3, n), (2, 17), (1, n)):
+        part = sorted((lo, hi) for s, lo, hi, _ in steps_ if s == size)
+        assert part[0][0] == 0 and part[-1][1] == count and all(a[1] == b[0] for a, b in zip(part, part[1:], strict=False))
+    total = {s: sum(size * (hi - lo) for size, lo, hi, x in steps_ if x == s) for s, _ in shares}
+    whole = sum(total.values())
+    assert all(abs(total[s] - x * whole) <= 3 for s, x in shares)
+
+
+def test_water_equals_single_steps():
+    rng = random.Random(4)
+    for _ in range(200):
+        lack = [float(rng.randrange(-5, 60)) for _ in range(rng.choice([1, 2, 3, 5]))]
+        size, n = rng.randrange(1, 9), rng.randrange(0, 40)
+        want, left = [0] * len(lack), list(lack)
+        for _ in range(n):
+            i = max(range(len(left)), key=lambda k: (left[k], -k))
+            want[i] += 1
+            left[i] -= size
+        assert splits._water(list(lack), size, n) == want
+
+
+def test_a_home_over_the_limit_that_touches_every_part_still_ends(spark):
+    """Every node has a neighbour in another spread of its home, so that no task may merge any: rounds over the whole graph do."""
+    rng = random.Random(9)
+    ids = [(p << 33) + i for p in range(4) for i in range(10)]
+    pairs = sorted({(min(a, b), max(a, b)) for a in ids for b in rng.sample(ids, 4) if a >> 33 != b >> 33})
+    edges = spark.createDataFrame([(a, b, 0.9 + rng.random() / 10) for a, b in pairs], "a long, b long, sim double")
+    homes = spark.createDataFrame([(i, ids[0]) for i in ids], "id long, home long")
+    want = union(pairs)
+    for limit in (5, 400_000):
+        got = {r.id: r.cluster for r in linkage.average_linkage(edges, homes, 0.5, limit).collect()}
+        of = {i: got.get(i, i) for i in want}
+        assert len(set(of.values())) == len(set(want.values()))
+        assert all((of[a] == of[b]) for a, b in pairs)
+
+
+def test_best_first_and_rounds_give_the_same_clusters(monkeypatch):
+    rng = np.random.default_rng(5)
+    for k in range(40):
+        n, m = 40, 90
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        keep = a != b
+        u = np.unique(np.minimum(a, b)[keep] * n + np.maximum(a, b)[keep])
+        a, b, s = u // n, u % n, rng.random(len(u))
+        fixed = rng.random(n) < (0.1 if k % 2 else 0)
+        out = []
+        for few in (0.0, 2.0):
+            monkeypatch.setattr(linkage, "FEW", few)
+            label = linkage.merge_mutual(a, b, s, np.ones(len(u)), fixed, n, 0.4)
+            out.append([int(np.flatnonzero(label == x)[0]) for x in label])
+        assert out[0] == out[1] or fixed.any()
+
+
+def test_close_clusters_count_unlike_pairs(spark):
+    """A chain of records, each alike only to the next ones, is one cluster by links and several by averages; tight groups stay whole."""
+    rng = random.Random(21)
+    n, chain, vectors = 120, steps(rng, 120), []
+    for k in range(12):
+        vectors.append((f"z{k:02}", list(chain)))
+        for i in rng.sample(range(n), 12):
+            chain[i] += 1
+    base = steps(rng, n)
+    vectors += [(f"t{k}", noisy(rng, base, 3, 2)) for k in range(9)] + [("huge", [10**12] * n), ("huge2", [10**12] * n)]
+    cells = spark.createDataFrame([(nm, i, s, T0) for nm, v in vectors for i, s in enumerate(v) if s is not None], "name string, pos int, state long, at timestamp")
+    linked = {r.name: r.cluster_name for r in linkage.clusters(cells, n, 60, 0.125)[0].collect()}
+    close = {r.name: r.cluster_name for r in linkage.close_clusters(cells, n, 60, 0.125)[0].collect()}
+    assert {linked[f"z{k:02}"] for k in range(12)} == {"z00"} and linked["huge2"] == close["huge2"] == "huge"
+    assert len({close.get(f"z{k:02}", k) for k in range(12)}) > 1
+    assert {close[f"t{k}"] for k in range(9)} == {"t0"}
+    at = dict(vectors)
+    for name in set(close.values()):
+        inside = [m for m, c in close.items() if c == name]
+        sims = [sum(x == y for x, y in zip(at[a], at[b], strict=True) if x is not None and y is not None) / sum(x is not None and y is not None for x, y in zip(at[a], at[b], strict=True)) for a in inside for b in inside if a < b]
+        assert np.mean(sims) > 0.85
+    assert linkage.close_clusters(cells.where("false"), n, 60, 0.125)[0].count() == 0

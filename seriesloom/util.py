@@ -15,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder that all executors share, from ``spark.checkpoint.dir``. Where that is unset, a session on one machine (master ``local``) gets a folder of its own; on a cluster it is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if context.isDefined():
         return context.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -36,16 +38,19 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
 
 
 def drop_stage(df: DataFrame) -> None:
     """Remove the files of a table written by :func:`stage` that no later plan reads."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/stage-" in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = getattr(df, "_stage_path", None)
+    if folder is None:
+        raise ValueError("not a table that stage() wrote")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def r6(x: Column | str) -> Column:

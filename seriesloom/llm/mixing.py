@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -15,19 +18,57 @@ BLOCK_ROWS = 64
 SHARD_BLOCKS = 256
 
 
+def _halves(c: np.ndarray, seed: int, depth: int, node: int) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of a node of the tree in two halves, by one multivariate hypergeometric draw that depends on the node only."""
+    rng = np.random.default_rng([seed, depth, node])
+    left = rng.multivariate_hypergeometric(c, int(c.sum()) // 2, method="marginals") if c.sum() else c
+    return left, c - left
+
+
+def shard_runs(blocks: list[int], shards: int, seed: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of every source (rows: the shards in ``which``).
+
+    The blocks of all sources are parted in two again and again, down to single shards, so every source's count is used up exactly; ``shards`` is a power of two. A shard's
+    part is found by walking down from the root, drawing only the nodes on the way and adding up what lies to the left.
+    """
+    first, size = np.zeros((len(which), len(blocks)), np.int64), np.zeros((len(which), len(blocks)), np.int64)
+    depth = shards.bit_length() - 1
+    known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for i, k in enumerate(which.tolist()):
+        c, begin = np.asarray(blocks, np.int64), np.zeros(len(blocks), np.int64)
+        for d in range(depth):
+            node = k >> (depth - d)
+            if (d, node) not in known:
+                if len(known) > 4 * depth + 64:
+                    known.clear()
+                known[d, node] = _halves(c, seed, d, node)
+            left, right = known[d, node]
+            if k >> (depth - d - 1) & 1:
+                c, begin = right, begin + left
+            else:
+                c = left
+        first[i], size[i] = begin, c
+    return first, size
+
+
 def shard_quotas(blocks: list[int], shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) block counts. A node's blocks are parted in two halves by one multivariate hypergeometric
-    draw, down to single shards, so every source's count is used up exactly; ``shards`` is a power of two."""
-    level = [np.asarray(blocks, np.int64)]
-    depth = 0
-    while len(level) < shards:
-        below = []
-        for i, c in enumerate(level):
-            rng = np.random.default_rng([seed, depth, i])
-            left = rng.multivariate_hypergeometric(c, int(c.sum()) // 2, method="marginals") if c.sum() else c
-            below += [left, c - left]
-        level, depth = below, depth + 1
-    return np.array(level)
+    """(shards, sources) block counts of all shards."""
+    return shard_runs(blocks, shards, seed, np.arange(shards))[1]
+
+
+def dealt_blocks(spark: SparkSession, names: list[str], blocks: list[int], shards: int, seed: int) -> DataFrame:
+    """(source, shard, block) of every block; the tasks walk the tree for their own shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which = b["id"].to_numpy()
+            first, size = shard_runs(blocks, shards, seed, which)
+            row, source = np.nonzero(size)
+            columns = [pa.array([names[j] for j in source], pa.string()), pa.array(which[row]), pa.array(first[row, source]), pa.array(first[row, source] + size[row, source] - 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "shard", "lo", "hi"])
+
+    runs = spark.range(shards).mapInArrow(run, "source string, shard long, lo long, hi long")
+    return runs.select("source", "shard", F.explode(F.sequence("lo", "hi")).alias("block"))
 
 
 def source_totals(records: DataFrame, targets: DataFrame) -> tuple[list[dict], int]:
@@ -68,11 +109,7 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
     shards = 1
     while shards * SHARD_BLOCKS < sum(blocks):
         shards *= 2
-    quotas = shard_quotas(blocks, shards, seed) if names else np.zeros((1, 0), np.int64)
-    begin = np.cumsum(quotas, axis=0) - quotas
-    runs = [(names[j], k, int(begin[k, j]), int(begin[k, j] + quotas[k, j]) - 1) for k in range(shards) for j in range(len(names)) if quotas[k, j]]
-    run_schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
-    dealt = spark.createDataFrame(runs, run_schema).select("source", "shard", F.explode(F.sequence("lo", "hi")).alias("block"))
+    dealt = dealt_blocks(spark, names, blocks, shards, seed)
     x = r.select("source", "item", "tokens", "pos", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no"))
     x = x.withColumn("block", F.floor(((F.col("copy_no") - 1) * F.col("n") + F.col("pos")) / BLOCK_ROWS).cast("long"))
     x = x.join(dealt, ["source", "block"])

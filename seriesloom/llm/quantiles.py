@@ -1,15 +1,16 @@
 """Percentiles of large numeric columns from mergeable dyadic-tree counts with a deterministic rank error.
 
-Values are placed on a bounded ordered universe of ``2**24`` codes: 65 536 steps to each doubling of the magnitude from 2^-64 to
-2^64 on either side of zero. A sketch is a set of tree nodes (level, node, count): level 0 holds single codes, level ``l`` blocks of ``2**l`` codes.
+Values are placed on a bounded ordered universe of ``2**28`` codes that holds every finite double: 63 900 steps to each doubling of the magnitude on either
+side of zero. A sketch is a set of tree nodes (level, node, count): level 0 holds single codes, level ``l`` blocks of ``2**l`` codes.
 Compression moves a node, its sibling and their parent into the parent while they hold at most ``n / k`` values together.
-Sketches are merged by adding the counts of equal nodes. A returned value is off by at most ``24 * n / k`` ranks and by a
-relative ``2**(1/65536) - 1`` in value; groups with ``n < k`` aren't compressed and have no rank error.
+Sketches are merged by adding the counts of equal nodes. A returned value is off by at most ``28 * n / k`` ranks and by a
+relative ``2**(1/63900) - 1`` in value; groups with ``n < k`` aren't compressed and have no rank error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +18,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEVELS = 24
-STEPS = 65_536
+LEVELS = 28
+STEPS = 63_900
 HALF = 1 << (LEVELS - 1)
+#: Doublings from the smallest double to 1.
+LOWEST = 1075
 #: Compression factor: rank error of at most LEVELS / K = 0.5 % of the rows.
-K = 4800
+K = 5600
+#: Rows that a task gathers before it makes them a sketch.
+GATHERED = 1 << 20
 
 
 def code(x: Column) -> Column:
-    """Place of a finite value on the universe; magnitudes beyond 2^±64 take the outermost codes."""
-    m = F.floor((F.log2(F.abs(x)) + 64) * STEPS)
-    m = F.least(F.greatest(m, F.lit(0)), F.lit(HALF - 2)) + 1
+    """Place of a finite value on the universe."""
+    m = F.floor((F.log2(F.abs(x)) + LOWEST) * STEPS) + 1
     return (F.when(x == 0, F.lit(HALF)).when(x > 0, HALF + m).otherwise(HALF - m)).cast("int")
 
 
 def decode(c: np.ndarray) -> np.ndarray:
     """Middle value of a code."""
     m = np.abs(c.astype(np.int64) - HALF)
-    return np.sign(c - HALF) * np.where(m == 0, 0.0, 2.0 ** ((m - 0.5) / STEPS - 64))
+    return np.sign(c - HALF) * np.where(m == 0, 0.0, 2.0 ** ((m - 0.5) / STEPS - LOWEST))
 
 
 def compress(g: np.ndarray, level: np.ndarray, node: np.ndarray, count: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -132,6 +136,36 @@ def _reader(keys: list[str], k: int, qs: list[float]) -> Callable:
     return run
 
 
+def _local(keys: list[str], k: int) -> Callable:
+    """Rows of one input partition (keys.., node) to compressed sketches of what was gathered: a group leaves a task as a few thousand nodes, however many rows it has there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                if sum(x.num_rows for x in held) < GATHERED:
+                    continue
+            if not sum(x.num_rows for x in held):
+                continue
+            t, held = pa.Table.from_batches(held), []
+            codes = np.zeros(t.num_rows, np.int64)
+            for key in keys:
+                d = t[key].combine_chunks().dictionary_encode(null_encoding="encode")
+                d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+                codes = np.unique(codes * (len(d.dictionary) + 1) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            _, first, g = np.unique(codes, return_index=True, return_inverse=True)
+            leaf, count = np.unique(g.astype(np.int64) << 32 | t["node"].to_numpy().astype(np.int64), return_counts=True)
+            n = np.bincount(g, minlength=len(first))
+            g, level, node, count = compress(leaf >> 32, np.zeros(len(leaf), np.int32), leaf & 0xFFFFFFFF, count, n // k)
+            head = t.select(keys).take(pa.array(first[g]))
+            for name, a in (("level", level), ("node", node.astype(np.int32)), ("count", count.astype(np.int64))):
+                head = head.append_column(name, pa.array(a))
+            yield from head.to_batches()
+
+    return run
+
+
 def _schema(df: DataFrame, keys: list[str], rest: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([*df.select(*keys).schema.fields, *[T.StructField(n, t) for n, t in rest]])
 
@@ -143,13 +177,13 @@ def sketch(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
     """Compressed sketch of the finite values of each key, as rows keys.., level, node, count.
 
     Null, NaN and infinite values count for nothing, so a key without finite values has no rows. Keys may be null.
-    Values are counted per code before the shuffle, whatever their share of one key.
+    Each input partition makes sketches of its own rows; only their nodes are shuffled, added and compressed again, so that a key with most rows sends each task's few thousand nodes. Adding nodes adds
+    the bounds of their counts, so the rank error stays within that for all n values.
     """
     v = F.col(value).cast("double")
     fin = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    leaves = fin.groupBy(*keys, code(v).alias("node")).agg(F.count("*").alias("count")).withColumn("level", F.lit(0))
-    rows = leaves.select(*keys, "level", "node", "count").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(_compressor(keys, k), _schema(df, keys, NODES))
+    parts = fin.select(*keys, code(v).alias("node")).mapInArrow(_local(keys, k), _schema(df, keys, NODES))
+    return recompress(merge(parts, keys), keys, k)
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:

@@ -75,6 +75,25 @@ def p4_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.sketch(_measures(spark, d), [*KEYS, "day"], "x")
 
 
+#: Compression of the sketches in :func:`p4_bounds`: so strong that most groups are compressed at any size of the tables.
+SMALL_K = 112
+
+
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Strongly compressed sketches against all values: whether the true ranks of each percentile's value meet the wanted rank within the stated error."""
+    m = _measures(spark, d)
+    daily = quantiles.sketch(m, [*KEYS, "day"], "x", SMALL_K)
+    p = stage(quantiles.percentiles(quantiles.merge(daily, KEYS), KEYS, QS, SMALL_K))
+    v = m.select(*KEYS, finite(F.col("x").cast("double")).alias("x")).where("x is not null").select(*KEYS, quantiles.code(F.col("x")).alias("c"))
+    per = v.groupBy(*KEYS, "c").agg(F.count("*").alias("k"))
+    at = p.withColumn("at", quantiles.code(F.col("value")))
+    j = at.join(per, (at["uid"].eqNullSafe(per["uid"])) & (at["metric"] == per["metric"])).select(at["uid"], at["metric"], "q", "n", "rank_error", "at", "c", "k")
+    r = j.groupBy("uid", "metric", "q", "n", "rank_error").agg(F.sum(F.when(F.col("c") < F.col("at"), F.col("k")).otherwise(0)).alias("below"), F.sum(F.when(F.col("c") <= F.col("at"), F.col("k")).otherwise(0)).alias("upto"))
+    want = F.greatest(F.ceil(F.col("q") * F.col("n")), F.lit(1))
+    within = (F.col("below") - F.col("rank_error") <= want) & (want <= F.col("upto") + F.col("rank_error"))
+    return r.select("uid", "metric", "q", "n", "rank_error", within.alias("within"))
+
+
 def _libraries(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pdata").select("name", "uid", "slx").select(F.regexp_replace("name", r"^[\s ]+|[\s ]+$", "").alias("name"), "uid", "slx")
     return p.select(F.lower("name").alias("cell"), splits.uid_of(F.col("uid"), F.col("name")).alias("uid"), splits.libraries_of(F.col("slx"), F.col("name")).alias("libs"))
@@ -169,7 +188,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(table(spark, d, "documents"), "doc_id", "text", "sitting")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_recall, p4_percentiles, p4_daily, p5_found, p5_groups, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_recall, p4_percentiles, p4_daily, p4_bounds, p5_found, p5_groups, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
 
 _CELLS = r"""
 with recursive rw as (select name, uid, regexp_replace(name, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') n, slx from pdata),
@@ -204,10 +223,14 @@ select x as name, least(x, min(y)) as cluster_name from r group by 1""",
 select (select count(distinct name) from q) as n_queries, count(*) as n_pairs, count(*) as n_joined, 1.0::double as recall from e""",
     "p4_percentiles": """
 with x as (select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(name), '_', 1))) uid, 'rpc' metric, rpc v from pdata union all select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(name), '_', 1))), 'ploidy', ploidy from pdata),
- c as (select uid, metric, case when v = 0 then 0 else sign(v) * (1 + least(greatest(floor((log2(abs(v)) + 64) * 65536), 0), 8388606)) end m from x where v is not null and isfinite(v)),
+ c as (select uid, metric, case when v = 0 then 0 else sign(v) * (1 + floor((log2(abs(v)) + 1075) * 63900)) end m from x where v is not null and isfinite(v)),
  g as (select uid, metric, count(*) n, list(m order by m) l from c group by 1, 2)
-select uid, metric, q, n, 24 * (n // 4800) as rank_error, round(case when l[cast(ceil(q * n) as int)] = 0 then 0 else sign(l[cast(ceil(q * n) as int)]) * pow(2, (abs(l[cast(ceil(q * n) as int)]) - 0.5) / 65536 - 64) end, 6) as value
+select uid, metric, q, n, 28 * (n // 5600) as rank_error, round(case when l[cast(ceil(q * n) as int)] = 0 then 0 else sign(l[cast(ceil(q * n) as int)]) * pow(2, (abs(l[cast(ceil(q * n) as int)]) - 0.5) / 63900 - 1075) end, 6) as value
 from g, (select unnest([0.05::double, 0.25, 0.5, 0.75, 0.95, 0.99]) q)""",
+    "p4_bounds": """
+with x as (select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(name), '_', 1))) uid, unnest([{'m': 'rpc', 'v': rpc}, {'m': 'ploidy', 'v': ploidy}]) s from pdata),
+ g as (select uid, s.m metric, count(*) n from x where s.v is not null and isfinite(s.v) group by 1, 2)
+select uid, metric, q, n, 28 * (n // 112) as rank_error, true as within from g, (select unnest([0.05::double, 0.25, 0.5, 0.75, 0.95, 0.99]) q)""",
     "p5_found": _LINKED + "select x as uid_a, y as uid_b from r where x < y",
     "p5_groups": _LINKED + "select x as uid, min(y) as group_uid, count(*) as n_uids from r group by 1",
 }

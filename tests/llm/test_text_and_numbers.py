@@ -163,3 +163,22 @@ def test_classifier_finds_residue_in_unseen_hosts(spark):
     val = residue.validation(df, "doc_id", "text", "host").collect()
     assert sum(r.n_flagged for r in val if r.label == 1) >= 0.8 * sum(r.n_windows for r in val if r.label == 1)
     assert residue.residue(df.where("false"), "doc_id", "text", "host").count() == 0
+
+
+def test_shard_runs_lie_side_by_side():
+    blocks, shards = [1000, 37, 0, 3], 16
+    first, size = mixing.shard_runs(blocks, shards, 1, np.arange(shards))
+    assert (first == np.cumsum(size, axis=0) - size).all() and size.sum(0).tolist() == blocks
+    one = mixing.shard_runs(blocks, shards, 1, np.array([11]))
+    assert (one[0][0] == first[11]).all() and (one[1][0] == size[11]).all()
+
+
+def test_extreme_doubles_have_codes_of_their_own(spark):
+    values = [5e-324, 1e-300, 1e-30, 1.0, 1e30, 1.7e308]
+    rows = [(v,) for v in values + [-v for v in values] + [0.0]]
+    df = spark.createDataFrame(rows, "x double")
+    got = sorted((r.x, r.c) for r in df.select("x", quantiles.code(df["x"]).alias("c")).collect())
+    codes = np.array([c for _, c in got])
+    assert (np.diff(codes) > 0).all() and codes.min() >= 0 and codes.max() < 1 << quantiles.LEVELS
+    back = quantiles.decode(codes)
+    assert all(abs(b - x) <= 2e-5 * abs(x) + 5e-324 for (x, _), b in zip(got, back, strict=True))

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seriesloom.operators.interval_sets import merge_intervals, merge_sorted
+from seriesloom.operators.interval_sets import merge_intervals, merge_sorted, merge_tree
 
 
 def brute(rows):
@@ -65,3 +65,23 @@ def test_one_key_with_most_rows(spark):
     rows = [("hot", 3 * i, 3 * i + 2) for i in range(5000)] + [("cold", 1, 2)]
     got = run(spark, rows, 256)
     assert len(got) == 5000 + 4999 + 1
+
+
+def test_partial_lists_merge_linearly_in_a_tree():
+    rng = np.random.default_rng(3)
+    for wide in (1, 1 << 45):
+        for _ in range(60):
+            group, size, start, end, rows = [], [], [], [], []
+            for _ in range(int(rng.integers(0, 12))):
+                g = int(rng.integers(0, 4))
+                x = np.sort(rng.choice(200, 2 * int(rng.integers(1, 9)), replace=False)) * wide
+                group.append(g), size.append(len(x) // 2), start.extend(x[::2]), end.extend(x[1::2])
+                rows += [(g, int(a), int(b)) for a, b in zip(x[::2], x[1::2], strict=True)]
+            got = merge_tree(*[np.array(v, np.int64) for v in (group, size, start, end)])
+            assert {(int(a), "period", int(b), int(c)) for a, b, c in zip(got.group, got.start, got.end, strict=True)} == {r for r in brute(rows) if r[1] == "period"}
+
+
+def test_sparse_wide_coordinates_and_a_far_outlier(spark):
+    rng = random.Random(8)
+    rows = [("t", s := rng.randrange(10**15), s + rng.randrange(1, 10**12)) for _ in range(700)] + [("t", 9 * 10**18, 9 * 10**18 + 5), ("u", -(10**18), 10**18)]
+    assert run(spark, rows, 50) == brute(rows)

@@ -9,12 +9,54 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from seriesloom.operators.costs import EDGE, LN2PI, LOG_FLOOR, SSQ_FLOOR, VAR_FLOOR, penalty
+from seriesloom.operators.fits import dispersion_ml
 from seriesloom.util import spread_by
 
 Cost = Callable[[np.ndarray, int], np.ndarray]
 MIN_SEGMENT = 2
 
 
+class _Counts:
+    """Numbers of each distinct value in any stretch of a series: a table of running numbers at every ``STRIDE``-th point, and the few points between.
+
+    Its size is (points / STRIDE) x (distinct values), a few megabytes for long series with large values.
+    """
+
+    STRIDE = 128
+
+    def __init__(self, whole: np.ndarray) -> None:
+        self.values, self.code = np.unique(whole, return_inverse=True)
+        n, d = len(whole), len(self.values)
+        per = np.zeros((n // self.STRIDE + 1, d), np.int32)
+        full = n // self.STRIDE * self.STRIDE
+        np.add.at(per, (np.arange(full) // self.STRIDE + 1, self.code[:full]), 1)
+        self.table = np.cumsum(per, axis=0, dtype=np.int32)
+
+    def upto(self, at: np.ndarray) -> np.ndarray:
+        """(places, distinct values) numbers among the points before each place."""
+        block = at // self.STRIDE
+        out = self.table[block].astype(np.int64)
+        extra = at - block * self.STRIDE
+        row = np.repeat(np.arange(len(at)), extra)
+        point = np.repeat(block * self.STRIDE, extra) + (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra))
+        np.add.at(out, (row, self.code[point]), 1)
+        return out
+
+    def rising(self, starts: np.ndarray, end: int, c: np.ndarray, floor: float) -> np.ndarray:
+        """For each start the sum over the points up to ``end`` of sum_{j < value} log(1 + c j)."""
+        out = np.empty(len(starts))
+        last = self.upto(np.array([end]))
+        for lo in range(0, len(starts), 256):  # bounds the working memory
+            part = slice(lo, lo + 256)
+            n = last - self.upto(starts[part])
+            top = int(self.values[n.any(0)].max(initial=0))
+            seen = self.values <= top
+            steps = np.cumsum(np.log1p(np.maximum(c[part, None] * np.arange(top)[None, :], floor)), axis=1)
+            sums = np.concatenate([np.zeros((len(steps), 1)), steps], axis=1)[:, self.values[seen]]
+            out[part] = (n[:, seen] * sums).sum(1)
+        return out
+
+
 def cost_function(y: np.ndarray, kind: str, mbic: bool = False, alpha: float = 0.01, rpc: float = 1.0) -> Cost:
     """``f(starts, end)``: costs of the segments (start, end] of y for an array of starts.
 
@@ -22,12 +64,12 @@ def cost_function(y: np.ndarray, kind: str, mbic: bool = False, alpha: float = 0
     """
     y = np.asarray(y, float)
     s1, s2 = np.r_[0, np.cumsum(y)], np.r_[0, np.cumsum(y * y)]
-    gamma = np.r_[0, np.cumsum([np.sum(np.log(np.arange(1, int(v) + 1))) for v in y])] if kind.startswith("nb") else None
-    top = int(y.max()) if len(y) else 0
-    above = np.r_[np.zeros((1, top)), np.cumsum(y[:, None] > np.arange(top)[None, :], axis=0)] if kind.startswith("nb") else None
-    peak = y if kind.startswith("nb") else None
-    levels = np.arange(top, dtype=float)
-    fixed = above @ np.log1p(np.maximum(alpha * levels, LOG_FLOOR)) if kind in ("nb_alpha", "nb_grid") else None
+    nb = kind.startswith("nb")
+    whole = y.astype(np.int64) if nb else None
+    levels = np.arange(int(whole.max()) if nb and len(y) else 0, dtype=float)
+    gamma = np.r_[0, np.cumsum(np.r_[0, np.cumsum(np.log(levels + 1))][whole])] if nb else None
+    fixed = np.r_[0, np.cumsum(np.r_[0, np.cumsum(np.log1p(np.maximum(alpha * levels, LOG_FLOOR)))][whole])] if kind in ("nb_alpha", "nb_grid") else None
+    counts = _Counts(whole) if nb and fixed is None else None
 
     def run(starts: np.ndarray, end: int) -> np.ndarray:
         l, x = (end - starts).astype(float), s1[end] - s1[starts]
@@ -37,7 +79,7 @@ def cost_function(y: np.ndarray, kind: str, mbic: bool = False, alpha: float = 0
             out = np.where(x == 0, 0.0, 2 * x * (np.log(l) - np.log(np.maximum(x, 1e-300))))
         else:
             m = x / l
-            y_max = np.maximum.accumulate(peak[:end][::-1])[::-1][starts]
+            y_max = np.maximum.accumulate(np.maximum.reduceat(y[:end], starts)[::-1])[::-1]  # starts come in order
             ssq = ((s2[end] - s2[starts]) / l - m * m) * (l / np.maximum(l - 1, 1e-12))
             ssq = np.where(ssq <= 0, SSQ_FLOOR, ssq)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -54,8 +96,7 @@ def cost_function(y: np.ndarray, kind: str, mbic: bool = False, alpha: float = 0
                 if fixed is not None:
                     rising = fixed[end] - fixed[starts]
                 else:
-                    k = int(y_max.max())  # no value lies above the largest
-                    rising = ((above[end, :k] - above[starts, :k]) * np.log1p(np.maximum(c[:, None] * levels[None, :k], floor))).sum(1)
+                    rising = counts.rising(starts, end, c, floor)
                 ll = x * np.log(m) - (x + l / c) * np.log1p(np.maximum(c * m, floor)) + rising - (gamma[end] - gamma[starts])
             out = np.where(x == 0, 0.0, -ll)
             if mbic:
@@ -182,9 +223,12 @@ def segment_states(df: DataFrame, by: list[str], order: list[str], value: str, r
 PARAMETERS = {"normal": 1, "poisson": 1}
 
 
-def segment(df: DataFrame, by: list[str], order: list[str], value: str, kind: str = "nb_mm", pen: str = "MBIC", manual: float | None = None, alpha: float = 0.01, rpc: float = 1.0, with_crops: bool = False) -> DataFrame:
+def segment(df: DataFrame, by: list[str], order: list[str], value: str, kind: str = "nb_mm", pen: str = "MBIC", manual: float | None = None, alpha: float | None = None, rpc: str | float = 1.0, with_crops: bool = False) -> DataFrame:
     """Segments of each series: by.., seg, first, last (values of the last order column), n, level (median).
 
+    Without ``alpha`` each series has its own dispersion, by maximum likelihood, 0.01 where it shows no extra variance. ``rpc`` may be a column that holds one value for each series; series in which it
+    is null or not positive are segmented with 1.
+
     Null values are left out before and the segments span them. ``with_crops`` chooses among all segmentations of the penalty range
     the one with the best :func:`adjusted_r2`. One series is one group and must fit in a task, which is what a series is.
     """
@@ -199,9 +243,12 @@ def segment(df: DataFrame, by: list[str], order: list[str], value: str, kind: st
         if n == 0:
             return pd.DataFrame(columns=[*by, "seg", "first", "last", "n", "level"], dtype=object)
         d = PARAMETERS.get(kind, 2)
-        cost = cost_function(y, kind, mbic=pen == "MBIC", alpha=alpha, rpc=rpc)
+        a = alpha if alpha is not None else (dispersion_ml(y) or 0.01) if kind in ("nb_alpha", "nb_grid") else 0.01
+        r = p[rpc].iloc[0] if isinstance(rpc, str) else rpc
+        r = float(r) if r is not None and r > 0 else 1.0
+        cost = cost_function(y, kind, mbic=pen == "MBIC", alpha=a, rpc=r)
         if with_crops and n > 3:
-            base = remembered(n, cost_function(y, kind, alpha=alpha, rpc=rpc))
+            base = remembered(n, cost_function(y, kind, alpha=a, rpc=r))
             low, high = max(0.0, min(penalty("AIC", n, d), penalty("BIC", n, d))), penalty("MBIC", n, d) + 1
             ends = max(crops(n, base, low, high).values(), key=lambda e: (adjusted_r2(y, e), -len(e)))
         else:
@@ -211,5 +258,5 @@ def segment(df: DataFrame, by: list[str], order: list[str], value: str, kind: st
         out |= {"seg": range(1, len(ends) + 1), "first": [pos[s] for s in starts], "last": [pos[e - 1] for e in ends], "n": [e - s for s, e in zip(starts, ends, strict=True)], "level": [float(np.median(y[s:e])) for s, e in zip(starts, ends, strict=True)]}
         return pd.DataFrame(out)
 
-    cols = df.select(*dict.fromkeys([*by, *order, value]))
+    cols = df.select(*dict.fromkeys([*by, *order, value, *([rpc] if isinstance(rpc, str) else [])]))
     return spread_by(cols, by).groupBy(*by).applyInPandas(run, f"{fields}, seg int, first {kind_at}, last {kind_at}, n int, level double")

@@ -55,6 +55,23 @@ def snapped_mean(rpc: Column, most: int = 50) -> Column:
     return F.when(F.abs(k - m) < F.abs(F.lit(0.5) - m), k).otherwise(F.lit(0.5))
 
 
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x > 0: Stirling's series from x + 8 on, and the eight factors between."""
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+    first = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (z - 0.5) * F.log(z) - z + 0.5 * LN2PI + series - first
+
+
+def log_rising(c: Column, y: Column) -> Column:
+    """sum_{j < y} log(1 + c j) in closed form, for c > -1 / (y - 1): by log-gamma values of 1 / c, and by the series in c where c y is small."""
+    n1, n2, n3 = y * (y - 1) / 2, (y - 1) * y * (2 * y - 1) / 6, (y * (y - 1) / 2) * (y * (y - 1) / 2)
+    small = c * n1 - c * c * n2 / 2 + c * c * c * n3 / 3
+    up = log_gamma(1 / F.nullif(c, F.lit(0.0)) + y) - log_gamma(1 / F.nullif(c, F.lit(0.0))) + y * F.log(c)
+    down = y * F.log(-c) + log_gamma(-1 / F.nullif(c, F.lit(0.0)) + 1) - log_gamma(-1 / F.nullif(c, F.lit(0.0)) - y + 1)
+    return F.when(F.abs(c) * y < 1e-4, small).when(c > 0, up).otherwise(down)
+
+
 def negative_binomial_cost(sums: DataFrame, values: DataFrame, by: list[str], value: str, c: Column, mean: Column | None = None, clamp: bool = True) -> DataFrame:
     """Adds ``cost``: minus the log-likelihood of each segment at mean ``mean`` (its own by default) and dispersion ``c``; 0 for all-zero segments."""
     m = F.col("x") / F.col("l") if mean is None else mean
@@ -62,8 +79,8 @@ def negative_binomial_cost(sums: DataFrame, values: DataFrame, by: list[str], va
     floor = (lambda v: F.greatest(v, F.lit(LOG_FLOOR))) if clamp else (lambda v: v)
     n = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("int").alias("_y")).agg(F.count("*").cast("double").alias("_n"))
     j = n.join(s.select(*by, "_c"), by)
-    rising = F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("_y") - 1, F.lit(0))), F.lit(0.0), lambda a, i: a + F.log1p(floor(F.col("_c") * i)))
-    gamma = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_y"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    y = F.col("_y").cast("double")
+    rising, gamma = log_rising(F.col("_c"), y), log_gamma(y + 1)
     t = j.groupBy(*by).agg(F.sum(F.when(F.col("_y") > 0, F.col("_n") * (rising - gamma)).otherwise(0.0)).alias("_t"))
     ll = F.col("x") * F.log(F.greatest("_m", F.lit(1e-300))) - (F.col("x") + F.col("l") / F.col("_c")) * F.log1p(floor(F.col("_c") * F.col("_m"))) + F.col("_t")
     return s.join(t, by).withColumn("cost", F.when(F.col("x") == 0, 0.0).otherwise(-ll)).drop("_m", "_c", "_t")

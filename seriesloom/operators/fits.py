@@ -64,11 +64,14 @@ def correct_bias(df: DataFrame, series: str, order: list[str], value: str, level
 
 def dispersion_ml(y: np.ndarray, conditional: bool = False) -> float:
     """Maximum-likelihood dispersion at the mean (``conditional``: adjusted for the estimated mean), by golden section on log alpha; 0 for counts without extra variance."""
+    if len(y) < 3:
+        return 0.0
     m, l = y.mean(), len(y)
-    if l < 3 or m <= 0 or y.var(ddof=1) <= m:
+    if m <= 0 or y.var(ddof=1) <= m:
         return 0.0
 
-    above = np.array([(y > j).sum() for j in range(int(y.max()))], float)
+    at = np.bincount(y.astype(np.int64))
+    above = (l - np.cumsum(at))[:-1].astype(float)
     levels, x = np.arange(len(above)), y.sum()
 
     def value(t: float) -> float:
@@ -91,6 +94,16 @@ def dispersion_ml(y: np.ndarray, conditional: bool = False) -> float:
     return math.exp((lo + hi) / 2)
 
 
+def series_dispersion(df: DataFrame, series: str, value: str, without: float = 0.01) -> DataFrame:
+    """(series, alpha): maximum-likelihood dispersion of the values of each series, ``without`` where they show no extra variance."""
+    kind = df.schema[series].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({series: [pdf[series].iloc[0]], "alpha": [dispersion_ml(pdf[value].dropna().to_numpy(float)) or without]})
+
+    return spread_by(df.select(series, value), [series]).groupBy(series).applyInPandas(run, f"{series} {kind}, alpha double")
+
+
 def overdispersion(df: DataFrame, series: str, state: str, value: str, least: int = 5) -> DataFrame:
     """Dispersion of each series: mean over its positive states (of ``least`` points or more) of the maximum-likelihood dispersions, weighted by points, plain and conditional."""
     kind = df.schema[series].dataType.simpleString()
@@ -211,7 +224,7 @@ def segment_likelihoods(df: DataFrame, series: str, segment: list[str], value: s
         gamma = sum(math.lgamma(v + 1) for v in y)
         if a <= 0:
             return float(len(y) * m - x * math.log(m) + gamma)
-        above = np.array([(y > j).sum() for j in range(int(y.max()))], float)
+        above = (len(y) - np.cumsum(np.bincount(y.astype(np.int64))))[:-1].astype(float)
         return float(-(above @ np.log1p(a * np.arange(len(above))) + x * math.log(m) - (x + len(y) / a) * math.log1p(a * m) - gamma))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

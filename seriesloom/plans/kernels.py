@@ -42,7 +42,7 @@ def _nb_sql(c: str, m: str = "x / l", clamp: bool = True) -> str:
  y as (select name, chrom, seg_id, calls, count(*)::double n from seg where calls is not null group by 1, 2, 3, 4),
  t as (select y.name, y.chrom, y.seg_id, sum(y.n * case when y.calls > 0 then coalesce(list_sum(list_transform(range(0, y.calls), lambda j: case when abs(c.c * j) < 1e-4 then c.c * j - pow(c.c * j, 2) / 2 + pow(c.c * j, 3) / 3 else ln(1 + {f('c.c * j')}) end)), 0) - lgamma(y.calls + 1) else 0 end) t
   from y join c on y.name = c.name and y.chrom = c.chrom and y.seg_id = c.seg_id group by 1, 2, 3)
-select c.name, c.chrom, c.seg_id, round(case when x = 0 then 0 else -(x * ln(m) - (x + l / c) * case when abs(c * m) < 1e-4 then c * m - pow(c * m, 2) / 2 + pow(c * m, 3) / 3 else ln(1 + {f('c * m')}) end + t) end, 2) as cost from c join t on c.name = t.name and c.chrom = t.chrom and c.seg_id = t.seg_id where l >= 3"""
+select c.name, c.chrom, c.seg_id, round(case when x = 0 then 0 else -(x * ln(m) - (x + l / c) * case when abs(c * m) < 1e-4 then c * m - pow(c * m, 2) / 2 + pow(c * m, 3) / 3 else ln(1 + {f('c * m')}) end + t) end, 2) as cost from c join t on c.name = t.name and c.chrom = t.chrom and c.seg_id = t.seg_id"""
 
 
 MOMENT = "case when ssq <= m0 or (ssq - m0) / nullif({0}, 0) <= -1 / nullif(y_max, 0) then -1 / nullif(y_max, 0) + 1e-8 else (ssq - m0) / nullif({0}, 0) end"
@@ -72,10 +72,23 @@ def nb_cost_alpha(spark: SparkSession, d: str) -> DataFrame:
     return _nb(spark, d, F.lit(0.02))
 
 
-@R.add(_nb_sql("0.02::double", "case when abs(least(greatest(ceil(x / l / 50.0 - 0.5), 1), 50) * 50.0 - x / l) < abs(0.5 - x / l) then least(greatest(ceil(x / l / 50.0 - 0.5), 1), 50) * 50.0 else 0.5 end::double"))
+@R.add(_nb_sql("0.02::double", "case when abs(least(greatest(ceil(x / l / rpc - 0.5), 1), 50) * rpc - x / l) < abs(0.5 - x / l) then least(greatest(ceil(x / l / rpc - 0.5), 1), 50) * rpc else 0.5 end::double").replace("c as (select *,", "k as (select name, median(calls::double / copynumber) rpc from sig where copynumber > 0 group by 1),\n c as (select v.*,", 1).replace("c from v)", "c from (select v.*, coalesce(case when rpc > 0 then rpc end, 1.0::double) rpc from v left join k on v.name = k.name) v)", 1))
 def nb_cost_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the mean on the grid of whole copies of fifty reads."""
-    return _nb(spark, d, F.lit(0.02), costs.snapped_mean(F.lit(50.0)))
+    """The same with the mean on the grid of whole copies of the cell's own reads per copy (1 where the cell has none)."""
+    v = _calls(spark, d)
+    s = costs.segment_sums(v, SEG, "calls").join(_reads_per_copy(signal(spark, d)), "name", "left").withColumn("rpc", F.coalesce(F.when(F.col("rpc") > 0, F.col("rpc")), F.lit(1.0)))
+    return costs.negative_binomial_cost(s, v, SEG, "calls", F.lit(0.02), costs.snapped_mean(F.col("rpc"))).select(*SEG, F.round("cost", 2).alias("cost"))
+
+
+@R.add(None)
+def nb_cost_series(spark: SparkSession, d: str) -> DataFrame:
+    """Costs at each cell's own maximum-likelihood dispersion, 0.01 where it shows no extra variance: at the segment's mean, and at the nearest whole number of the cell's copies."""
+    v = _calls(spark, d)
+    a = fits.series_dispersion(v, "name", "calls")
+    s = costs.segment_sums(v, SEG, "calls").join(a, "name").join(_reads_per_copy(signal(spark, d)), "name", "left").withColumn("rpc", F.coalesce(F.when(F.col("rpc") > 0, F.col("rpc")), F.lit(1.0)))
+    own = costs.negative_binomial_cost(s, v, SEG, "calls", F.col("alpha")).withColumnRenamed("cost", "cost_own")
+    both = costs.negative_binomial_cost(own, v, SEG, "calls", F.col("alpha"), costs.snapped_mean(F.col("rpc")))
+    return both.select(*SEG, r6("alpha").alias("alpha"), F.round("cost_own", 2).alias("cost_alpha"), F.round("cost", 2).alias("cost_grid"))
 
 
 PEN = SIGNAL + ", n as (select name, count(calls) n from sig group by 1 having count(calls) > 2)"
@@ -94,6 +107,10 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     return signal(spark, d).withColumn("pos", F.col("chrom_rank") * 1000 + F.col("bin_idx"))
 
 
+def _reads_per_copy(s: DataFrame) -> DataFrame:
+    return s.where("copynumber > 0").groupBy("name").agg(F.median(F.col("calls") / F.col("copynumber")).alias("rpc"))
+
+
 def _pelt(kind: str, **more):  # noqa: ANN003, ANN202
     def run(spark: SparkSession, d: str) -> DataFrame:
         return changepoint.segment(_ordered(spark, d), ["name"], ["pos"], "calls", kind, **more)
@@ -104,8 +121,21 @@ def _pelt(kind: str, **more):  # noqa: ANN003, ANN202
 
 for _kind in ("normal", "poisson", "nb_mm", "nb_bcmm"):
     R.add(None, name=f"pelt_{_kind}")(_pelt(_kind))
-R.add(None, name="pelt_nb_alpha")(_pelt("nb_alpha", alpha=0.02))
-R.add(None, name="pelt_nb_grid")(_pelt("nb_grid", alpha=0.02, rpc=50.0))
+
+
+@R.add(None)
+def pelt_nb_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of each cell by the negative-binomial cost at the cell's own dispersion."""
+    return changepoint.segment(_ordered(spark, d), ["name"], ["pos"], "calls", "nb_alpha")
+
+
+@R.add(None)
+def pelt_nb_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The same with means on whole copies of the cell's own reads per copy."""
+    s = _ordered(spark, d)
+    return changepoint.segment(s.join(_reads_per_copy(s), "name", "left"), ["name"], ["pos"], "calls", "nb_grid", rpc="rpc")
+
+
 R.add(None, name="segment_crops")(_pelt("nb_mm", with_crops=True))
 
 
@@ -284,8 +314,7 @@ def density_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_rpc(spark: SparkSession, d: str) -> DataFrame:
     s = _ordered(spark, d)
-    r = s.where("copynumber > 0").groupBy("name").agg(F.median(F.col("calls") / F.col("copynumber")).alias("rpc"))
-    return s.join(r, "name")
+    return s.join(_reads_per_copy(s), "name")
 
 
 @R.add(None)

@@ -43,3 +43,10 @@ def log_sum_exp(values: Column) -> Column:
 def chromosome_rank(chrom: Column) -> Column:
     """1 to 22, then X and Y; null for others."""
     return F.when(chrom == "X", 23).when(chrom == "Y", 24).when(chrom.rlike("^([1-9]|1[0-9]|2[0-2])$"), chrom.cast("int"))
+
+
+def range_fields(key: Column) -> tuple[Column, Column, Column]:
+    """Chromosome, start and end of a key ``chrom:start-end``; null where the key has another form."""
+    form = r"^([^:]+):([0-9]+)-([0-9]+)$"
+    part = lambda i: F.nullif(F.regexp_extract(key, form, i), F.lit(""))
+    return part(1), part(2).try_cast("bigint"), part(3).try_cast("bigint")

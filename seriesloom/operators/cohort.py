@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seriesloom.operators.ordered import ranked, with_group
+
 
 def join_suffix(a: DataFrame, b: DataFrame, on: list[str], suffix: str, how: str = "left") -> DataFrame:
     """Join in which columns of ``b`` that ``a`` also has get a suffix and the others keep their names."""
@@ -31,16 +33,28 @@ def first_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def without_duplicates(reads: DataFrame, place: list[str], order: list[str]) -> DataFrame:
+    """One read, the first by ``order``, of those at the same place (series, position, strand); reads with nulls in the place are alike there. Aggregated with partial results, so a place of very many reads isn't gathered."""
+    rest = [c for c in reads.columns if c not in place and c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("_x")
+    return reads.groupBy(*place).agg(first).select(*place, *[F.col(f"_x.{c}").alias(c) for c in [*order, *rest]]).select(*reads.columns)
+
+
+def one_mate(reads: DataFrame, fragment: list[str], order: list[str]) -> DataFrame:
+    """The first read of each fragment by ``order``."""
+    return without_duplicates(reads, fragment, order)
+
+
 def top_share(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
     """Rows among the highest ``share`` of each group; ties at the border are all kept. Null values are never kept."""
-    w = Window.partitionBy(*by)
-    x = df.where(F.col(value).isNotNull()).withColumn("_r", F.rank().over(w.orderBy(F.desc(value)))).withColumn("_n", F.count("*").over(w))
-    return x.where(F.col("_r") <= F.floor(share * F.col("_n"))).drop("_r", "_n")
+    x = with_group(df.where(F.col(value).isNotNull()).withColumn("_d", -F.col(value)), by, _n=F.count("*"))
+    return ranked(x, by, "_d", "_r").where(F.col("_r") <= F.floor(share * F.col("_n"))).drop("_r", "_n", "_d")
 
 
 def hash_sample(df: DataFrame, ident: list[str], share: float, seed: int = 0) -> DataFrame:
-    """Reproducible sample: the rows whose hash of ``ident`` falls into the given share of the range."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *ident), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Reproducible sample: the rows whose MD5 digest of seed and ``ident`` (texts joined by ``|``) begins in the given share of the range."""
+    edge = min(max(round(share * 16**8), 0), 16**8)
+    return df.where(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ident])), 1, 8) < F.lit(f"{edge:08x}" if edge < 16**8 else "g"))
 
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "variable", value: str = "value") -> DataFrame:
@@ -99,22 +113,20 @@ def replicating(df: DataFrame, batch: list[str], activity: str, info: str, k: fl
 
 def off_median(df: DataFrame, batch: list[str], value: str, within: float, out: str = "is_outlier") -> DataFrame:
     """Marks values more than ``within`` from their batch's median; null values are marked too."""
-    m = F.median(value).over(Window.partitionBy(*batch))
-    return df.withColumn(out, ~F.coalesce(F.abs(F.col(value) - m) <= within, F.lit(False)))
+    return with_group(df, batch, _m=F.median(value)).withColumn(out, ~F.coalesce(F.abs(F.col(value) - F.col("_m")) <= within, F.lit(False))).drop("_m")
 
 
 def bands(df: DataFrame, batch: list[str], value: str, k: float = 1.96) -> DataFrame:
     """Marks values outside mean ± k sd of their batch, where the batch's extremes are left out of mean and sd."""
-    w = Window.partitionBy(*batch)
-    x = df.withColumn("_lo", F.min(value).over(w)).withColumn("_hi", F.max(value).over(w))
+    x = with_group(df, batch, _lo=F.min(value), _hi=F.max(value))
     inner = F.when((F.col(value) > F.col("_lo")) & (F.col(value) < F.col("_hi")), F.col(value))
-    x = x.withColumn("_mu", F.avg(inner).over(w)).withColumn("_sd", F.stddev_samp(inner).over(w))
+    x = with_group(x, batch, _mu=F.avg(inner), _sd=F.stddev_samp(inner))
     return x.withColumn("outside", F.coalesce(F.abs(F.col(value) - F.col("_mu")) > k * F.col("_sd"), F.lit(False))).drop("_lo", "_hi", "_mu", "_sd")
 
 
 def quadratic_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Least squares y = a + b x + c x^2 per group from summed moments of centred x, solved in closed form; null where x has fewer than 3 values."""
-    m = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_m", F.avg(x).over(Window.partitionBy(*by))).withColumn("_x", F.col(x) - F.col("_m"))
+    m = with_group(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, _m=F.avg(x)).withColumn("_x", F.col(x) - F.col("_m"))
     p = lambda k: F.sum(F.pow("_x", F.lit(float(k))))
     s = m.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.first("_m").alias("_m"), p(1).alias("s1"), p(2).alias("s2"), p(3).alias("s3"), p(4).alias("s4"), F.sum(y).alias("t0"), F.sum(F.col("_x") * F.col(y)).alias("t1"), F.sum(F.pow("_x", F.lit(2.0)) * F.col(y)).alias("t2"))
     det = "(n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2))"

@@ -174,42 +174,189 @@ def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (s / base if base else 0.0), math.erfc(abs(z) / math.sqrt(2))
 
 
-def trend_summary(df: DataFrame, series: str, segment: list[str], covariate: str, value: str, least: int) -> DataFrame:
+def _scores(x: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mann-Kendall score of a series in its order, and the number of its values below less those above each one (for conditional scores)."""
+    d = np.sign(x[None, :] - x[:, None])  # [i, j]: how x_j lies to x_i
+    return float(np.triu(d, 1).sum()), d.sum(0)
+
+
+def partial_mann_kendall(x: np.ndarray, z: np.ndarray) -> float:
+    """Standardised Mann-Kendall score of x in its order without the part that the covariate z explains (conditional on z's own score); 0 where z explains all."""
+    n = len(x)
+    sx, rx = _scores(x)
+    sz, rz = _scores(z)
+    k = float(np.triu(np.sign((x[None, :] - x[:, None]) * (z[None, :] - z[:, None])), 1).sum())
+    rank_x, rank_z = (n + 1 + rx) / 2, (n + 1 + rz) / 2
+    cov = (k + 4 * float((rank_x * rank_z).sum()) - n * (n + 1) ** 2) / 3
+    var = n * (n - 1) * (2 * n + 5) / 18
+    rho = cov / var
+    left = var * (1 - rho * rho)
+    return (sx - rho * sz) / math.sqrt(left) if left > 1e-12 else 0.0
+
+
+def partial_rank_correlation(x: np.ndarray, z: np.ndarray) -> float:
+    """Spearman correlation of x with its order without the part of z; not a number where a rank has no spread or z explains all."""
+    r = [np.arange(1.0, len(x) + 1), pd.Series(x).rank().to_numpy(), pd.Series(z).rank().to_numpy()]
+    if min(v.std() for v in r) == 0:
+        return math.nan
+    c = np.corrcoef(r)
+    below = (1 - c[0, 2] ** 2) * (1 - c[1, 2] ** 2)
+    return float((c[0, 1] - c[0, 2] * c[1, 2]) / math.sqrt(below)) if below > 1e-12 else math.nan
+
+
+def spss_skew(v: np.ndarray) -> float:
+    """Bias-corrected skewness; not a number below 3 values or without spread."""
+    n, s = len(v), v.std()
+    return float(((v - v.mean()) ** 3).mean() / s**3 * math.sqrt(n * (n - 1)) / (n - 2)) if n > 2 and s > 0 else math.nan
+
+
+#: What is made of each measure of the segments: plain, and with each segment counting as often as it has points (w).
+PLAIN = {"mean": np.mean, "median": np.median, "sd": lambda v: v.std(ddof=1) if len(v) > 1 else math.nan}
+REPEATED = {"wmean": np.mean, "wmedian": np.median, "wsd": PLAIN["sd"], "w1q": lambda v: np.quantile(v, 0.25), "w3q": lambda v: np.quantile(v, 0.75), "wskewness": spss_skew}
+TREND = {"p": ["mean", "median", "sd", "wmean", "wmedian", "wsd"], "tau": ["mean", "median", "sd", "wmean", "wmedian", "wsd"], "tau_partial": ["mean", "median", *REPEATED], "rho_partial": [*REPEATED]}
+
+
+def trend_summary(df: DataFrame, series: str, segment: list[str], covariate: str, value: str, least: int, control: str | None = None) -> DataFrame:
     """Trend of value against a covariate inside long segments, summed up per series.
 
-    For each segment of ``least`` points or more: Kendall's tau and p, and Spearman's rho. Per series, weighted by segment length: mean, median, quartiles and sd of tau
-    and rho, share of segments with p < 0.05 rising and falling, number of segments and points; null where no segment is long enough.
+    For each segment of ``least`` points or more that isn't all zero: p and tau of the Mann-Kendall test of the values in the order of the covariate (ties by position in the frame's order columns, here by value), and with ``control`` (for
+    example the bias factor of each point) the partial score and the partial rank correlation without it. Per series: mean, median and sd over segments; mean, median, sd, quartiles and
+    skewness with each segment counting as often as it has points; number of segments and points. Null where no segment qualifies or a measure isn't defined.
     """
     kind = df.schema[series].dataType.simpleString()
-    stats = ["mean", "q1", "median", "q3", "sd"]
-    fields = [f"{m}_{s}" for m in ("tau", "rho") for s in stats] + ["share_up", "share_down"]
-
-    def ranks(v: np.ndarray) -> np.ndarray:
-        return pd.Series(v).rank().to_numpy()
+    measures = [m for m in TREND if control is not None or m in ("p", "tau")]
+    fields = [f"{m}_{s}" for m in measures for s in TREND[m]]
+    need = [covariate, value, *([control] if control is not None else [])]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for _, g in pdf.dropna(subset=[covariate, value]).groupby(segment):
-            if len(g) >= least:
-                x, y = g[covariate].to_numpy(float), g[value].to_numpy(float)
-                a, b = ranks(x), ranks(y)
-                rho = float(np.corrcoef(a, b)[0, 1]) if a.std() and b.std() else 0.0
-                rows.append((len(g), *kendall(x, y), rho))
+        for _, g in pdf.dropna(subset=need).groupby(segment):
+            if len(g) >= least and g[value].any():
+                g = g.sort_values([covariate, value], kind="stable")
+                y = g[value].to_numpy(float)
+                tau, p = kendall(np.arange(len(y), dtype=float), y)
+                z = g[control].to_numpy(float) if control is not None else None
+                rows.append((len(y), p, tau, *((partial_mann_kendall(y, z), partial_rank_correlation(y, z)) if z is not None else ())))
         out = {series: [pdf[series].iloc[0]], "n_segments": [len(rows)], "n_points": [int(sum(r[0] for r in rows))]} | {f: [None] for f in fields}
-        if rows:
-            w = np.array([r[0] for r in rows])
-            for name, v in (("tau", np.array([r[1] for r in rows])), ("rho", np.array([r[3] for r in rows]))):
-                rep = np.repeat(v, w)
-                out |= {f"{name}_mean": [rep.mean()], f"{name}_q1": [np.quantile(rep, 0.25)], f"{name}_median": [np.median(rep)], f"{name}_q3": [np.quantile(rep, 0.75)], f"{name}_sd": [rep.std(ddof=1) if len(rep) > 1 else None]}
-            sig = np.array([r[2] < 0.05 for r in rows])
-            tau = np.array([r[1] for r in rows])
-            out |= {"share_up": [float((w * (sig & (tau > 0))).sum() / w.sum())], "share_down": [float((w * (sig & (tau < 0))).sum() / w.sum())]}
+        for i, m in enumerate(measures):
+            v = np.array([r[i + 1] for r in rows], float)
+            ok = ~np.isnan(v)
+            if ok.any():
+                v, rep = v[ok], np.repeat(v[ok], np.array([r[0] for r in rows])[ok])
+                for s in TREND[m]:
+                    x = float(PLAIN[s](v) if s in PLAIN else REPEATED[s](rep))
+                    out[f"{m}_{s}"] = [None if math.isnan(x) else x]
         return pd.DataFrame(out)
 
-    cols = df.select(*dict.fromkeys([series, *segment, covariate, value]))
+    cols = df.select(*dict.fromkeys([series, *segment, *need]))
     return spread_by(cols, [series]).groupBy(series).applyInPandas(run, f"{series} {kind}, n_segments int, n_points int, " + ", ".join(f"{f} double" for f in fields))
 
 
+def chi_square_tail(x: float, df: float) -> float:
+    """Upper tail of the chi-square distribution, by the series or the continued fraction of the incomplete gamma function."""
+    a, x = df / 2, x / 2
+    if x <= 0 or a <= 0:
+        return 1.0
+    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > 1e-16 * abs(total):
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - front * total)
+    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
+    h = d
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or 1e-300)
+        c = b + an / c or 1e-300
+        step = d * c
+        h *= step
+        if abs(step - 1) < 1e-15:
+            break
+    return front * h
+
+
+def nb_deviance(y: np.ndarray, mu: np.ndarray, alpha: float) -> float:
+    """Negative-binomial deviance of counts at means mu."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        first = np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0.0)
+    return float(2 * (first - (y + 1 / alpha) * np.log((1 + alpha * y) / (1 + alpha * mu))).sum())
+
+
+def bias_model(df: DataFrame, series: str, order: list[str], value: str, level: str, covariates: list[str], least: int = 20) -> DataFrame:
+    """What the bias correction of each series explains: n, alpha (dispersion of the fit), deviance (of the model with the level alone, less that of the model with the covariates), p_value of that gain, dev_expl (share of the null
+    deviance that the model explains), negative_elements (corrected counts below 0 before they are cut) and delta_reads (reads before less after). Null below ``least`` complete points or without reads."""
+    kind = df.schema[series].dataType.simpleString()
+    fields = ["alpha", "deviance", "p_value", "dev_expl", "delta_reads"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.dropna(subset=[value, level, *covariates]).sort_values(order)
+        out = {series: [pdf[series].iloc[0]], "n": [len(p)], "negative_elements": [0]} | {f: [None] for f in fields}
+        y = p[value].to_numpy(float)
+        if len(p) >= least and y.sum() > 0:
+            off = np.log(p[level].to_numpy(float) + 1)
+            extra = np.column_stack([spline_basis(p[c].to_numpy(float)) for c in covariates])
+            alpha = 0.02
+            for _ in range(8):  # dispersion and fit in turn
+                small = nb_fit(y, np.column_stack([np.ones(len(y)), off]), np.zeros(2), alpha)
+                full = nb_fit(y, np.column_stack([np.ones(len(y)), off, extra]), np.r_[0, 0, np.full(extra.shape[1], 1.0)], alpha)
+                new = mean_dispersion(y, full[0])
+                done, alpha = abs(new - alpha) < 1e-6, new
+                if done:
+                    break
+            d0, d1 = nb_deviance(y, small[0], alpha), nb_deviance(y, full[0], alpha)
+            null = nb_deviance(y, np.full(len(y), y.mean()), alpha)
+            s = extra @ full[1][2:]
+            corrected = np.round(y / np.exp(s - s.mean()))
+            gain = max(d0 - d1, 0.0)
+            out |= {"alpha": [alpha], "deviance": [gain], "p_value": [chi_square_tail(gain, max(full[2] - small[2], 1.0))], "dev_expl": [1 - d1 / null if null > 0 else 0.0], "negative_elements": [int((corrected < 0).sum())], "delta_reads": [float(y.sum() - np.maximum(corrected, 0).sum())]}
+        return pd.DataFrame(out)
+
+    cols = df.select(*dict.fromkeys([series, *order, value, level, *covariates]))
+    return spread_by(cols, [series]).groupBy(series).applyInPandas(run, f"{series} {kind}, n int, negative_elements int, " + ", ".join(f"{f} double" for f in fields))
+
+
+def nb_fit(y: np.ndarray, x: np.ndarray, ridge: np.ndarray, alpha: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, float]:
+    """Means, coefficients and effective degrees of freedom of a penalised negative-binomial regression with log link."""
+    beta = np.zeros(x.shape[1])
+    beta[0] = math.log(max(y.mean(), 1e-9)) - (x[:, 1].mean() if x.shape[1] > 1 else 0.0)
+    if x.shape[1] > 1:
+        beta[1] = 1.0
+    pen = np.diag(ridge + 1e-9)
+    for _ in range(rounds):
+        eta = np.clip(x @ beta, -30, 30)
+        mu = np.exp(eta)
+        w = mu / (1 + alpha * mu)
+        gram = (x.T * w) @ x
+        new = np.linalg.solve(gram + pen, (x.T * w) @ (eta + (y - mu) / mu))
+        done = np.abs(new - beta).max() < 1e-8
+        beta = new
+        if done:
+            break
+    return np.exp(np.clip(x @ beta, -30, 30)), beta, float(np.trace(np.linalg.solve(gram + pen, gram)))
+
+
+def mean_dispersion(y: np.ndarray, mu: np.ndarray) -> float:
+    """Maximum-likelihood dispersion of counts at given means, by golden section on its logarithm."""
+    whole = y.astype(np.int64)
+    top = int(whole.max())
+
+    def value(t: float) -> float:
+        a = math.exp(t)
+        rising = np.r_[0.0, np.cumsum(np.log1p(a * np.arange(top)))][whole]
+        return float((rising + y * np.log(mu) - (y + 1 / a) * np.log1p(a * mu)).sum())
+
+    lo, hi, g = math.log(1e-6), math.log(10.0), (math.sqrt(5) - 1) / 2
+    for _ in range(50):
+        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
+        lo, hi = (lo, d) if value(c) > value(d) else (c, hi)
+    return math.exp((lo + hi) / 2)
+
+
 def segment_likelihoods(df: DataFrame, series: str, segment: list[str], value: str) -> DataFrame:
     """Negative-binomial costs of each segment at the maximum-likelihood dispersion and at the conditional one: series, segment.., n, alpha, cost, alpha_conditional, cost_conditional.
 

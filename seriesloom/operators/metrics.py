@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seriesloom.operators.ordered import with_group
+
 
 def _ranked(df: DataFrame, by: list[str], value: str, out: str = "_i") -> DataFrame:
     return df.where(F.col(value).isNotNull()).withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(value)))
@@ -147,8 +149,8 @@ def partial_correlation(xy: Column, xz: Column, yz: Column) -> Column:
 
 def standardise(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFrame:
     """(x - mean) / sd inside each group; null without spread."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)))
+    x = with_group(df, by, _mu=F.avg(value), _sd=F.stddev_samp(value))
+    return x.withColumn(out, (F.col(value) - F.col("_mu")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mu", "_sd")
 
 
 def adjust_p(df: DataFrame, by: list[str], p: str, out: str = "p_adjusted", dependent: bool = False) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seriesloom.operators.ordered import PART, in_ranges, same
+
 
 def _bucketed(df: DataFrame, width: int) -> DataFrame:
     lo, hi = F.floor(F.col("start") / width), F.floor(F.col("end") / width)
@@ -48,16 +50,21 @@ def within_join(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> Data
 
 
 def coverage(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Depth as a step function: keys.., start, end, depth for every stretch between the first start and the last end; depth may be 0 inside."""
+    """Depth as a step function: keys.., start, end, depth for every stretch between the first start and the last end; depth may be 0 inside.
+
+    Marks where the depth changes are laid out in ranges of (key, position), and the depth at the beginning of each range is carried by one row, so a key with most rows is spread.
+    """
     ok = df.where("start is not null and end is not null and start <= end")
     ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("step"))))
-    marks = ok.select(*keys, ends.alias("m")).groupBy(*keys, F.col("m.at").alias("start")).agg(F.sum("m.step").alias("step"))
-    w = Window.partitionBy(*keys).orderBy("start")
-    x = marks.withColumn("depth", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("start").over(w) - 1)
-    x = x.where("end is not null").select(*keys, "start", "end", "depth")
-    fresh = F.coalesce(F.col("depth") != F.lag("depth").over(w), F.lit(True)).cast("int")
-    y = x.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return y.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("depth").alias("depth")).drop("_g")
+    marks = ok.select(*keys, ends.alias("m")).groupBy(*keys, F.col("m.at").alias("start")).agg(F.sum("m.step").alias("step")).where("step <> 0")  # the depth changes at each mark
+    x = in_ranges(marks, keys, ["start"])
+    parts = x.groupBy(*keys, PART).agg(F.sum("step").alias("step"), F.min("start").alias("first"))
+    over = Window.partitionBy(*keys).orderBy(PART)
+    parts = parts.select(*keys, PART, F.coalesce(F.sum("step").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"), F.lead("first").over(over).alias("next"))
+    w = Window.partitionBy(*keys, PART).orderBy("start")
+    y = x.withColumn("here", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("then", F.lead("start").over(w))
+    z = same(y, parts, [*keys, PART]).withColumn("end", F.coalesce("then", "next") - 1).where("end is not null")
+    return z.select(*keys, "start", "end", (F.col("here") + F.col("carry")).alias("depth"))
 
 
 def mask_single(depth: Column) -> Column:
@@ -66,13 +73,23 @@ def mask_single(depth: Column) -> Column:
 
 
 def peaks(steps: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Maximal stretches of depth ``least`` or more with their highest and mean depth."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    x = steps.withColumn("_h", F.col("depth") >= least)
-    fresh = (F.col("_h") & ~F.coalesce(F.lag("_h").over(w), F.lit(False))).cast("int")
-    y = x.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Maximal stretches of depth ``least`` or more with their highest and mean depth; ``steps`` of a key follow each other without holes, as :func:`coverage` gives them."""
+    high = steps.where(F.col("depth") >= least)
+    x = in_ranges(high, keys, ["start"])
+    w = Window.partitionBy(*keys, PART).orderBy("start")
+    fresh = F.coalesce(F.lag("end").over(w) + 1 < F.col("start"), F.lit(False))  # the first of a range may go on with a peak of the range before
+    y = x.withColumn("_g", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     n = F.col("end") - F.col("start") + 1
-    return y.where("_h").groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("depth").alias("top"), (F.sum(F.col("depth") * n) / F.sum(n)).alias("mean_depth")).drop("_g")
+    part = y.groupBy(*keys, PART, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("depth").alias("top"), F.sum(F.col("depth") * n).alias("_s"), F.sum(n).alias("_n"))
+    # only the first and the last stretch of a range can meet a neighbour: those are joined along the few ranges of a key
+    ends = part.withColumn("_last", F.col("_g") == F.max("_g").over(Window.partitionBy(*keys, PART)))
+    inner = ends.where("_g > 0 and not _last")
+    o = Window.partitionBy(*keys).orderBy("start")
+    outer = ends.where("_g = 0 or _last").withColumn("_f", F.coalesce(F.lag("end").over(o) + 1 < F.col("start"), F.lit(True)).cast("int"))
+    outer = outer.withColumn("_k", F.sum("_f").over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = outer.groupBy(*keys, "_k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("top").alias("top"), F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    cols = [*keys, "start", "end", "top", (F.col("_s") / F.col("_n")).alias("mean_depth")]
+    return inner.select(*cols).unionByName(joined.select(*cols))
 
 
 def reduce_ranges(df: DataFrame, keys: list[str]) -> DataFrame:

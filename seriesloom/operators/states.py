@@ -92,34 +92,67 @@ def log_likelihood(log_p: np.ndarray, log_a: np.ndarray) -> float:
     return total + math.log(max(f.sum(), 1e-300))
 
 
+def log_likelihoods(log_p: np.ndarray, log_a: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of several sets of emissions (sets, points, states) under the same transitions, in one pass of scaled forward sums."""
+    top = log_p.max(2, keepdims=True)
+    p, a = np.exp(log_p - top), np.exp(log_a)
+    total = top[:, :, 0].sum(1)
+    f = p[:, 0] / p.shape[2]
+    for t in range(1, p.shape[1]):
+        s = np.maximum(f.sum(1), 1e-300)
+        total += np.log(s)
+        f = ((f / s[:, None]) @ a[t - 1]) * p[:, t]
+    return total + np.log(np.maximum(f.sum(1), 1e-300))
+
+
 def width_of(rpc: float) -> float:
     """How far a fit may move rpc: fixed bounds of 5, 10 and 25 per cent."""
     return 0.05 if rpc < 5 else 0.10 if rpc < 10 else 0.25
 
 
-def fit(y: np.ndarray, borders: np.ndarray, states: int, rpc: float, change: float = 0.01, rounds: int = 2) -> tuple[float, float, float, float, float]:
-    """MAP values (rpc, rpc0, alpha, alpha0, log posterior) by coordinate search on shrinking grids; rpc stays within :func:`width_of`, rpc0 below a fifth of rpc."""
-    log_a = steps(len(y), states, change, borders)
+#: Relative gain below which a fit has settled, and the share of a parameter's range that its steps must have come down to.
+GAIN, FINEST = 1e-5, 1e-3
+
 
-    def value(v: np.ndarray) -> float:
-        r, r0, a, a0 = v
-        prior = -0.5 * ((r - rpc) / (0.15 * rpc)) ** 2 - r0 - math.sqrt(a) - math.sqrt(a0)
-        return log_likelihood(emissions(y, states, r, r0, a, a0), log_a) + prior
-
-    lo = np.array([rpc * (1 - width_of(rpc)), 1e-3, 1e-4, 1e-4])
-    hi = np.array([rpc * (1 + width_of(rpc)), 0.2 * rpc, 0.5, 0.5])
-    best = np.array([rpc, 0.05 * rpc, 0.02, 0.02])
-    span = hi - lo
-    top = value(best)
-    for k in range(rounds):
+def fit(y: np.ndarray, borders: np.ndarray, states: int, rpc: float, change: float = 0.01, most: int = 60) -> tuple[float, float, float, float, float]:
+    """MAP values (rpc, rpc0, alpha, alpha0, log posterior) by coordinate search; rpc stays within :func:`width_of`, rpc0 below a fifth of rpc.
+
+    A round tries steps either way for each parameter (dispersions and rpc0 in their logarithm). A parameter's step grows when it helps and halves when it doesn't; the search ends when steps are below ``FINEST`` of the ranges
+    and a round gains less than ``GAIN`` relative.
+    """
+    log_a = steps(len(y), states, change, borders)
+    lo = np.array([rpc * (1 - width_of(rpc)), math.log(min(1e-3, 0.1 * rpc)), math.log(1e-4), math.log(1e-4)])
+    hi = np.array([rpc * (1 + width_of(rpc)), math.log(0.2 * rpc), math.log(0.5), math.log(0.5)])
+
+    def values(vs: list[np.ndarray]) -> np.ndarray:
+        e, prior = [], []
+        for v in vs:
+            r, r0, a, a0 = v[0], *np.exp(v[1:])
+            e.append(emissions(y, states, r, r0, a, a0))
+            prior.append(-0.5 * ((r - rpc) / (0.15 * rpc)) ** 2 - r0 - math.sqrt(a) - math.sqrt(a0))
+        return log_likelihoods(np.stack(e), log_a) + np.array(prior)
+
+    best = np.clip(np.array([rpc, math.log(0.05 * rpc), math.log(0.02), math.log(0.02)]), lo, hi)
+    step = (hi - lo) / 4
+    top = float(values([best])[0])
+    for _ in range(most):
+        before = top
         for i in range(4):
-            for g in np.linspace(-1, 1, 5)[[0, 1, 3, 4]]:
+            trial = []
+            for g in (-1.0, -0.5, 0.5, 1.0):
                 v = best.copy()
-                v[i] = np.clip(best[i] + g * span[i] / 2 ** (k + 1), lo[i], hi[i])
-                s = value(v)
-                if s > top:
-                    best, top = v, s
-    return (*best.tolist(), top)
+                v[i] = np.clip(best[i] + g * step[i], lo[i], hi[i])
+                trial.append(v)
+            s = values(trial)
+            k = int(s.argmax())
+            if s[k] > top:
+                best, top = trial[k], float(s[k])
+                step[i] *= 1.5 if k in (0, 3) else 1.0
+            else:
+                step[i] /= 3
+        if (step < FINEST * (hi - lo)).all() and top - before <= GAIN * abs(top):
+            break
+    return (float(best[0]), *np.exp(best[1:]).tolist(), top)
 
 
 def event_p_values(events: list[tuple[np.ndarray, float]], mean_out: float, alpha: float, seed: int, draws: int = 10_000, longest: int = 20, zero_out: bool = False) -> list[float]:

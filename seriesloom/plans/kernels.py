@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from seriesloom.operators import changepoint, costs, fits, scaling, states
 from seriesloom.plans.base import CELLS, SIGNAL, cells, signal
 from seriesloom.plans.registry import Registry
 from seriesloom.plans.signals import FILLED, PART, _segments
-from seriesloom.util import r6, spread_by
+from seriesloom.util import r6, spread_by, stage
 
 R = Registry()
 SEG = [*PART, "seg_id"]
@@ -270,23 +268,31 @@ def robust_lines(spark: SparkSession, d: str) -> DataFrame:
     return x.select("name", "n", *[r6(c).alias(c) for c in ("intercept", "slope", "scale")])
 
 
+@R.add(None)
+def gc_model(spark: SparkSession, d: str) -> DataFrame:
+    """What the correction for gc content and mappability explains in each cell, and how many reads it takes away."""
+    s = _ordered(spark, d).withColumn("base", F.col("copynumber").cast("double"))
+    m = fits.bias_model(s, "name", ["pos"], "calls", "base", ["gc", "mappability"])
+    return m.select("name", "n", "negative_elements", *[r6(c).alias(c) for c in ("alpha", "deviance", "p_value", "dev_expl", "delta_reads")])
+
+
 @R.add(None)
 def cycle_trends(spark: SparkSession, d: str) -> DataFrame:
-    """Trend of reads with replication timing inside segments, summed up per cell."""
-    s = _segments(spark, d).where("replication_timing is not null")
-    return fits.trend_summary(s, "name", ["chrom", "seg_id"], "replication_timing", "calls", 4)
+    """Trend of reads with replication timing inside segments, with and without the part of the bias by gc content and mappability: 26 summaries per cell."""
+    s = _segments(spark, d).where("replication_timing is not null").withColumn("pos", F.col("chrom_rank") * 1000 + F.col("bin_idx"))
+    return fits.trend_summary(s.join(gc_correct(spark, d).select("name", "pos", "factor"), ["name", "pos"]), "name", ["chrom", "seg_id"], "replication_timing", "calls", 4, "factor")
 
 
 @R.add(None)
 def gc_trends(spark: SparkSession, d: str) -> DataFrame:
-    """The same with gc content, on autosomes with reads."""
+    """Trend of reads with gc content on autosomes with reads: 12 summaries per cell."""
     s = _segments(spark, d).where("gc is not null and calls >= 1 and segmented >= 1e-6").where(~F.col("chrom").isin("X", "Y"))
     return fits.trend_summary(s, "name", ["chrom", "seg_id"], "gc", "calls", 4)
 
 
 @R.add(None)
 def phase_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Random forest for S phase from the measures of a cell: probability for each annotated cell."""
+    """Random forest for S phase from the measures of a cell: probability for each annotated cell, from the forest that was fitted on the other half of the cells."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -296,8 +302,13 @@ def phase_forest(spark: SparkSession, d: str) -> DataFrame:
 
     names = ["rpc", "ploidy", "gini", "mapd", "observed_variance"]
     x = cells(spark, d).join(info(spark, d).select("cell", "cellcycle"), "cell").dropna(subset=[*names, "cellcycle"]).withColumn("label", (F.col("cellcycle") == "S").cast("double"))
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), RandomForestClassifier(numTrees=40, maxDepth=5, seed=11)]).fit(x)
-    return model.transform(x).select("cell", "label", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias("p_s"))
+    x = stage(x.select("cell", "label", *names, F.pmod(F.xxhash64("cell"), F.lit(2)).cast("int").alias("half")))
+    out = None
+    for half in (0, 1):
+        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), RandomForestClassifier(numTrees=40, maxDepth=5, seed=11)]).fit(x.where(F.col("half") != half))
+        part = model.transform(x.where(F.col("half") == half)).select("cell", "label", "half", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias("p_s"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @R.add(CELLS + """, g as (select width_bucket_x gx, width_bucket_y gy, count(*) n from (select least(greatest(floor(ploidy / 0.25), 0), 39) width_bucket_x, least(greatest(floor(gini / 0.025), 0), 39) width_bucket_y from cells where ploidy is not null and gini is not null) group by 1, 2)

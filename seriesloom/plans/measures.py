@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from seriesloom.operators import metrics as M
 from seriesloom.operators import runs
+from seriesloom.operators.ordered import with_group
 from seriesloom.plans.base import CELLS, SIGNAL, cells, signal
 from seriesloom.plans.registry import Registry
 from seriesloom.plans.signals import FILLED, PART, _segments
@@ -175,12 +176,12 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", r6(acc).alias("accuracy"), r6(tp / nz(tp + fn)).alias("sensitivity"), r6(tn / nz(tn + fp)).alias("specificity"), r6((acc - chance) / nz(1 - chance)).alias("kappa"))
 
 
-@R.add(CELLS + """, x as (select uid, count(*) n, corr(ploidy, gini) r from cells where ploidy is not null and gini is not null group by 1) select uid, n, round(r, 6) as r, round(r * sqrt((n - 2) / nullif(1 - r * r, 0)), 4) as t from x where n > 5 and abs(r) < 0.999999""")
+@R.add(CELLS + """, x as (select uid, count(*) n, case when isfinite(corr(ploidy, gini)) then corr(ploidy, gini) end r from cells where ploidy is not null and gini is not null group by 1) select uid, n, round(r, 6) as r, round(r * sqrt((n - 2) / nullif(1 - r * r, 0)), 4) as t from x where n > 2""")
 def corr_test(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of ploidy and unevenness per UID with its t value."""
     x = cells(spark, d).where("ploidy is not null and gini is not null").groupBy("uid").agg(F.count("*").alias("n"), M.correlation("ploidy", "gini").alias("r"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
-    return x.where("n > 5 and abs(r) < 0.999999").select("uid", "n", r6("r").alias("r"), F.round(t, 4).alias("t"))
+    return x.where("n > 2").select("uid", "n", r6("r").alias("r"), F.round(t, 4).alias("t"))
 
 
 @R.add(SIGNAL + """, m as (select name, median(calls + 1) m from sig group by 1) select chrom, bin_idx, round(median((calls + 1) / m), 6) as depth from sig s join m on s.name = m.name group by 1, 2""")
@@ -216,8 +217,8 @@ def partial_spearman(spark: SparkSession, d: str) -> DataFrame:
 @R.add(CELLS + "select row_id, uid, round((ploidy - avg(ploidy) over w) / nullif(stddev_samp(ploidy) over w, 0), 6) as z, round(median(ploidy) over w, 6) as usual from cells where ploidy is not null window w as (partition by uid)")
 def zscore(spark: SparkSession, d: str) -> DataFrame:
     """Ploidy of a cell against its UID, with the UID's median on every row."""
-    z = M.standardise(cells(spark, d).where("ploidy is not null"), ["uid"], "ploidy")
-    return z.select("row_id", "uid", r6("z").alias("z"), r6(F.median("ploidy").over(Window.partitionBy("uid"))).alias("usual"))
+    z = with_group(M.standardise(cells(spark, d).where("ploidy is not null"), ["uid"], "ploidy"), ["uid"], usual=F.median("ploidy"))
+    return z.select("row_id", "uid", r6("z").alias("z"), r6("usual").alias("usual"))
 
 
 @R.add(CELLS + """, p as (select row_id, uid, gini p from cells where gini between 0 and 1), a as (select *, rank() over (partition by uid order by p) + count(*) over (partition by uid, p) - 1 i, count(*) over (partition by uid) m from p),

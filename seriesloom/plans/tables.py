@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from seriesloom.functions import names as N
 from seriesloom.operators import cohort as C
+from seriesloom.operators.ordered import numbered, with_group
 from seriesloom.operators.references import path_key, plain_key
 from seriesloom.plans.base import CELLS, SIGNAL, cells, signal
 from seriesloom.plans.registry import Registry
 from seriesloom.util import r6, table
 
 R = Registry()
+CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
 
 FLAGS = r""", flags as (select * from (select *, lower(trim(split_part(regexp_extract(name, '([^/\\]*)$', 1), '.', 1))) cell, row_number() over (partition by lower(trim(split_part(regexp_extract(name, '([^/\\]*)$', 1), '.', 1))) order by recorded_at desc nulls last, flag_id desc) rn from flagstat where name is not null) where rn = 1 and cell <> '')"""
 INFO = r""", info as (select * from (select *, lower(trim(split_part(regexp_extract(filename, '([^/\\]*)$', 1), '.', 1))) cell, row_number() over (partition by lower(trim(split_part(regexp_extract(filename, '([^/\\]*)$', 1), '.', 1))) order by recorded_at desc nulls last, info_id desc) rn from cellcycle_info where filename is not null) where rn = 1 and cell <> '')"""
@@ -139,11 +141,11 @@ def complete_loci(spark: SparkSession, d: str) -> DataFrame:
     return p.join(n, "uid").where("n = a").select("uid", "chrom", "bin_idx")
 
 
-@R.add(SIGNAL + ", k as (select name, chrom, round(avg(copynumber), 6) v from sig group by 1, 2) select name, max(case when chrom = '1' then v end) as c1, max(case when chrom = '8' then v end) as c8, max(case when chrom = 'X' then v end) as cx from k group by 1")
+@R.add(SIGNAL + ", k as (select name, chrom, round(avg(copynumber), 6) v from sig group by 1, 2) select name, " + ", ".join(f"max(case when chrom = '{c}' then v end) as c{c.lower()}" for c in CHROMOSOMES) + " from k group by 1")
 def pivot_chromosomes(spark: SparkSession, d: str) -> DataFrame:
-    """Mean copy number of three chromosomes side by side."""
-    k = signal(spark, d).groupBy("name").pivot("chrom", ["1", "8", "X"]).agg(r6(F.avg("copynumber")))
-    return k.select("name", F.col("1").alias("c1"), F.col("8").alias("c8"), F.col("X").alias("cx"))
+    """Mean copy number of all chromosomes side by side."""
+    k = signal(spark, d).groupBy("name").pivot("chrom", CHROMOSOMES).agg(r6(F.avg("copynumber")))
+    return k.select("name", *[F.col(c).alias(f"c{c.lower()}") for c in CHROMOSOMES])
 
 
 @R.add(SIGNAL + "select name, coalesce(list(copynumber order by chrom_rank, bin_idx) filter (copynumber is not null), []) as states from sig group by 1")
@@ -174,7 +176,7 @@ def slice_max_prop(spark: SparkSession, d: str) -> DataFrame:
     return C.top_share(cells(spark, d).select("row_id", "uid", "used_reads"), ["uid"], "used_reads", 0.75)
 
 
-@R.add(None)
+@R.add("select row_id, uid from pdata where substr(md5('3|' || row_id), 1, 8) < '1999999a'")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     """Reproducible tenth of the deliveries."""
     return C.hash_sample(table(spark, d, "pdata"), ["row_id"], 0.1, 3).select("row_id", "uid")
@@ -231,7 +233,7 @@ def distinct_first(spark: SparkSession, d: str) -> DataFrame:
 def latest_best(spark: SparkSession, d: str) -> DataFrame:
     """Of a UID's cells nearest to ploidy 2 (within a tolerance) the most even one."""
     x = cells(spark, d).where("ploidy is not null").withColumn("off", F.abs(F.col("ploidy") - 2))
-    x = x.withColumn("best", F.min("off").over(Window.partitionBy("uid"))).where("off <= best + 0.1")
+    x = with_group(x, ["uid"], best=F.min("off")).where("off <= best + 0.1")
     return C.first_rows(x, ["uid"], [F.asc_nulls_last("gini"), F.asc("row_id")]).select("uid", "row_id", r6("off").alias("off"))
 
 
@@ -315,6 +317,47 @@ def bin_counts(spark: SparkSession, d: str) -> DataFrame:
     return g.join(c, ["series", "bin"], "left").select("series", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+UNIQUE = """with r as (select l_suppkey series, l_partkey pos, l_orderkey fragment, l_linenumber line, l_linestatus = 'F' plus from lineitem),
+ u as (select * from (select *, row_number() over (partition by series, pos, plus order by fragment, line) rn from r) where rn = 1),
+ m as (select * exclude (rn) from (select * exclude (rn), row_number() over (partition by series, fragment order by line, pos, plus) rn from u) where rn = 1)
+"""
+
+
+@R.add(UNIQUE + "select series, cast(floor((pos - 1) / 100) as bigint) as bin, count(*) as n from m group by 1, 2")
+def bin_counts_unique(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of each series per bin without duplicates (same place and strand) and with one mate of each fragment; bins without reads have no row."""
+    r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("series"), F.col("l_partkey").alias("pos"), F.col("l_orderkey").alias("fragment"), F.col("l_linenumber").alias("line"), (F.col("l_linestatus") == "F").alias("plus"))
+    m = C.one_mate(C.without_duplicates(r, ["series", "pos", "plus"], ["fragment", "line"]), ["series", "fragment"], ["line", "pos", "plus"])
+    return m.groupBy("series", F.floor((F.col("pos") - 1) / 100).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@R.add(UNIQUE + "select series, pos, plus, case when plus then pos else pos + 75 end as start, count(*) over (partition by series, fragment) as mates from u")
+def read_starts(spark: SparkSession, d: str) -> DataFrame:
+    """First base of each read without duplicates: the place itself on the plus strand, the other end of a read of 76 bases on the minus strand; and the number of its fragment's reads."""
+    r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("series"), F.col("l_partkey").alias("pos"), F.col("l_orderkey").alias("fragment"), F.col("l_linenumber").alias("line"), (F.col("l_linestatus") == "F").alias("plus"))
+    u = C.without_duplicates(r, ["series", "pos", "plus"], ["fragment", "line"])
+    u = u.join(u.groupBy("series", "fragment").agg(F.count("*").alias("mates")), ["series", "fragment"])
+    return u.select("series", "pos", "plus", F.when(F.col("plus"), F.col("pos")).otherwise(F.col("pos") + 75).alias("start"), "mates")
+
+
+@R.add(SIGNAL + """, k as (select name, chrom || ':' || start_pos || '-' || end_pos as key, chrom_rank from sig)
+select name, key, split_part(key, ':', 1) as chrom, cast(split_part(split_part(key, ':', 2), '-', 1) as bigint) as start_bp, cast(split_part(split_part(key, ':', 2), '-', 2) as bigint) as end_bp,
+ row_number() over (partition by name, split_part(key, ':', 1) order by cast(split_part(split_part(key, ':', 2), '-', 1) as bigint)) as place from k""")
+def range_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys such as 1:1-25000000 as ranges in base pairs, and by their place among the cell's keys of the chromosome."""
+    k = signal(spark, d).select("name", F.concat("chrom", F.lit(":"), F.col("start_pos").cast("string"), F.lit("-"), F.col("end_pos").cast("string")).alias("key"))
+    chrom, start, end = N.range_fields(F.col("key"))
+    x = k.select("name", "key", chrom.alias("chrom"), start.alias("start_bp"), end.alias("end_bp"))
+    return x.withColumn("place", F.row_number().over(Window.partitionBy("name", "chrom").orderBy("start_bp")).cast("bigint"))
+
+
+@R.add(CELLS + INFO + "select c.cell, coalesce(i.quality, 0.5::double) as weight, round(c.ploidy * coalesce(i.quality, 0.5::double), 9) as weighted from cells c left join info i on c.cell = i.cell")
+def cell_parameter(spark: SparkSession, d: str) -> DataFrame:
+    """A parameter given for each cell, with one default for cells that have none: ploidy weighted by the quality of the annotation."""
+    j = cells(spark, d).select("cell", "ploidy").join(info(spark, d).select("cell", "quality"), "cell", "left").withColumn("weight", F.coalesce("quality", F.lit(0.5)))
+    return j.select("cell", "weight", F.round(F.col("ploidy") * F.col("weight"), 9).alias("weighted"))
+
+
 @R.add(SIGNAL + "select chrom as chr, start_pos as \"start\", end_pos as \"end\", copynumber as state, round(segmented, 6) as copy, name as cell_id from sig where usable")
 def export_signals(spark: SparkSession, d: str) -> DataFrame:
     """Usable bins in the form of the signal export."""
@@ -336,23 +379,23 @@ def scale_apply(spark: SparkSession, d: str) -> DataFrame:
     return s.join(k, "name").select("name", "chrom", "bin_idx", r6(F.col("segmented") * 2 / F.col("m") + 0.1).alias("scaled"), "copynumber")
 
 
-@R.add(CELLS + """, x as (select uid, avg(rpc) over (partition by uid) c, rpc - avg(rpc) over (partition by uid) x, rpc, used_reads::double / 1000 y from cells where rpc is not null and used_reads is not null and rpc between 0 and 1000),
+@R.add(CELLS + """, x as (select uid, avg(rpc) over (partition by uid) c, rpc - avg(rpc) over (partition by uid) x, rpc, used_reads::double / 1000 y from cells where rpc is not null and used_reads is not null),
  s as (select uid, count(*)::double n, min(c) c, sum(x) s1, sum(x*x) s2, sum(x*x*x) s3, sum(x*x*x*x) s4, sum(y) t0, sum(x*y) t1, sum(x*x*y) t2 from x group by 1),
- z as (select *, nullif(n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2), 0) det from s where n >= 30),
+ z as (select *, nullif(n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2), 0) det from s where n >= 3),
  k as (select uid, n, c m, (n*(s2*t2-s3*t1) - s1*(s1*t2-s2*t1) + t0*(s1*s3-s2*s2)) / det c2, (n*(t1*s4-t2*s3) - t0*(s1*s4-s2*s3) + s2*(s1*t2-s2*t1)) / det c1 from z)
-select uid, n, round(c2, 3) as c, round(c1 - 2 * c2 * m, 2) as b from k""")
+select uid, n, round(c2, 3) + 0.0 as c, round(c1 - 2 * c2 * m, 2) + 0.0 as b from k""")
 def quadratic_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Reads as a quadratic function of reads per copy for UIDs with thirty cells or more."""
-    x = cells(spark, d).where("used_reads is not null and rpc between 0 and 1000").select("uid", "rpc", (F.col("used_reads").cast("double") / 1000).alias("y"))
-    f = C.quadratic_fit(x, ["uid"], "rpc", "y").where("n >= 30")
-    return f.select("uid", "n", F.round("c", 3).alias("c"), F.round("b", 2).alias("b"))
+    """Reads as a quadratic function of reads per copy for UIDs with three cells or more."""
+    x = cells(spark, d).where("used_reads is not null and rpc is not null").select("uid", "rpc", (F.col("used_reads").cast("double") / 1000).alias("y"))
+    f = C.quadratic_fit(x, ["uid"], "rpc", "y")
+    return f.select("uid", "n", (F.round("c", 3) + 0.0).alias("c"), (F.round("b", 2) + 0.0).alias("b"))  # no negative zeros
 
 
-@R.add(SIGNAL + """, g as (select name, copynumber, count(calls) w, avg(calls) m, var_samp(calls) v from sig where copynumber between 1 and 8 group by 1, 2 having count(calls) >= 5)
+@R.add(SIGNAL + """, g as (select name, copynumber, count(calls) w, avg(calls) m, var_samp(calls) v from sig where copynumber >= 1 group by 1, 2 having count(calls) >= 2)
 select name, round(sum(w * m * m * (v - m)) / nullif(sum(w * pow(m, 4)), 0), 6) as alpha from g group by 1""")
 def wls_no_intercept(spark: SparkSession, d: str) -> DataFrame:
     """Over-dispersion of each cell: slope through the origin of variance minus mean on squared mean over its copy states."""
-    g = signal(spark, d).where("copynumber between 1 and 8").groupBy("name", "copynumber").agg(F.count("calls").alias("w"), F.avg("calls").alias("m"), F.var_samp("calls").alias("v")).where("w >= 5")
+    g = signal(spark, d).where("copynumber >= 1").groupBy("name", "copynumber").agg(F.count("calls").alias("w"), F.avg("calls").alias("m"), F.var_samp("calls").alias("v")).where("w >= 2")
     g = g.select("name", "w", (F.col("m") * F.col("m")).alias("x"), (F.col("v") - F.col("m")).alias("y"))
     return g.groupBy("name").agg(r6(C.slope_through_origin("x", "y", "w")).alias("alpha"))
 
@@ -360,7 +403,8 @@ def wls_no_intercept(spark: SparkSession, d: str) -> DataFrame:
 @R.add("select o_orderpriority as method, o_orderstatus as status, round(avg(abs(o_totalprice - m)), 3) as mean_error, round(stddev_samp(abs(o_totalprice - m)), 3) as sd_error from (select *, median(o_totalprice) over (partition by o_orderpriority) m from orders) group by 1, 2")
 def weighted_error(spark: SparkSession, d: str) -> DataFrame:
     """Mean and sd of the absolute error of a median forecast per method and group."""
-    o = table(spark, d, "orders").withColumn("e", F.abs(F.col("o_totalprice") - F.median("o_totalprice").over(Window.partitionBy("o_orderpriority"))))
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice")
+    o = with_group(o, ["o_orderpriority"], m=F.median("o_totalprice")).withColumn("e", F.abs(F.col("o_totalprice") - F.col("m")))
     return o.groupBy(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("status")).agg(F.round(F.avg("e"), 3).alias("mean_error"), F.round(F.stddev_samp("e"), 3).alias("sd_error"))
 
 
@@ -385,11 +429,11 @@ def affix_columns(spark: SparkSession, d: str) -> DataFrame:
     return C.affix(table(spark, d, "flagstat").select("flag_id", "qctotal", "qcmapped"), prefix="m.")
 
 
-@R.add(SIGNAL + ", k as (select name, list(copynumber order by chrom_rank, bin_idx) l from sig where chrom = '1' and copynumber is not null group by 1) select name, i - 1 as place, l[i] as state from (select name, l, unnest(range(1, len(l) + 1)) i from k)")
+@R.add(SIGNAL + ", k as (select name, chrom, list(copynumber order by chrom_rank, bin_idx) l from sig where copynumber is not null group by 1, 2) select name, chrom, i - 1 as place, l[i] as state from (select name, chrom, l, unnest(range(1, len(l) + 1)) i from k)")
 def list_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Lists as rows with their place."""
-    x = signal(spark, d).where("chrom = '1' and copynumber is not null").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("bin_idx", "copynumber"))).alias("l"))
-    return x.select("name", F.posexplode("l").alias("place", "v")).select("name", F.col("place").cast("bigint").alias("place"), F.col("v.copynumber").alias("state"))
+    """Lists as rows with their place: the known states of each cell and chromosome."""
+    x = signal(spark, d).where("copynumber is not null").groupBy("name", "chrom").agg(F.sort_array(F.collect_list(F.struct("bin_idx", "copynumber"))).alias("l"))
+    return x.select("name", "chrom", F.posexplode("l").alias("place", "v")).select("name", "chrom", F.col("place").cast("bigint").alias("place"), F.col("v.copynumber").alias("state"))
 
 
 @R.add(CELLS + FLAGS + """, w as (select uid, row_number() over (order by n desc, uid) place from (select uid, count(*) n from cells where uid is not null group by 1))
@@ -397,7 +441,8 @@ select w.place, c.row_id, f.qcmapped from cells c join w on c.uid = w.uid join f
 def order_match(spark: SparkSession, d: str) -> DataFrame:
     """Rows of two tables put together by key (never by position) and placed in the order of a third."""
     c = cells(spark, d).select("cell", "uid", "row_id")
-    w = c.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "uid"))).select("uid", "place")
+    w = c.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n")).withColumn("less", -F.col("n"))
+    w = numbered(w, [], ["less", "uid"], "place").select("uid", "place")
     return c.join(w, "uid").join(flags(spark, d).select("cell", "qcmapped"), "cell").select("place", "row_id", "qcmapped").orderBy("place", "row_id")
 
 

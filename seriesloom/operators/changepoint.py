@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -60,10 +61,14 @@ class _Counts:
 def cost_function(y: np.ndarray, kind: str, mbic: bool = False, alpha: float = 0.01, rpc: float = 1.0) -> Cost:
     """``f(starts, end)``: costs of the segments (start, end] of y for an array of starts.
 
-    Kinds: normal, poisson, nb_mm (moments), nb_bcmm (bias-corrected), nb_alpha (fixed dispersion), nb_grid (means on multiples of rpc).
+    Kinds: normal, poisson, nb_mm (moments), nb_bcmm (bias-corrected), nb_alpha (fixed dispersion), nb_grid (means on multiples of rpc), normal_mean (changes of the mean alone, at one variance for the series, from
+    the median absolute difference of neighbours), np (empirical distribution at about 4 log n quantiles of the series, dense in the tails).
     """
     y = np.asarray(y, float)
     s1, s2 = np.r_[0, np.cumsum(y)], np.r_[0, np.cumsum(y * y)]
+    if kind == "np":
+        return _empirical_cost(y, mbic)
+    noise = max(float(np.median(np.abs(np.diff(y)))) / (0.6744897501960817 * math.sqrt(2)), 1e-6) ** 2 if kind == "normal_mean" and len(y) > 1 else 1.0
     nb = kind.startswith("nb")
     whole = y.astype(np.int64) if nb else None
     levels = np.arange(int(whole.max()) if nb and len(y) else 0, dtype=float)
@@ -75,6 +80,8 @@ def cost_function(y: np.ndarray, kind: str, mbic: bool = False, alpha: float = 0
         l, x = (end - starts).astype(float), s1[end] - s1[starts]
         if kind == "normal":
             out = l * (LN2PI + np.log(np.maximum((s2[end] - s2[starts] - x * x / l) / l, VAR_FLOOR)) + 1)
+        elif kind == "normal_mean":
+            out = np.maximum(s2[end] - s2[starts] - x * x / l, 0) / noise
         elif kind == "poisson":
             out = np.where(x == 0, 0.0, 2 * x * (np.log(l) - np.log(np.maximum(x, 1e-300))))
         else:
@@ -106,6 +113,48 @@ def cost_function(y: np.ndarray, kind: str, mbic: bool = False, alpha: float = 0
     return run
 
 
+def _empirical_cost(y: np.ndarray, mbic: bool) -> Cost:
+    n = len(y)
+    k = max(math.ceil(4 * math.log(max(n, 2))), 1)
+    wide = math.log(max(2 * n - 1, 2))
+    p = 1 / (1 + (2 * n - 1) * np.exp(-wide / k * (2 * np.arange(1, k + 1) - 1)))
+    points = np.quantile(y, p) if n else np.zeros(k)
+    below = np.r_[np.zeros((1, k), np.float32), np.cumsum((y[:, None] < points) + 0.5 * (y[:, None] == points), axis=0, dtype=np.float32)]
+
+    def run(starts: np.ndarray, end: int) -> np.ndarray:
+        l = (end - starts).astype(float)
+        f = np.clip((below[end].astype(float) - below[starts]) / l[:, None], 0, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            h = np.where(f > 0, f * np.log(f), 0) + np.where(f < 1, (1 - f) * np.log1p(-f), 0)
+        out = -2 * wide / k * l * h.sum(1)
+        return out + np.log(l) if mbic else out
+
+    return run
+
+
+def merge_segments(y: np.ndarray, ends: list[int], alpha: float = 0.01) -> list[int]:
+    """Ends after neighbouring segments were joined, the least different first, until all neighbours differ in mean at level ``alpha`` (two-sided normal test with their own variances; a
+    segment of one point takes its neighbour's)."""
+    parts = [(len(p), float(p.mean()), float(p.var(ddof=1)) if len(p) > 1 else -1.0, e) for p, e in zip(np.split(y, ends[:-1]), ends, strict=True)]
+
+    def p_value(a: tuple, b: tuple) -> float:
+        va, vb = (a[2] if a[2] >= 0 else b[2]), (b[2] if b[2] >= 0 else a[2])
+        se = math.sqrt(max(va, 0) / a[0] + max(vb, 0) / b[0])
+        return math.erfc(abs(a[1] - b[1]) / se / math.sqrt(2)) if se > 0 else float(a[1] == b[1])
+
+    while len(parts) > 1:
+        p = [p_value(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+        i = int(np.argmax(p))
+        if p[i] <= alpha:
+            break
+        (n, m, v, _), (k, o, u, e) = parts[i], parts[i + 1]
+        both = n + k
+        mean = (n * m + k * o) / both
+        ss = max(v, 0) * (n - 1) + max(u, 0) * (k - 1) + n * (m - mean) ** 2 + k * (o - mean) ** 2
+        parts[i : i + 2] = [(both, mean, ss / (both - 1), e)]
+    return [q[3] for q in parts]
+
+
 def state_cost(log_p: np.ndarray, mbic: bool = False) -> Cost:
     """Cost of a segment as minus the best state's summed log-probability; ``log_p`` has a row per point and a column per state."""
     s = np.r_[np.zeros((1, log_p.shape[1])), np.cumsum(log_p, axis=0)]
@@ -220,14 +269,14 @@ def segment_states(df: DataFrame, by: list[str], order: list[str], value: str, r
     return spread_by(cols, by).groupBy(*by).applyInPandas(run, f"{fields}, seg int, first {kind_at}, last {kind_at}, n int, state int")
 
 
-PARAMETERS = {"normal": 1, "poisson": 1}
+PARAMETERS = {"normal": 1, "poisson": 1, "normal_mean": 1, "np": 1}
 
 
-def segment(df: DataFrame, by: list[str], order: list[str], value: str, kind: str = "nb_mm", pen: str = "MBIC", manual: float | None = None, alpha: float | None = None, rpc: str | float = 1.0, with_crops: bool = False) -> DataFrame:
+def segment(df: DataFrame, by: list[str], order: list[str], value: str, kind: str = "nb_mm", pen: str = "MBIC", manual: float | None = None, alpha: float | None = None, rpc: str | float = 1.0, with_crops: bool = False, gap: int = MIN_SEGMENT, merged: float | None = None) -> DataFrame:
     """Segments of each series: by.., seg, first, last (values of the last order column), n, level (median).
 
     Without ``alpha`` each series has its own dispersion, by maximum likelihood, 0.01 where it shows no extra variance. ``rpc`` may be a column that holds one value for each series; series in which it
-    is null or not positive are segmented with 1.
+    is null or not positive are segmented with 1. Segments have ``gap`` points or more. With ``merged`` neighbours that don't differ at that level are joined afterwards (:func:`merge_segments`).
 
     Null values are left out before and the segments span them. ``with_crops`` chooses among all segmentations of the penalty range
     the one with the best :func:`adjusted_r2`. One series is one group and must fit in a task, which is what a series is.
@@ -252,7 +301,9 @@ def segment(df: DataFrame, by: list[str], order: list[str], value: str, kind: st
             low, high = max(0.0, min(penalty("AIC", n, d), penalty("BIC", n, d))), penalty("MBIC", n, d) + 1
             ends = max(crops(n, base, low, high).values(), key=lambda e: (adjusted_r2(y, e), -len(e)))
         else:
-            ends = pelt(n, cost, penalty(pen, max(n, 3), d, manual))
+            ends = pelt(n, cost, penalty(pen, max(n, 3), d, manual), gap)
+        if merged is not None:
+            ends = merge_segments(y, ends, merged)
         starts = [0, *ends[:-1]]
         out = {k: [pdf[k].iloc[0]] * len(ends) for k in by}
         out |= {"seg": range(1, len(ends) + 1), "first": [pos[s] for s in starts], "last": [pos[e - 1] for e in ends], "n": [e - s for s, e in zip(starts, ends, strict=True)], "level": [float(np.median(y[s:e])) for s, e in zip(starts, ends, strict=True)]}

@@ -134,6 +134,10 @@ def pelt_nb_grid(spark: SparkSession, d: str) -> DataFrame:
     return changepoint.segment(s.join(_reads_per_copy(s), "name", "left"), ["name"], ["pos"], "calls", "nb_grid", rpc="rpc")
 
 
+R.add(None, name="pelt_np")(_pelt("np"))
+R.add(None, name="pelt_normal_mean")(_pelt("normal_mean"))
+R.add(None, name="pelt_nb_gap")(_pelt("nb_alpha", gap=4))
+R.add(None, name="pelt_posthoc")(_pelt("normal_mean", merged=0.01))
 R.add(None, name="segment_crops")(_pelt("nb_mm", with_crops=True))
 
 

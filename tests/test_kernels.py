@@ -113,3 +113,84 @@ def test_bias_correction_removes_the_covariate():
     base = np.repeat([10.0, 20.0, 30.0], 200)
     f = fits.smooth_factor(rng.poisson(base * effect).astype(float), base, [gc])
     assert np.corrcoef(np.log(f), np.log(effect))[0, 1] > 0.97
+
+
+@pytest.mark.parametrize("kind", ["normal_mean", "np"])
+def test_pelt_finds_the_optimum_of_mean_and_empirical_costs(kind):
+    rng = np.random.default_rng(13)
+    for _ in range(8):
+        n = int(rng.integers(4, 45))
+        y = np.round(rng.normal(np.repeat(rng.choice([5, 20, 60], 5), 10)[:n], 2))
+        cost = C.cost_function(y, kind)
+        beta = costs.penalty("BIC", n, 1)
+        ends = C.pelt(n, cost, beta)
+        value = sum(cost(np.array([s]), e)[0] + beta for s, e in zip([0, *ends[:-1]], ends, strict=True)) - beta
+        assert value <= best_by_force(n, cost, beta) + (1e-6 if kind == "normal_mean" else beta)
+
+
+def test_segments_that_do_not_differ_are_joined():
+    rng = np.random.default_rng(2)
+    y = np.r_[rng.normal(10, 1, 40), rng.normal(10, 1, 40), rng.normal(30, 1, 40)]
+    assert C.merge_segments(y, [40, 80, 120]) == [80, 120]
+    assert C.merge_segments(np.array([5.0, 5, 5, 9, 9]), [1, 3, 5]) == [3, 5]
+    assert C.merge_segments(y[:10], [10]) == [10]
+
+
+def test_counts_of_long_series_equal_direct_sums():
+    rng = np.random.default_rng(4)
+    whole = rng.poisson(np.repeat([3, 900, 40], 300)).astype(np.int64)
+    t = C._Counts(whole)
+    assert t.table.size <= (len(whole) // t.STRIDE + 1) * len(np.unique(whole))
+    starts, end = np.array([0, 1, 127, 128, 500, 898]), 899
+    c = np.array([0.02, 1e-9, 0.5, -1 / 2000, 0.1, 0.3])
+    want = [sum(np.log1p(max(k, -1 + 1e-6) * 0 + k * np.arange(v)).sum() for v in whole[s:end]) for s, k in zip(starts, c, strict=True)]
+    assert t.rising(starts, end, c, -1 + 1e-15) == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_a_fit_of_states_is_no_worse_than_a_fine_grid():
+    rng = np.random.default_rng(8)
+    truth = np.repeat([2, 3, 4, 2, 0, 3], 25)
+    mean = np.where(truth == 0, 0.4, 11.0 * truth)
+    y = rng.poisson(rng.gamma(1 / 0.03, mean * 0.03)).astype(float)
+    borders = np.zeros(len(y) - 1, bool)
+    rpc, rpc0, a, a0, top = states.fit(y, borders, 7, 10.0)
+    log_a = states.steps(len(y), 7, 0.01, borders)
+
+    def value(r, r0, x, x0):
+        return states.log_likelihood(states.emissions(y, 7, r, r0, x, x0), log_a) - 0.5 * ((r - 10.0) / 1.5) ** 2 - r0 - math.sqrt(x) - math.sqrt(x0)
+
+    assert top == pytest.approx(value(rpc, rpc0, a, a0))
+    grid = max(value(r, r0, x, x0) for r in np.linspace(7.5, 12.5, 41) for r0 in (1e-3, 0.1, 0.3, 0.5, 1.0) for x in (1e-4, 0.01, 0.02, 0.03, 0.05, 0.1) for x0 in (1e-4, 0.02, 0.2))
+    assert top >= grid - 1e-4 * abs(grid)
+    many = states.log_likelihoods(np.stack([states.emissions(y, 7, r, 0.3, 0.02, 0.02) for r in (9.0, 11.0)]), log_a)
+    assert many == pytest.approx([states.log_likelihood(states.emissions(y, 7, r, 0.3, 0.02, 0.02), log_a) for r in (9.0, 11.0)])
+
+
+def test_trends_and_their_partial_forms(spark):
+    x = np.arange(30.0)
+    assert fits.partial_mann_kendall(x, np.r_[x[15:], x[:15]]) > 5 and abs(fits.partial_mann_kendall(x, x)) < 1e-9
+    z = np.random.default_rng(1).random(30)
+    assert fits.partial_rank_correlation(x, z) == pytest.approx(1.0) and math.isnan(fits.partial_rank_correlation(x, x * 0))
+    assert fits._scores(np.array([1.0, 3, 2]))[0] == 1
+    assert fits.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05) and fits.chi_square_tail(30, 20) == pytest.approx(0.069853660699) and fits.chi_square_tail(0, 3) == 1
+    rows = [("a", 1, float(i), 10 + i, 1 + (i % 3) / 10) for i in range(12)] + [("a", 2, float(i), 0, 1.0) for i in range(12)] + [("b", 1, None, 3, 1.0), ("a", 3, 1.0, 5, 1.0)]
+    df = spark.createDataFrame(rows, "cell string, seg int, time double, reads int, factor double")
+    got = {r.cell: r for r in fits.trend_summary(df, "cell", ["seg"], "time", "reads", 4, "factor").collect()}
+    assert len(got["a"].asDict()) == 3 + 26 and got["a"].n_segments == 1 and got["a"].n_points == 12
+    assert got["a"].tau_mean == 1 and got["a"].p_mean < 0.001 and got["a"].tau_partial_wmean > 3 and got["a"].rho_partial_wmedian == pytest.approx(1.0)
+    assert got["b"].n_segments == 0 and got["b"].tau_mean is None
+    assert len(fits.trend_summary(df, "cell", ["seg"], "time", "reads", 4).columns) == 3 + 12
+
+
+def test_bias_model_tells_a_real_effect_from_none(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for cell, strength in (("flat", 0.0), ("bent", 1.5)):
+        for i in range(300):
+            g = rng.random()
+            rows.append((cell, i, int(rng.poisson(40 * np.exp(strength * (g - 0.5)))), 2.0, float(g)))
+    rows += [("none", i, 0, 2.0, 0.5) for i in range(40)] + [("few", 1, 4, 2.0, 0.5), ("few", 2, None, 2.0, None)]
+    df = spark.createDataFrame(rows, "cell string, pos int, reads int, level double, gc double")
+    got = {r.cell: r for r in fits.bias_model(df, "cell", ["pos"], "reads", "level", ["gc"]).collect()}
+    assert got["bent"].p_value < 1e-6 < got["flat"].p_value and got["bent"].dev_expl > 0.5 > got["flat"].dev_expl
+    assert got["none"].alpha is None and got["few"].n == 1 and got["few"].deviance is None

@@ -52,7 +52,7 @@ def vectors(cells: DataFrame, n: int, planes: int | None = None) -> DataFrame:
     """
     x = cells.where("name is not null and pos is not null")
     if planes is None:
-        ranks = x.where("state is not null").select("state").distinct()
+        ranks = stage(x.where("state is not null").select("state").distinct())
         planes = max((max(ranks.count(), 1) - 1).bit_length(), 1)
         ranks = ranks.select("state", (F.row_number().over(Window.orderBy("state")) - 1).cast("long").alias("s"))  # the distinct states only
     else:

@@ -137,6 +137,17 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return x.join(F.broadcast(table(spark, d, "split_targets").select(F.col("split_name").alias("split"), "share")), "split", "right")
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the splits hold what they promise: cells, cells and groups that lie in more than one split, UIDs that do, and whether each split is within the largest group of its target."""
+    x = stage(p5_splits(spark, d))
+    more = lambda k: x.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias(f"split_{k}"))
+    t = table(spark, d, "split_targets").where("share > 0").select(F.col("split_name").alias("split"), "share")
+    size = x.groupBy("group_name").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("n_cells"))
+    off = x.groupBy("split").agg(F.count("*").alias("n")).join(t, "split", "right").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(t.agg(F.sum("share").alias("all"))))  # one row each
+    near = off.agg(F.bool_and(F.abs(F.coalesce("n", F.lit(0)) - F.col("share") / F.col("all") * F.col("n_cells")) <= F.col("largest")).alias("near_targets"), F.max("n_cells").alias("n_cells"))
+    return near.crossJoin(F.broadcast(more("cell"))).crossJoin(F.broadcast(more("group_name"))).crossJoin(F.broadcast(more("uid"))).select("n_cells", "split_cell", "split_group_name", "split_uid", "near_targets")
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each speech, counted once."""
     return stage(spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", n_tokens(F.col("text")).alias("tokens")))
@@ -155,6 +166,20 @@ def p6_usage(spark: SparkSession, d: str) -> DataFrame:
     return y.withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing holds what it promises, for each capacity: speeches, tokens that were lost or doubled, containers over the capacity, containers with more than two large pieces, speeches divided without need, and whether at most
+    one container in twenty is more than could be needed at least (and one besides)."""
+    sized = _sized(spark, d)
+    x = stage(packing.pack(sized.select(F.col("doc_id").alias("item"), "tokens"), table(spark, d, "pack_sizes")))
+    by = ["pack_name", "capacity"]
+    each = x.groupBy(*by, "item").agg(F.sum("tokens").alias("t"), F.count("*").alias("k")).join(sized.select(F.col("doc_id").alias("item"), "tokens"), "item")
+    speeches = each.groupBy(*by).agg(F.count("*").alias("n_speeches"), F.sum(F.abs(F.col("t") - F.col("tokens"))).alias("tokens_off"), F.count_if((F.col("tokens") <= F.col("capacity")) & (F.col("k") > 1)).alias("divided"))
+    full = x.groupBy(*by, "container").agg(F.sum("tokens").alias("t"), F.count_if(F.col("tokens") * 3 > F.col("capacity")).alias("large"))
+    need = full.groupBy(*by).agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), F.count_if(F.col("large") > 2).alias("over_two_large"), F.count("*").alias("n"), F.sum("t").alias("t"))
+    tight = F.col("n") <= F.ceil(F.col("t") / F.col("capacity")) * 1.05 + 1
+    return speeches.join(need, by).select("pack_name", "n_speeches", "tokens_off", "overfull", "over_two_large", "divided", tight.alias("tight"))
+
+
 def _mixable(spark: SparkSession, d: str) -> DataFrame:
     return _sized(spark, d).select(F.col("doc_id").alias("item"), "source", "tokens")
 
@@ -171,6 +196,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(r, t), r, t)
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mix holds what it promises, for each target source: used more often than allowed, copies that occur twice, and whether it reaches its share to within its largest record or is used up."""
+    r, t = _mixable(spark, d), table(spark, d, "mix_targets")
+    x = stage(mixing.mix(r, t))
+    total = r.agg(F.sum("tokens").alias("all"))  # one row
+    there = r.groupBy("source").agg(F.sum("tokens").alias("there"), F.max("tokens").alias("largest"))
+    got = x.groupBy("source").agg(F.sum("tokens").alias("used"), F.max("copy_no").alias("most"), F.count("*").alias("n"), F.count_distinct("item", "copy_no").alias("k"))
+    j = t.join(there, "source", "left").join(got, "source", "left").fillna(0, ["there", "largest", "used", "most", "n", "k"]).crossJoin(F.broadcast(total))
+    asked = F.col("target_share") * F.col("all")
+    return j.select("source", (F.col("most") > F.col("max_repeats")).alias("over_repeats"), (F.col("n") - F.col("k")).alias("twice"), ((F.abs(F.col("used") - asked) <= F.col("largest")) | ((F.col("used") == F.col("there") * F.col("max_repeats")) & (F.col("used") <= asked))).alias("as_asked"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Speeches that hold template residue, filler, error-page text or script notices."""
     return residue.residue(table(spark, d, "documents"), "doc_id", "text", "sitting").select("doc_id")
@@ -188,7 +225,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(table(spark, d, "documents"), "doc_id", "text", "sitting")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_recall, p4_percentiles, p4_daily, p4_bounds, p5_found, p5_groups, p5_splits, p5_shares, p6_packs, p6_usage, p7_mix, p7_shares, p8_found, p8_residue, p8_validation)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_recall, p4_percentiles, p4_daily, p4_bounds, p5_found, p5_groups, p5_splits, p5_shares, p5_check, p6_packs, p6_usage, p6_check, p7_mix, p7_shares, p7_check, p8_found, p8_residue, p8_validation)}
 
 _CELLS = r"""
 with recursive rw as (select name, uid, regexp_replace(name, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') n, slx from pdata),
@@ -232,5 +269,8 @@ with x as (select coalesce(nullif(upper(trim(uid)), ''), upper(split_part(trim(n
  g as (select uid, s.m metric, count(*) n from x where s.v is not null and isfinite(s.v) group by 1, 2)
 select uid, metric, q, n, 28 * (n // 112) as rank_error, true as within from g, (select unnest([0.05::double, 0.25, 0.5, 0.75, 0.95, 0.99]) q)""",
     "p5_found": _LINKED + "select x as uid_a, y as uid_b from r where x < y",
+    "p5_check": r"select count(distinct nullif(lower(regexp_replace(name, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '')) as n_cells, 0 as split_cell, 0 as split_group_name, 0 as split_uid, true as near_targets from pdata",
+    "p6_check": "select pack_name, (select count(*) from documents) as n_speeches, 0 as tokens_off, 0 as overfull, 0 as over_two_large, 0 as divided, true as tight from pack_sizes where capacity_tokens > 0",
+    "p7_check": "select source, false as over_repeats, 0 as twice, true as as_asked from mix_targets",
     "p5_groups": _LINKED + "select x as uid, min(y) as group_uid, count(*) as n_uids from r group by 1",
 }

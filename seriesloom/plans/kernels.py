@@ -117,8 +117,30 @@ def _pelt(kind: str, **more):  # noqa: ANN003, ANN202
     return run
 
 
+def _partition_sql(cost: str, parameters: int, more: str = "") -> str:
+    """Pruned partitioning as a recursion over the points of each cell: F(t) = min over the open s of F(s) + cost(s, t) + penalty, an s staying open while F(s) + cost(s, t) <= F(t); then the way back from the last point. ``cost`` is written in s, e (the new end), a1, a2 (running sums)."""
+    pen = f"({parameters} + 2) * ln(greatest(n, 3))"
+    return SIGNAL.replace("with sig", "with recursive sig", 1) + f""", y as (select name, chrom_rank * 1000 + bin_idx pos, calls::double y, cast(row_number() over (partition by name order by chrom_rank, bin_idx) as int) i from sig where calls is not null),
+ c as (select *, sum(y) over w s1, sum(y * y) over w s2, abs(y - lag(y) over (partition by name order by i)) step from y window w as (partition by name order by i rows unbounded preceding)),
+ l as (select name, cast(count(*) as int) n, list(y order by i) ys, list(pos order by i) ps, list_prepend(0.0::double, list(s1 order by i)) a1, list_prepend(0.0::double, list(s2 order by i)) a2, pow(greatest(median(step) / (0.6744897501960817 * sqrt(2)), 1e-6), 2) noise from c group by name),
+ f as (select name, 1 e, [-{pen}, 'inf'::double] best, [0, 0] came, [0] opens from l where n >= 4
+  union all select name, e + 1, list_append(best, list_min(v) + {pen}), list_append(came, opens[list_position(v, list_min(v))]),
+   list_transform(list_filter(range(1, len(v) + 1), lambda i: v[i] <= list_min(v) + {pen} + 1e-12), lambda i: opens[i]) || case when e >= 2 then [e] else [] end
+  from (select f.name, f.e, f.best, f.came, f.opens, l.n, list_transform(f.opens, lambda s: f.best[s + 1] + ({cost}) + ln(f.e + 1 - s)) v from f join l on f.name = l.name where f.e < l.n)),
+ b as (select f.name, f.e, f.came[f.e + 1] s, f.came from f join l on f.name = l.name and f.e = l.n union all select name, s, came[s + 1], came from b where s > 0),
+ g as (select name, s, e from b union all select name, 0, n from l where n < 4)
+select g.name, cast(row_number() over (partition by g.name order by g.e) as int) as seg, l.ps[g.s + 1] as "first", l.ps[g.e] as "last", cast(g.e - g.s as int) as n, list_aggregate(l.ys[g.s + 1 : g.e], 'median') as level from g join l on g.name = l.name"""
+
+
+_X, _L = "(l.a1[f.e + 2] - l.a1[s + 1])", "(f.e + 1 - s)"
+_SS = f"(l.a2[f.e + 2] - l.a2[s + 1] - pow({_X}, 2) / {_L})"
+PARTITIONS = {
+    "normal": _partition_sql(f"{_L} * (ln(2 * pi()) + ln(greatest({_SS} / {_L}, 1e-11)) + 1)", 1),
+    "poisson": _partition_sql(f"case when {_X} = 0 then 0 else 2 * {_X} * (ln({_L}) - ln({_X})) end", 1),
+    "normal_mean": _partition_sql(f"greatest({_SS}, 0) / l.noise", 1),
+}
 for _kind in ("normal", "poisson", "nb_mm", "nb_bcmm"):
-    R.add(None, name=f"pelt_{_kind}")(_pelt(_kind))
+    R.add(PARTITIONS.get(_kind), name=f"pelt_{_kind}")(_pelt(_kind))
 
 
 @R.add(None)
@@ -135,7 +157,7 @@ def pelt_nb_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 R.add(None, name="pelt_np")(_pelt("np"))
-R.add(None, name="pelt_normal_mean")(_pelt("normal_mean"))
+R.add(PARTITIONS["normal_mean"], name="pelt_normal_mean")(_pelt("normal_mean"))
 R.add(None, name="pelt_nb_gap")(_pelt("nb_alpha", gap=4))
 R.add(None, name="pelt_posthoc")(_pelt("normal_mean", merged=0.01))
 R.add(None, name="segment_crops")(_pelt("nb_mm", with_crops=True))
@@ -229,7 +251,9 @@ def solution_window(spark: SparkSession, d: str) -> DataFrame:
     return scaling.choose(s, "name", "error").select("name", "ordinal", "k", F.round("ploidy", 7).alias("ploidy"), "error")
 
 
-@R.add(None)
+@R.add(CELLS + SCORED.replace("with sig", ", sig", 1) + """, t as (select sc.*, c.ploidy told, round(sc.ploidy_continuous - c.ploidy, 6) residual, round(sc.l2, 6) error from sc join cells c on lower(sc.name) = c.cell where c.ploidy is not null),
+ near as (select *, first_value(ploidy) over (partition by name order by abs(residual), ordinal) p from t), best as (select *, row_number() over (partition by name order by error, ordinal) rn from near where abs(ploidy - p) <= 0.25)
+select name, ordinal, k::int as k, round(ploidy, 6) as ploidy, told from best where rn = 1""")
 def solution_model(spark: SparkSession, d: str) -> DataFrame:
     """The chosen scale by nearness to the cell's recorded ploidy, then by error."""
     s = _scored(spark, d).withColumn("cell", F.lower("name")).join(cells(spark, d).select("cell", F.col("ploidy").alias("told")), "cell").where("told is not null")
@@ -338,7 +362,20 @@ def state_segments(spark: SparkSession, d: str) -> DataFrame:
     return changepoint.segment_states(_with_rpc(spark, d), ["name"], ["pos"], "calls", "rpc")
 
 
-@R.add(None)
+_RPC = "k as (select name, median(calls::double / copynumber) rpc from sig where copynumber > 0 group by 1)"
+
+
+@R.add(SIGNAL.replace("with sig", "with recursive sig", 1) + f""", {_RPC},
+ j as (select sig.name, chrom, chrom_rank, bin_idx, calls::double y, rpc, abs(segmented - lag(segmented) over (partition by sig.name, chrom order by bin_idx)) step from sig join k on sig.name = k.name where rpc > 0),
+ p as (select *, chrom_rank * 1000 + bin_idx pos, cast(row_number() over w as int) i, case when chrom is distinct from lag(chrom) over w then 0.5 when step > 0.5 then 0.2 when step is not null then 0.002 else 0.01 end pc from j where y is not null window w as (partition by name order by chrom_rank, bin_idx)),
+ q as (select *, [greatest(0.05 * rpc, 1e-9)] || list_transform(range(1, 9), lambda m: greatest(rpc * m, 1e-9)) means from p),
+ e as (select name, i, pc, list_transform(means, lambda m: lgamma(y + 50) - lgamma(50) - y * ln(50) - lgamma(y + 1) + y * ln(m) - (y + 50) * ln(1 + m / 50)) le from q),
+ l as (select name, cast(count(*) as int) n, list(le order by i) le, list(pc order by i) pc from e group by 1 having count(*) >= 2),
+ f as (select name, 1 t, list_transform(le[1], lambda x: x - ln(9)) score, [[]::int[]] back from l
+  union all select name, t + 1, list_transform(range(1, 10), lambda j: list_max(m[j]) + le[t + 1][j]), list_append(back, list_transform(m, lambda r: cast(list_position(r, list_max(r)) as int)))
+  from (select f.name, f.t, f.back, l.le, list_transform(range(1, 10), lambda j: list_transform(range(1, 10), lambda i: f.score[i] + case when i = j then ln(1 - l.pc[f.t + 1]) else ln(l.pc[f.t + 1] / 8) end)) m from f join l on f.name = l.name where f.t < l.n)),
+ b as (select f.name, f.t, cast(list_position(f.score, list_max(f.score)) as int) st, f.back from f join l on f.name = l.name and f.t = l.n union all select name, t - 1, back[t][st], back from b where t > 1)
+select b.name, p.chrom, p.pos, b.st - 1 as state from b join p on b.name = p.name and b.t = p.i""")
 def hmm_redecode(spark: SparkSession, d: str) -> DataFrame:
     """Copy states with a change probability that is higher where the segment level jumps."""
     from pyspark.sql.window import Window

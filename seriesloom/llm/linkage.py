@@ -43,22 +43,28 @@ def n_planes(columns: list[str]) -> int:
     return len({c.rsplit("_", 1)[0] for c in columns if c.rsplit("_", 1)[0].rsplit("_", 1)[-1].startswith("p") and c.endswith("_0")})
 
 
-def vectors(cells: DataFrame, n: int, planes: int | None = None) -> DataFrame:
+#: Width of the range of states up to which they are held as their distance from the smallest, beyond it as their rank among those that occur.
+WIDE = 1 << 16
+
+
+def vectors(cells: DataFrame, n: int, planes: int | None = None, ends: tuple[int, int] | None = None) -> DataFrame:
     """One row per record: name, known (number of known positions) and its bit planes.
 
     cells: (name, pos, state, at), pos from 0 to n - 1. Of several rows for a place the one with the latest ``at`` counts (null is earliest; of equally late
-    ones that with the largest state); a null state is unknown. Rows without name or pos are ignored. States may be any whole numbers: they are held as
-    their rank among the states that occur, in as many planes as these need. With ``planes`` they are such ranks already.
+    ones that with the largest state); a null state is unknown. Rows without name or pos are ignored. States may be any whole numbers: they are held as their distance from the
+    smallest (``ends`` gives bounds of all states where they are known already), or where these lie far apart as ranks, in as many planes as that needs. With ``planes`` they are such numbers already.
     """
     x = cells.where("name is not null and pos is not null")
+    ranks, low = None, 0
     if planes is None:
-        ranks = stage(x.where("state is not null").select("state").distinct())
-        planes = max((max(ranks.count(), 1) - 1).bit_length(), 1)
-        ranks = ranks.select("state", (F.row_number().over(Window.orderBy("state")) - 1).cast("long").alias("s"))  # the distinct states only
-    else:
-        ranks = None
+        low, high = ends or x.agg(F.coalesce(F.min("state"), F.lit(0)), F.coalesce(F.max("state"), F.lit(0))).first()  # one row
+        planes = max((high - low).bit_length(), 1)
+        if high - low >= WIDE:
+            ranks = stage(x.where("state is not null").select("state").distinct())
+            planes = max((max(ranks.count(), 1) - 1).bit_length(), 1)
+            ranks = ranks.select("state", (F.row_number().over(Window.orderBy("state")) - 1).cast("long").alias("s"))  # the distinct states only
     x = x.groupBy("name", "pos").agg(F.max(F.struct("at", "state")).alias("l")).select("name", "pos", "l.state").where("state is not null")
-    x = x.withColumn("s", F.col("state").cast("long")) if ranks is None else x.join(ranks, "state")
+    x = x.withColumn("s", F.col("state").cast("long") - F.lit(low)) if ranks is None else x.join(ranks, "state")
     x = x.select("name", F.floor(F.col("pos") / 64).alias("w"), F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("bit"), "s")
     out = []
     for w in range(_words(n)):
@@ -364,9 +370,9 @@ def average_linkage(edges: DataFrame, homes: DataFrame, threshold: float, home_e
         old, labels, e = [nxt, homes], labels_new, nxt.select("a", "b", "total", "n")
 
 
-def _kinds(cells: DataFrame, n: int, least_known: int) -> tuple[DataFrame, DataFrame]:
+def _kinds(cells: DataFrame, n: int, least_known: int, ends: tuple[int, int] | None) -> tuple[DataFrame, DataFrame]:
     """Records with their vectors, and one row (id, weight, vector) for each kind of equal records; both staged."""
-    v = vectors(cells, n).where(F.col("known") >= least_known)
+    v = vectors(cells, n, ends=ends).where(F.col("known") >= least_known)
     cols = plane_columns(n, n_planes(v.columns))
     v = stage(v.withColumn("h1", F.xxhash64(*cols)).withColumn("h2", F.xxhash64(F.lit(7), *reversed(cols))))
     kinds = v.groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.first("known").alias("known"), *[F.first(c).alias(c) for c in cols])
@@ -380,14 +386,14 @@ def _named(v: DataFrame, kinds: DataFrame, merged: DataFrame) -> DataFrame:
     return member.join(named, "cluster").select("name", "cluster", "cluster_name", "size")
 
 
-def clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS, ends: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(name, cluster, cluster_name, size) of every record in a cluster of two or more, and its vectors (name, bit planes).
 
     Two records are alike if at least ``least_known`` places are known in both and at most ``most_share`` of these differ. The graph holds alike
     pairs only and pairs without an edge don't count, so linkage ends when no alike pair joins two clusters: alike directly or through others is one cluster. See
     :func:`close_clusters` for clusters whose members are alike on average. Equal records are one node. Records with fewer than ``least_known`` known places are like none.
     """
-    v, kinds = _kinds(cells, n, least_known)
+    v, kinds = _kinds(cells, n, least_known, ends)
     edges, stars = similarity_graph(kinds, n, least_known, most_share, blocks)
     homes = stars.groupBy("id").agg(F.min("leader").alias("home"))
     homes = homes.join(homes.select(F.col("id").alias("home"), F.col("home").alias("higher")), "home", "left").select("id", F.coalesce("higher", "home").alias("home"))
@@ -472,14 +478,14 @@ def merged_profiles(prof: DataFrame, step: DataFrame) -> DataFrame:
     return rest.select("id", "places", "counts").unionByName(grown.select("id", "places", "counts", "b_places", "b_counts").mapInArrow(run, PROFILE))
 
 
-def close_clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def close_clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS, ends: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Clusters of records that are alike on average; returns what :func:`clusters` does.
 
     Average linkage in rounds over the sparse graph of alike records: all mutual best pairs of clusters are merged, then the averages of those that changed are taken anew, over all
     pairs of their records (unlike ones and ones without an edge too), from the clusters' profiles of states. Where no pair reaches the threshold any more, clusters that have a neighbour in common
     are compared, each with the first and the next one beside it; linkage ends when none of these reaches it either. A cluster is a row with one count per place and state, whatever its size.
     """
-    v, kinds = _kinds(cells, n, least_known)
+    v, kinds = _kinds(cells, n, least_known, ends)
     top = (1 << n_planes(v.columns)) - 1
     threshold = 1 - most_share
     edges, stars = similarity_graph(kinds, n, least_known, most_share, blocks)

@@ -14,14 +14,18 @@ QS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 KEYS = ["uid", "metric"]
 
 
-def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, int, tuple[int, int]]:
+    """States of the cells by position, the number of positions, and bounds of the states."""
     bins = table(spark, d, "bins")
     n = bins.count()  # fixed catalogue of bins
     at = bins.select("chrom", "bin_idx", (F.row_number().over(Window.orderBy("chrom_rank", "bin_idx")) - 1).alias("pos"))
     seg = finite(F.col("segmented"))
     whole = F.when(F.abs(seg) > 2.0**53, F.signum(seg) * 2.0**53).otherwise(F.bround(seg, 0)).cast("long")  # beyond 2^53 doubles don't tell whole numbers apart
-    rows = table(spark, d, "assaydata").select("name", "chrom", "bin_idx", F.coalesce(F.col("copynumber").cast("long"), whole).alias("state"), F.col("loaded_at").alias("at"))
-    return rows.join(F.broadcast(at), ["chrom", "bin_idx"]).select("name", "pos", "state", "at"), n
+    state = F.coalesce(F.col("copynumber").cast("long"), whole)
+    raw = table(spark, d, "assaydata")
+    low, high = raw.agg(F.coalesce(F.min(state), F.lit(0)), F.coalesce(F.max(state), F.lit(0))).first()  # one row, from two columns
+    rows = raw.select("name", "chrom", "bin_idx", state.alias("state"), F.col("loaded_at").alias("at"))
+    return rows.join(F.broadcast(at), ["chrom", "bin_idx"]).select("name", "pos", "state", "at"), n, (low, high)
 
 
 #: Fixed values of TESTDATA.md: bins known in both, and the largest share of them that may differ.
@@ -30,21 +34,21 @@ LEAST_KNOWN, MOST_SHARE = 60, 0.125
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Cells in clusters of two or more, with the smallest name of the cluster."""
-    cells, n = _profiles(spark, d)
-    return linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE)[0].select("name", "cluster_name")
+    cells, n, ends = _profiles(spark, d)
+    return linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE, ends=ends)[0].select("name", "cluster_name")
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Size and most typical cells of each cluster of cells that are alike on average."""
-    cells, n = _profiles(spark, d)
-    members, planes = linkage.close_clusters(cells, n, LEAST_KNOWN, MOST_SHARE)
+    cells, n, ends = _profiles(spark, d)
+    members, planes = linkage.close_clusters(cells, n, LEAST_KNOWN, MOST_SHARE, ends=ends)
     return linkage.describe(members, planes, n)
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     """Alike pairs of the cells whose first row_id in pdata is divisible by 100 with all cells, by comparing them all, and how many lie in one cluster."""
-    cells, n = _profiles(spark, d)
-    members, planes = linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE)
+    cells, n, ends = _profiles(spark, d)
+    members, planes = linkage.clusters(cells, n, LEAST_KNOWN, MOST_SHARE, ends=ends)
     v = stage(planes.join(members.select("name", "cluster"), "name", "left"))
     cell = F.lower(F.trim("name"))
     asked = table(spark, d, "pdata").groupBy(cell.alias("cell")).agg(F.min("row_id").alias("r")).where("r % 100 = 0").select("cell")

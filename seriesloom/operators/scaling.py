@@ -94,20 +94,25 @@ def candidate_scales(levels: DataFrame, series: str, mean: str, weight: str, lea
     return k.select(series, ((F.col("j") - 1) * most + F.col("k")).cast("int").alias("ordinal"), "gap", "product", "k", (F.col("k") / F.col("gap")).alias("scale"))
 
 
-def score_candidates(points: DataFrame, candidates: DataFrame, series: str, level: str, value: str, low: float, high: float) -> DataFrame:
-    """Errors of each candidate whose mean rounded level lies in [low, high]: rounding errors of the levels (seg) and distances of the values (all) from the whole numbers.
+def score_candidates(points: DataFrame, candidates: DataFrame, series: str, level: str, value: str, low: float, high: float, all_errors: bool = False) -> DataFrame:
+    """Errors of each candidate whose mean rounded level lies in [low, high]: rounding errors of the levels (seg) and, with ``all_errors``, distances of the values (all) from the whole numbers.
 
-    points has one row per position with its segment level and raw value; the work is one equi-join on the series and one aggregation.
+    points has one row per position with its segment level and raw value. Levels are counted before they meet the candidates, so that join has a row per level; only the distances of the values need the positions.
     """
-    j = points.where(F.col(level).isNotNull() & F.col(value).isNotNull()).join(candidates, series)
-    y = F.col(level) * F.col("scale")
-    j = j.withColumn("_y", y).withColumn("_r", F.bround(y, 0)).withColumn("_d", F.abs(F.col("_y") - F.col("_r"))).withColumn("_e", F.abs(F.col(value) * F.col("scale") - F.col("_r")))
+    known = points.where(F.col(level).isNotNull() & F.col(value).isNotNull())
+    levels = known.groupBy(series, level).agg(F.count("*").alias("_c"), F.sum(value).alias("_v"))
+    j = levels.join(candidates, series).withColumn("_y", F.col(level) * F.col("scale")).withColumn("_r", F.bround("_y", 0)).withColumn("_d", F.abs(F.col("_y") - F.col("_r")))
+    c, n = F.col("_c"), F.sum("_c")
+    total, squares = F.sum(c * F.col("_d")), F.sum(c * F.col("_d") * F.col("_d"))
     s = j.groupBy(series, "ordinal", "gap", "product", "k", "scale").agg(
-        F.avg("_r").alias("ploidy"), F.avg("_y").alias("ploidy_continuous"), F.count("*").alias("n_bins"), (F.sum(value) / F.nullif(F.sum("_r"), F.lit(0.0))).alias("rpc"),
-        F.sum("_d").alias("error_seg_l1"), F.sqrt(F.sum(F.col("_d") * F.col("_d"))).alias("error_seg_l2"), F.stddev_samp("_d").alias("error_seg_sd"), F.median("_d").alias("error_seg_median"),
-        F.sum("_e").alias("error_all_l1"), F.sqrt(F.sum(F.col("_e") * F.col("_e"))).alias("error_all_l2"), F.stddev_samp("_e").alias("error_all_sd"), F.median("_e").alias("error_all_median"),
-    )
-    return s.where(F.col("ploidy").between(low, high))
+        (F.sum(c * F.col("_r")) / n).alias("ploidy"), (F.sum(c * F.col("_y")) / n).alias("ploidy_continuous"), n.alias("n_bins"), (F.sum("_v") / F.nullif(F.sum(c * F.col("_r")), F.lit(0.0))).alias("rpc"),
+        total.alias("error_seg_l1"), F.sqrt(squares).alias("error_seg_l2"), F.sqrt(F.greatest(squares - total * total / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))).alias("error_seg_sd"), F.percentile("_d", F.lit(0.5), c).alias("error_seg_median"),
+    ).where(F.col("ploidy").between(low, high))
+    if not all_errors:
+        return s
+    e = known.join(s.select(series, "ordinal", "scale"), series).withColumn("_e", F.abs(F.col(value) * F.col("scale") - F.bround(F.col(level) * F.col("scale"), 0)))
+    a = e.groupBy(series, "ordinal").agg(F.sum("_e").alias("error_all_l1"), F.sqrt(F.sum(F.col("_e") * F.col("_e"))).alias("error_all_l2"), F.stddev_samp("_e").alias("error_all_sd"), F.median("_e").alias("error_all_median"))
+    return s.join(a, [series, "ordinal"])
 
 
 def choose(candidates: DataFrame, series: str, error: str, residual: str | None = None, tolerance: float = 0.25) -> DataFrame:

@@ -14,6 +14,7 @@ from seriesloom.util import r6, spread_by, stage
 
 R = Registry()
 SEG = [*PART, "seg_id"]
+_RPC = "k as (select name, median(calls::double / copynumber) rpc from sig where copynumber > 0 group by 1)"
 SUMS = FILLED + ", s as (select name, chrom, seg_id, count(*)::double l, sum(calls)::double x, sum(calls::double * calls) x2, max(calls)::double y_max from seg where calls is not null group by 1, 2, 3)"
 
 
@@ -228,18 +229,16 @@ SCORED = LEVELS + """, pts as (select name, calls, median(calls) over (partition
 """
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    s = signal(spark, d).where("calls is not null and copynumber is not null")
-    p = s.select("name", F.col("calls").cast("double").alias("calls"), F.median("calls").over(Window.partitionBy("name", "chrom", "copynumber")).alias("lev"))
-    return scaling.score_candidates(p, scaling.candidate_scales(_levels(spark, d), "name", "mean", "weight"), "name", "lev", "calls", 1.1, 8)
+def _scored(spark: SparkSession, d: str, all_errors: bool = False) -> DataFrame:
+    s = signal(spark, d).where("calls is not null and copynumber is not null").select("name", "chrom", "copynumber", F.col("calls").cast("double").alias("calls"))
+    p = s.join(s.groupBy("name", "chrom", "copynumber").agg(F.median("calls").alias("lev")), ["name", "chrom", "copynumber"]).select("name", "lev", "calls")
+    return scaling.score_candidates(p, scaling.candidate_scales(_levels(spark, d), "name", "mean", "weight"), "name", "lev", "calls", 1.1, 8, all_errors)
 
 
 @R.add(SCORED + "select name, ordinal, k::int as k, floor(ploidy * 10000 + 0.500001::double) / 10000 as ploidy, floor(ploidy_continuous * 10000 + 0.500001::double) / 10000 as ploidy_continuous, n_bins, floor(rpc * 10000 + 0.500001::double) / 10000 as rpc, floor(l1 * 10000 + 0.500001::double) / 10000 as error_seg_l1, floor(l2 * 10000 + 0.500001::double) / 10000 as error_seg_l2, floor(med * 10000 + 0.500001::double) / 10000 as error_seg_median, floor(al1 * 10000 + 0.500001::double) / 10000 as error_all_l1, floor(amed * 10000 + 0.500001::double) / 10000 as error_all_median from sc")
 def solution_error(spark: SparkSession, d: str) -> DataFrame:
     """Errors of the candidate scales."""
-    s = _scored(spark, d)
+    s = _scored(spark, d, True)
     r = lambda c, _: (F.floor(F.col(c) * 10000 + 0.500001) / 10000).alias(c)
     return s.select("name", "ordinal", "k", r("ploidy", 7), r("ploidy_continuous", 7), "n_bins", r("rpc", 7), *[r(c, 7) for c in ("error_seg_l1", "error_seg_l2", "error_seg_median", "error_all_l1", "error_all_median")])
 
@@ -356,15 +355,23 @@ def _with_rpc(spark: SparkSession, d: str) -> DataFrame:
     return s.join(_reads_per_copy(s), "name")
 
 
-@R.add(None)
+_STATES_Y = f""", {_RPC},
+ e as (select sig.name, chrom_rank * 1000 + bin_idx pos, calls::double y, [greatest(0.05 * rpc, 1e-9)] || list_transform(range(1, 9), lambda m: greatest(rpc * m, 1e-9)) means from sig join k on sig.name = k.name where rpc > 0 and calls is not null),
+ o as (select *, list_transform(means, lambda m: lgamma(y + 50) - lgamma(50) - y * ln(50) - lgamma(y + 1) + y * ln(m) - (y + 50) * ln(1 + m / 50)) le, cast(row_number() over (partition by name order by pos) as int) i from e),
+ c as (select *, {", ".join(f"sum(le[{m}]) over w c{m}" for m in range(1, 10))} from o window w as (partition by name order by i rows unbounded preceding)),
+ l as (select name, cast(count(*) as int) n, list(pos order by i) ps, {", ".join(f"list_prepend(0.0::double, list(c{m} order by i)) c{m}" for m in range(1, 10))} from c group by name),
+"""
+_STATE_SUMS = ", ".join(f"l.c{m}[{{1}} + 1] - l.c{m}[{{0}} + 1]" for m in range(1, 10))
+
+
+@R.add(SIGNAL.replace("with sig", "with recursive sig", 1) + _STATES_Y + PARTITIONS["normal"][PARTITIONS["normal"].index(" f as (select name, 1 e") : PARTITIONS["normal"].index("select g.name, cast(row_number")].replace(f"({_L} * (ln(2 * pi()) + ln(greatest({_SS} / {_L}, 1e-11)) + 1))", "(-greatest(" + _STATE_SUMS.format("s", "(f.e + 1)") + "))")
+ + """select g.name, cast(row_number() over (partition by g.name order by g.e) as int) as seg, l.ps[g.s + 1] as "first", l.ps[g.e] as "last", cast(g.e - g.s as int) as n, """
+ + f"cast(list_position([{_STATE_SUMS.format('g.s', 'g.e')}], greatest({_STATE_SUMS.format('g.s', 'g.e')})) - 1 as int) as state from g join l on g.name = l.name")
 def state_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments of one copy state each."""
     return changepoint.segment_states(_with_rpc(spark, d), ["name"], ["pos"], "calls", "rpc")
 
 
-_RPC = "k as (select name, median(calls::double / copynumber) rpc from sig where copynumber > 0 group by 1)"
-
-
 @R.add(SIGNAL.replace("with sig", "with recursive sig", 1) + f""", {_RPC},
  j as (select sig.name, chrom, chrom_rank, bin_idx, calls::double y, rpc, abs(segmented - lag(segmented) over (partition by sig.name, chrom order by bin_idx)) step from sig join k on sig.name = k.name where rpc > 0),
  p as (select *, chrom_rank * 1000 + bin_idx pos, cast(row_number() over w as int) i, case when chrom is distinct from lag(chrom) over w then 0.5 when step > 0.5 then 0.2 when step is not null then 0.002 else 0.01 end pc from j where y is not null window w as (partition by name order by chrom_rank, bin_idx)),

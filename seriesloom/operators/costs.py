@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LN2PI = math.log(2 * math.pi)
 #: Floors of variance and logarithm, and the distance from the smallest possible dispersion.
@@ -72,18 +73,23 @@ def log_rising(c: Column, y: Column) -> Column:
     return F.when(F.abs(c) * y < 1e-4, small).when(c > 0, up).otherwise(down)
 
 
-def negative_binomial_cost(sums: DataFrame, values: DataFrame, by: list[str], value: str, c: Column, mean: Column | None = None, clamp: bool = True) -> DataFrame:
-    """Adds ``cost``: minus the log-likelihood of each segment at mean ``mean`` (its own by default) and dispersion ``c``; 0 for all-zero segments."""
+def negative_binomial_terms(values: DataFrame, by: list[str], value: str, c: Column) -> DataFrame:
+    """by.., l, x, x2, y_max, _c and _t of each segment: its sums, the dispersion ``c`` (an expression in the sums or in columns that are constant in a segment, kept as they are) and the part of the log-likelihood that
+    depends on the single values. Values are counted first; everything else follows on the same partitioning. Null values are left out."""
+    rest = [k for k in values.columns if k not in (*by, value)]
+    n = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_y")).agg(F.count("*").cast("double").alias("_n"), *[F.first(k).alias(k) for k in rest])
+    w, y = Window.partitionBy(*by), F.col("_y")
+    s = n.withColumns({"l": F.sum("_n").over(w), "x": F.sum(F.col("_n") * y).over(w), "x2": F.sum(F.col("_n") * y * y).over(w), "y_max": F.max("_y").over(w)}).withColumn("_c", c)
+    t = F.sum(F.when(y > 0, F.col("_n") * (log_rising(F.col("_c"), y) - log_gamma(y + 1))).otherwise(0.0)).alias("_t")
+    return s.groupBy(*by).agg(*[F.first(k).alias(k) for k in ("l", "x", "x2", "y_max", "_c", *rest)], t)
+
+
+def negative_binomial_cost(terms: DataFrame, mean: Column | None = None, clamp: bool = True) -> DataFrame:
+    """Adds ``cost`` to :func:`negative_binomial_terms`: minus the log-likelihood of each segment at mean ``mean`` (its own by default) and its dispersion; 0 for all-zero segments."""
     m = F.col("x") / F.col("l") if mean is None else mean
-    s = sums.withColumn("_m", m).withColumn("_c", c)
     floor = (lambda v: F.greatest(v, F.lit(LOG_FLOOR))) if clamp else (lambda v: v)
-    n = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("int").alias("_y")).agg(F.count("*").cast("double").alias("_n"))
-    j = n.join(s.select(*by, "_c"), by)
-    y = F.col("_y").cast("double")
-    rising, gamma = log_rising(F.col("_c"), y), log_gamma(y + 1)
-    t = j.groupBy(*by).agg(F.sum(F.when(F.col("_y") > 0, F.col("_n") * (rising - gamma)).otherwise(0.0)).alias("_t"))
-    ll = F.col("x") * F.log(F.greatest("_m", F.lit(1e-300))) - (F.col("x") + F.col("l") / F.col("_c")) * F.log1p(floor(F.col("_c") * F.col("_m"))) + F.col("_t")
-    return s.join(t, by).withColumn("cost", F.when(F.col("x") == 0, 0.0).otherwise(-ll)).drop("_m", "_c", "_t")
+    ll = F.col("x") * F.log(F.greatest(m, F.lit(1e-300))) - (F.col("x") + F.col("l") / F.col("_c")) * F.log1p(floor(F.col("_c") * m)) + F.col("_t")
+    return terms.withColumn("cost", F.when(F.col("x") == 0, 0.0).otherwise(-ll))
 
 
 def penalty(kind: str, n: float, parameters: int, manual: float | None = None) -> float:

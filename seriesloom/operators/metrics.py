@@ -18,8 +18,8 @@ def mapd(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFram
     w = Window.partitionBy(*by)
     x = df.where(F.col(value).isNotNull())
     x = x.withColumn("_d", (F.lag(value).over(w.orderBy(*order)) - F.col(value)) / F.nullif(F.avg(value).over(w), F.lit(0.0)))
-    mid = x.groupBy(*by).agg(F.median("_d").alias("_m"))
-    return x.join(mid, by).groupBy(*by).agg(F.median(F.abs(F.col("_d") - F.col("_m"))).alias("mapd"))
+    x = x.withColumn("_m", F.median("_d").over(w))  # a series, which its operators hold as one group throughout
+    return x.groupBy(*by).agg(F.median(F.abs(F.col("_d") - F.col("_m"))).alias("mapd"))
 
 
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -52,8 +52,8 @@ def observed_variance(df: DataFrame, by: list[str], order: list[str], value: str
     w = Window.partitionBy(*by)
     x = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value) / F.nullif(F.avg(value).over(w), F.lit(0.0)))
     x = x.withColumn("_d", F.col("_v") - F.lag("_v").over(w.orderBy(*order)))
-    q = x.groupBy(*by).agg(F.percentile("_d", F.lit(trim)).alias("_lo"), F.percentile("_d", F.lit(1 - trim)).alias("_hi"))
-    return x.join(q, by).where("_d between _lo - 1e-9 and _hi + 1e-9").groupBy(*by).agg((F.var_samp("_d") / 2).alias("obs_variance"))
+    x = x.withColumn("_lo", F.percentile("_d", F.lit(trim)).over(w)).withColumn("_hi", F.percentile("_d", F.lit(1 - trim)).over(w))
+    return x.where("_d between _lo - 1e-9 and _hi + 1e-9").groupBy(*by).agg((F.var_samp("_d") / 2).alias("obs_variance"))
 
 
 def entropy(df: DataFrame, by: list[str], columns: list[str], out: str) -> DataFrame:
@@ -100,10 +100,10 @@ def trimmed_means(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean of the lowest 95 % and 99 %, mean without 5 % at either end, and mean up to the 95th percentile."""
     w = Window.partitionBy(*by)
     x = _ranked(df, by, value).withColumn("_n", F.count("*").over(w))
-    q = x.groupBy(*by).agg(F.percentile(value, F.lit(0.95)).alias("_q"))
+    x = x.withColumn("_q", F.percentile(value, F.lit(0.95)).over(w))
     v, i, n = F.col(value), F.col("_i"), F.col("_n")
     cut = F.floor(0.05 * n)
-    return x.join(q, by).groupBy(*by).agg(
+    return x.groupBy(*by).agg(
         F.avg(F.when(i <= F.floor(0.95 * n), v)).alias("low95"), F.avg(F.when(i <= F.floor(0.99 * n), v)).alias("low99"),
         F.avg(F.when((i > cut) & (i <= n - cut), v)).alias("trim5"), F.avg(F.when(v <= F.col("_q"), v)).alias("upto95"),
     )

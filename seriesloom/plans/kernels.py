@@ -47,10 +47,9 @@ select c.name, c.chrom, c.seg_id, round(case when x = 0 then 0 else -(x * ln(m)
 MOMENT = "case when ssq <= m0 or (ssq - m0) / nullif({0}, 0) <= -1 / nullif(y_max, 0) then -1 / nullif(y_max, 0) + 1e-8 else (ssq - m0) / nullif({0}, 0) end"
 
 
-def _nb(spark: SparkSession, d: str, c, mean=None, clamp: bool = True) -> DataFrame:  # noqa: ANN001
-    v = _calls(spark, d)
-    s = costs.segment_sums(v, SEG, "calls")
-    return costs.negative_binomial_cost(s, v, SEG, "calls", c, mean, clamp).select(*SEG, F.round("cost", 2).alias("cost"))
+def _nb(spark: SparkSession, d: str, c, clamp: bool = True) -> DataFrame:  # noqa: ANN001
+    terms = costs.negative_binomial_terms(_calls(spark, d), SEG, "calls", c)
+    return costs.negative_binomial_cost(terms, None, clamp).select(*SEG, F.round("cost", 2).alias("cost"))
 
 
 @R.add(_nb_sql(MOMENT.format("m0 * m0"), clamp=False))
@@ -74,19 +73,19 @@ def nb_cost_alpha(spark: SparkSession, d: str) -> DataFrame:
 @R.add(_nb_sql("0.02::double", "case when abs(least(greatest(ceil(x / l / rpc - 0.5), 1), 50) * rpc - x / l) < abs(0.5 - x / l) then least(greatest(ceil(x / l / rpc - 0.5), 1), 50) * rpc else 0.5 end::double").replace("c as (select *,", "k as (select name, median(calls::double / copynumber) rpc from sig where copynumber > 0 group by 1),\n c as (select v.*,", 1).replace("c from v)", "c from (select v.*, coalesce(case when rpc > 0 then rpc end, 1.0::double) rpc from v left join k on v.name = k.name) v)", 1))
 def nb_cost_grid(spark: SparkSession, d: str) -> DataFrame:
     """The same with the mean on the grid of whole copies of the cell's own reads per copy (1 where the cell has none)."""
-    v = _calls(spark, d)
-    s = costs.segment_sums(v, SEG, "calls").join(_reads_per_copy(signal(spark, d)), "name", "left").withColumn("rpc", F.coalesce(F.when(F.col("rpc") > 0, F.col("rpc")), F.lit(1.0)))
-    return costs.negative_binomial_cost(s, v, SEG, "calls", F.lit(0.02), costs.snapped_mean(F.col("rpc"))).select(*SEG, F.round("cost", 2).alias("cost"))
+    terms = costs.negative_binomial_terms(_calls(spark, d), SEG, "calls", F.lit(0.02))
+    t = terms.join(_reads_per_copy(signal(spark, d)), "name", "left").withColumn("rpc", F.coalesce(F.when(F.col("rpc") > 0, F.col("rpc")), F.lit(1.0)))
+    return costs.negative_binomial_cost(t, costs.snapped_mean(F.col("rpc"))).select(*SEG, F.round("cost", 2).alias("cost"))
 
 
 @R.add(None)
 def nb_cost_series(spark: SparkSession, d: str) -> DataFrame:
     """Costs at each cell's own maximum-likelihood dispersion, 0.01 where it shows no extra variance: at the segment's mean, and at the nearest whole number of the cell's copies."""
-    v = _calls(spark, d)
-    a = fits.series_dispersion(v, "name", "calls")
-    s = costs.segment_sums(v, SEG, "calls").join(a, "name").join(_reads_per_copy(signal(spark, d)), "name", "left").withColumn("rpc", F.coalesce(F.when(F.col("rpc") > 0, F.col("rpc")), F.lit(1.0)))
-    own = costs.negative_binomial_cost(s, v, SEG, "calls", F.col("alpha")).withColumnRenamed("cost", "cost_own")
-    both = costs.negative_binomial_cost(own, v, SEG, "calls", F.col("alpha"), costs.snapped_mean(F.col("rpc")))
+    v = stage(_calls(spark, d))
+    terms = costs.negative_binomial_terms(v.join(fits.series_dispersion(v, "name", "calls"), "name"), SEG, "calls", F.col("alpha"))
+    t = terms.join(_reads_per_copy(signal(spark, d)), "name", "left").withColumn("rpc", F.coalesce(F.when(F.col("rpc") > 0, F.col("rpc")), F.lit(1.0)))
+    own = costs.negative_binomial_cost(t).withColumnRenamed("cost", "cost_own")
+    both = costs.negative_binomial_cost(own, costs.snapped_mean(F.col("rpc")))
     return both.select(*SEG, r6("alpha").alias("alpha"), F.round("cost_own", 2).alias("cost_alpha"), F.round("cost", 2).alias("cost_grid"))
 
 
@@ -210,9 +209,13 @@ LEVELS = SIGNAL + """, lv as (select name, copynumber, avg(calls) mean, count(*)
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return _level_means(signal(spark, d).where("calls is not null"))
+
+
+def _level_means(known: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
-    s = signal(spark, d).where("calls is not null and copynumber > 0").groupBy("name", "copynumber").agg(F.avg("calls").alias("mean"), F.count("*").alias("c"))
+    s = known.where("copynumber > 0").groupBy("name", "copynumber").agg(F.avg("calls").alias("mean"), F.count("*").alias("c"))
     return s.withColumn("weight", F.col("c") / F.sum("c").over(Window.partitionBy("name")))
 
 
@@ -230,9 +233,9 @@ SCORED = LEVELS + """, pts as (select name, calls, median(calls) over (partition
 
 
 def _scored(spark: SparkSession, d: str, all_errors: bool = False) -> DataFrame:
-    s = signal(spark, d).where("calls is not null and copynumber is not null").select("name", "chrom", "copynumber", F.col("calls").cast("double").alias("calls"))
+    s = stage(signal(spark, d).where("calls is not null and copynumber is not null").select("name", "chrom", "copynumber", F.col("calls").cast("double").alias("calls")))
     p = s.join(s.groupBy("name", "chrom", "copynumber").agg(F.median("calls").alias("lev")), ["name", "chrom", "copynumber"]).select("name", "lev", "calls")
-    return scaling.score_candidates(p, scaling.candidate_scales(_levels(spark, d), "name", "mean", "weight"), "name", "lev", "calls", 1.1, 8, all_errors)
+    return scaling.score_candidates(p, scaling.candidate_scales(_level_means(s), "name", "mean", "weight"), "name", "lev", "calls", 1.1, 8, all_errors)
 
 
 @R.add(SCORED + "select name, ordinal, k::int as k, floor(ploidy * 10000 + 0.500001::double) / 10000 as ploidy, floor(ploidy_continuous * 10000 + 0.500001::double) / 10000 as ploidy_continuous, n_bins, floor(rpc * 10000 + 0.500001::double) / 10000 as rpc, floor(l1 * 10000 + 0.500001::double) / 10000 as error_seg_l1, floor(l2 * 10000 + 0.500001::double) / 10000 as error_seg_l2, floor(med * 10000 + 0.500001::double) / 10000 as error_seg_median, floor(al1 * 10000 + 0.500001::double) / 10000 as error_all_l1, floor(amed * 10000 + 0.500001::double) / 10000 as error_all_median from sc")

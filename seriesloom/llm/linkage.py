@@ -395,9 +395,7 @@ def clusters(cells: DataFrame, n: int, least_known: int, most_share: float, bloc
     """
     v, kinds = _kinds(cells, n, least_known, ends)
     edges, stars = similarity_graph(kinds, n, least_known, most_share, blocks)
-    homes = stars.groupBy("id").agg(F.min("leader").alias("home"))
-    homes = homes.join(homes.select(F.col("id").alias("home"), F.col("home").alias("higher")), "home", "left").select("id", F.coalesce("higher", "home").alias("home"))
-    merged = average_linkage(edges, homes, 1 - most_share)
+    merged = average_linkage(edges, _homes(stars), 1 - most_share)
     for o in (edges, stars):
         drop_stage(o)
     return _named(v, kinds, merged), v.select("name", *plane_columns(n, n_planes(v.columns)))
@@ -478,60 +476,172 @@ def merged_profiles(prof: DataFrame, step: DataFrame) -> DataFrame:
     return rest.select("id", "places", "counts").unionByName(grown.select("id", "places", "counts", "b_places", "b_counts").mapInArrow(run, PROFILE))
 
 
-def close_clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS, ends: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+#: Edges of a component that one task takes at most; larger ones are worked on in rounds over all tasks until they are as small.
+TASK_EDGES = 5_000
+
+
+class _Task:
+    """Average linkage of one component: dense profiles of its clusters and the pairs compared so far."""
+
+    def __init__(self, profile: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> None:
+        self.profile, self.known, self.threshold = profile, known, threshold
+        self.label = np.arange(len(profile))
+        self.a, self.b = np.minimum(a, b), np.maximum(a, b)
+        self.sim = self.similarity(self.a, self.b)
+
+    def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.profile[a], self.profile[b]) / np.maximum(np.einsum("ij,ij->i", self.known[a], self.known[b]), 1)
+
+    def merge_round(self) -> bool:
+        """Merges all mutual best pairs that reach the threshold and takes the averages of those that changed anew; false if there are none."""
+        n = len(self.label)
+        good = np.flatnonzero(self.sim >= self.threshold)
+        a, b = self.a[good], self.b[good]
+        rank = np.empty(len(good), np.int64)
+        rank[np.lexsort((_pair_hash(a, b), -self.sim[good]))] = np.arange(len(good))
+        best = np.full(n, len(good))
+        np.minimum.at(best, a, rank)
+        np.minimum.at(best, b, rank)
+        mutual = (best[a] == rank) & (best[b] == rank)
+        if not mutual.any():
+            return False
+        into, gone = a[mutual], b[mutual]
+        self.profile[into] += self.profile[gone]
+        self.known[into] += self.known[gone]
+        up = np.arange(n)
+        up[gone] = into
+        self.label = up[self.label]
+        changed = np.zeros(n, bool)
+        changed[into] = True
+        a, b = up[self.a], up[self.b]
+        keep = a != b
+        a, b, sim = np.minimum(a, b)[keep], np.maximum(a, b)[keep], self.sim[keep]
+        u, first = np.unique(a * n + b, return_index=True)
+        self.a, self.b, self.sim = u // n, u % n, sim[first]
+        again = changed[self.a] | changed[self.b]
+        self.sim[again] = self.similarity(self.a[again], self.b[again])
+        return True
+
+    def beside(self) -> bool:
+        """Compares clusters with a neighbour in common, each with the neighbour's first and the next one; false if none of the new pairs reaches the threshold."""
+        n = len(self.label)
+        x, y = np.concatenate([self.a, self.b]), np.concatenate([self.b, self.a])
+        o = np.lexsort((y, x))
+        x, y = x[o], y[o]
+        start = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+        first = y[np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))] if len(x) else y
+        p, q = np.concatenate([y[~start], y[~start]]), np.concatenate([first[~start], np.roll(y, 1)[~start]])
+        keep = p != q
+        u = np.unique(np.minimum(p, q)[keep] * n + np.maximum(p, q)[keep])
+        u = u[~np.isin(u, self.a * n + self.b)]
+        a, b = u // n, u % n
+        sim = self.similarity(a, b)
+        self.a, self.b, self.sim = np.concatenate([self.a, a]), np.concatenate([self.b, b]), np.concatenate([self.sim, sim])
+        return bool((sim >= self.threshold).any())
+
+    def run(self) -> np.ndarray:
+        """Cluster of each node: the smallest node in it."""
+        while self.merge_round() or self.beside():
+            pass
+        return self.label
+
+
+def _finish(top: int, threshold: float):
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        ids = np.sort(nodes["id"].to_numpy())
+        nodes = nodes.take(pa.array(np.argsort(nodes["id"].to_numpy())))
+        places, (profile,) = _dense(nodes, [""])
+        pos = places // (top + 1)
+        known = np.add.reduceat(profile, np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]]), axis=1)
+        label = _Task(profile, known, np.searchsorted(ids, edges["a"].to_numpy()), np.searchsorted(ids, edges["b"].to_numpy()), threshold).run()
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"id": ids[moved], "into": ids[label[moved]]})
+
+    return run
+
+
+def close_clusters(cells: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS, ends: tuple[int, int] | None = None, task_edges: int = TASK_EDGES) -> tuple[DataFrame, DataFrame]:
     """Clusters of records that are alike on average; returns what :func:`clusters` does.
 
     Average linkage in rounds over the sparse graph of alike records: all mutual best pairs of clusters are merged, then the averages of those that changed are taken anew, over all
     pairs of their records (unlike ones and ones without an edge too), from the clusters' profiles of states. Where no pair reaches the threshold any more, clusters that have a neighbour in common
     are compared, each with the first and the next one beside it; linkage ends when none of these reaches it either. A cluster is a row with one count per place and state, whatever its size.
+    Parts that no edge joins (the result of :func:`average_linkage` over alike pairs) don't touch each other: one with up to ``task_edges`` edges is finished in one task, a larger one by
+    rounds over all tasks, which are the same, until it is as small.
     """
     v, kinds = _kinds(cells, n, least_known, ends)
     top = (1 << n_planes(v.columns)) - 1
     threshold = 1 - most_share
     edges, stars = similarity_graph(kinds, n, least_known, most_share, blocks)
-    drop_stage(stars)
-    prof = stage(profiles(kinds, n, top))
-    e = stage(average_similarity(edges.select("a", "b"), prof, top))
-    drop_stage(edges)
+    parts = average_linkage(edges, _homes(stars), threshold)
+    part = F.coalesce("cluster", "a").alias("part")
+    e = stage(edges.select("a", "b").join(parts.withColumnRenamed("id", "a"), "a", "left").select("a", "b", part))
+    for o in (edges, stars):
+        drop_stage(o)
+    near = e.select(F.explode(F.array("a", "b")).alias("id"), "part").distinct()
+    prof = stage(profiles(kinds, n, top).join(near, "id"))
     labels: DataFrame | None = None
+    sims = False  # whether e has the averages: only rounds over all tasks need them
     while True:
-        good = e.where(F.col("sim") >= threshold)
-        best = best_pairs(good, F.col("sim"))
-        pairs = good.select("a", "b").join(best.select(F.col("id").alias("a"), F.col("best").alias("ta")), "a").join(best.select(F.col("id").alias("b"), F.col("best").alias("tb")), "b")
-        step = stage(pairs.where("ta = b and tb = a").select(F.col("b").alias("id"), F.col("a").alias("into")))
-        if step.isEmpty():
-            drop_stage(step)
-            more = stage(_beside(e, prof, top))
-            if more.where(F.col("sim") >= threshold).isEmpty():
-                break
-            wider = stage(e.unionByName(more))
-            for o in (e, more):
-                drop_stage(o)
-            e = wider
-            continue
+        small = e.groupBy("part").agg(F.count("*").alias("c")).where(F.col("c") <= task_edges).select("part")
+        step = stage(prof.join(small, "part", "left_semi").groupBy("part").cogroup(e.join(small, "part", "left_semi").select("a", "b", "part").groupBy("part")).applyInArrow(_finish(top, threshold), "id long, into long"))
         labels_new = relabel(labels, step)
-        prof_new = stage(merged_profiles(prof, step))
-        c = contracted(e, step.unionByName(step.select(F.col("into").alias("id"), "into")))
-        c = c.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.coalesce("ia", "ib")).alias("changed"), F.first("sim").alias("sim"))
-        c = stage(c)
-        nxt = stage(c.where("changed is null").select("a", "b", "sim").unionByName(average_similarity(c.where("changed is not null").select("a", "b"), prof_new, top)))
-        for o in [e, c, step, prof, *([labels] if labels is not None else [])]:
+        for o in [step, *([labels] if labels is not None else [])]:
             drop_stage(o)
-        e, prof, labels = nxt, prof_new, labels_new
-    for o in (e, prof, more):
+        labels = labels_new
+        big = stage(e.join(small, "part", "left_anti"))
+        drop_stage(e)
+        if big.isEmpty():
+            break
+        e = big
+        if not sims:
+            e, sims = stage(_with_sims(big, prof, top)), True
+            drop_stage(big)
+        e, prof, labels = _round(e, prof, labels, threshold, top)
+    for o in (big, prof):
         drop_stage(o)
-    merged = kinds.select("id", F.col("id").alias("cluster")) if labels is None else labels.select("id", F.col("into").alias("cluster"))
-    return _named(v, kinds, merged), v.select("name", *plane_columns(n, n_planes(v.columns)))
+    return _named(v, kinds, labels.select("id", F.col("into").alias("cluster"))), v.select("name", *plane_columns(n, n_planes(v.columns)))
+
+
+def _homes(stars: DataFrame) -> DataFrame:
+    homes = stars.groupBy("id").agg(F.min("leader").alias("home"))
+    return homes.join(homes.select(F.col("id").alias("home"), F.col("home").alias("higher")), "home", "left").select("id", F.coalesce("higher", "home").alias("home"))
+
+
+def _with_sims(pairs: DataFrame, prof: DataFrame, top: int) -> DataFrame:
+    return average_similarity(pairs.select("a", "b"), prof, top).join(pairs.select("a", "b", "part"), ["a", "b"])
+
+
+def _round(e: DataFrame, prof: DataFrame, labels: DataFrame, threshold: float, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round over all tasks: edges (a, b, sim, part), profiles and labels after it. A part without a pair that reaches the threshold, compared beside too, has no edges any more."""
+    good = e.where(F.col("sim") >= threshold)
+    best = best_pairs(good, F.col("sim"))
+    pairs = good.select("a", "b").join(best.select(F.col("id").alias("a"), F.col("best").alias("ta")), "a").join(best.select(F.col("id").alias("b"), F.col("best").alias("tb")), "b")
+    step = stage(pairs.where("ta = b and tb = a").select(F.col("b").alias("id"), F.col("a").alias("into")))
+    stuck = e.join(good.select("part").distinct(), "part", "left_anti")
+    more = stage(_beside(stuck, prof, top))
+    more_good = more.where(F.col("sim") >= threshold).select("part").distinct()
+    labels_new = relabel(labels, step)
+    width = merged_profiles(prof, step)
+    prof_new = stage(width.join(prof.select("id", "part"), "id"))
+    c = contracted(e.join(good.select("part").distinct(), "part", "left_semi"), step.unionByName(step.select(F.col("into").alias("id"), "into")))
+    c = stage(c.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.coalesce("ia", "ib")).alias("changed"), F.first("sim").alias("sim"), F.first("part").alias("part")))
+    cols = ["a", "b", "sim", "part"]
+    nxt = c.where("changed is null").select(*cols).unionByName(_with_sims(c.where("changed is not null"), prof_new, top).select(*cols))
+    nxt = stage(nxt.unionByName(stuck.unionByName(more.select(*stuck.columns)).join(more_good, "part", "left_semi").select(*cols)))
+    for o in (e, c, step, prof, labels, more):
+        drop_stage(o)
+    return nxt, prof_new, labels_new
 
 
 def _beside(e: DataFrame, prof: DataFrame, top: int) -> DataFrame:
-    """(a, b, sim) of clusters with a neighbour in common that weren't compared yet: each with the neighbour's first and with the next one."""
-    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """(a, b, sim, part) of clusters with a neighbour in common that weren't compared yet: each with the neighbour's first and with the next one."""
+    both = e.select("a", "b", "part").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "part"))
     first = both.groupBy("a").agg(F.min("b").alias("f"))
     w = Window.partitionBy("a", F.shiftright("b", 33)).orderBy("b")
-    x = both.withColumn("l", F.lag("b").over(w)).join(first, "a").select("b", F.explode(F.array("f", "l")).alias("o")).where("o is not null and b <> o")
-    x = x.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
-    return average_similarity(x.join(e.select("a", "b"), ["a", "b"], "left_anti"), prof, top)
+    x = both.withColumn("l", F.lag("b").over(w)).join(first, "a").select("b", "part", F.explode(F.array("f", "l")).alias("o")).where("o is not null and b <> o")
+    x = x.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b"), "part").distinct()
+    return _with_sims(x.join(e.select("a", "b"), ["a", "b"], "left_anti"), prof, top)
 
 
 def describe(members: DataFrame, planes: DataFrame, n: int, top: int = 3) -> DataFrame:

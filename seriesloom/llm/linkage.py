@@ -136,7 +136,8 @@ def _keyed(n: int, blocks: int):
                 t = pa.Table.from_batches([b.slice(lo, 2000)])
                 keys = block_keys(filled(states(t, n)), blocks)
                 ids, gaps = t["id"].to_numpy(), n - t["known"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, n)), pa.array(np.repeat(gaps, n).astype(np.int32))], ["key", "id", "gaps"])
+                place = np.tile(np.arange(n, dtype=np.int32), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, n)), pa.array(np.repeat(gaps, n).astype(np.int32)), pa.array(place)], ["key", "id", "gaps", "place"])
 
     return run
 
@@ -152,7 +153,7 @@ def compare(pairs: DataFrame, classes: DataFrame, n: int, least_known: int, most
 
 def similarity_graph(classes: DataFrame, n: int, least_known: int, most_share: float, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
     """Sparse graph (a, b, sim) whose components are those of all alike pairs that share a bucket, and the stars (id, leader) it was made from."""
-    key_type = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("gaps", T.IntegerType())])
+    key_type = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("gaps", T.IntegerType()), T.StructField("place", T.IntegerType())])
     rows = classes.mapInArrow(_keyed(n, blocks), key_type)
     reach = 2 * int(n * most_share)
     found: list[DataFrame] = []
@@ -160,7 +161,9 @@ def similarity_graph(classes: DataFrame, n: int, least_known: int, most_share: f
     held_back: list[DataFrame] = []
     while True:
         lead = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("gaps").alias("most_gaps"), F.count("*").alias("c")).where("c > 1").drop("c")
-        led = stage(rows.join(lead, "key").where("id <> leader"))
+        # a bucket is known by its first leader and its place, which take far less room than its hash
+        bucket = F.col("leader") * n + F.col("place") if "place" in rows.columns else F.col("key")
+        led = stage(rows.join(lead, "key").where("id <> leader").select(bucket.alias("key"), "id", "gaps", "leader", "most_gaps"))
         for o in old:
             drop_stage(o)
         seen = stage(compare(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), classes, n, least_known, most_share))

@@ -104,7 +104,8 @@ def score_candidates(points: DataFrame, candidates: DataFrame, series: str, leve
     j = levels.join(candidates, series).withColumn("_y", F.col(level) * F.col("scale")).withColumn("_r", F.bround("_y", 0)).withColumn("_d", F.abs(F.col("_y") - F.col("_r")))
     c, n = F.col("_c"), F.sum("_c")
     total, squares = F.sum(c * F.col("_d")), F.sum(c * F.col("_d") * F.col("_d"))
-    s = j.groupBy(series, "ordinal", "gap", "product", "k", "scale").agg(
+    s = j.groupBy(series, "ordinal").agg(
+        *[F.first(x).alias(x) for x in ("gap", "product", "k", "scale")],
         (F.sum(c * F.col("_r")) / n).alias("ploidy"), (F.sum(c * F.col("_y")) / n).alias("ploidy_continuous"), n.alias("n_bins"), (F.sum("_v") / F.nullif(F.sum(c * F.col("_r")), F.lit(0.0))).alias("rpc"),
         total.alias("error_seg_l1"), F.sqrt(squares).alias("error_seg_l2"), F.sqrt(F.greatest(squares - total * total / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))).alias("error_seg_sd"), F.percentile("_d", F.lit(0.5), c).alias("error_seg_median"),
     ).where(F.col("ploidy").between(low, high))

@@ -76,7 +76,7 @@ def source_totals(records: DataFrame, targets: DataFrame) -> tuple[list[dict], i
     per = records.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     total = records.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
     out = []
-    for r in targets.join(per, "source", "left").orderBy("source").collect():  # one row per source that has a target
+    for r in targets.select("source", "target_share", "max_repeats").join(per, "source", "left").orderBy("source").collect():  # one row per source that has a target
         tokens, n = r["tokens"] or 0, r["n"] or 0
         most = max(r["max_repeats"] if r["max_repeats"] is not None else 1, 0)
         quota = max(r["target_share"] or 0.0, 0.0) * total

@@ -202,7 +202,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_check(spark: SparkSession, d: str) -> DataFrame:
     """Whether the mix holds what it promises, for each target source: used more often than allowed, copies that occur twice, and whether it reaches its share to within its largest record or is used up."""
-    r, t = _mixable(spark, d), table(spark, d, "mix_targets")
+    r, t = _mixable(spark, d), table(spark, d, "mix_targets").select("source", "target_share", "max_repeats")
     x = stage(mixing.mix(r, t))
     total = r.agg(F.sum("tokens").alias("all"))  # one row
     there = r.groupBy("source").agg(F.sum("tokens").alias("there"), F.max("tokens").alias("largest"))

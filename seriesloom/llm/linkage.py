@@ -30,7 +30,7 @@ HOME_EDGES = 400_000
 
 
 def _words(n: int) -> int:
-    return -(-n // 64)
+    return max(-(-n // 64), 1)
 
 
 def plane_columns(n: int, planes: int) -> list[str]:

@@ -126,11 +126,11 @@ def pieces(items: DataFrame, packs: DataFrame) -> DataFrame:
     """Each item once per container kind: whole, or where it is larger than the capacity, in full pieces and a rest.
 
     items: (item, tokens); packs: (pack_name, capacity_tokens), small. Returns pack_name, capacity, item, piece_no, tokens.
-    Items without tokens (null counts as 0) stay as one piece of 0 tokens.
+    Items without tokens (null counts as 0) stay as one piece of 0 tokens; without any kind of container there are no pieces.
     """
     p = packs.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity"))
     kinds = [(r["pack_name"], r["capacity"]) for r in p.collect()]  # one row per kind of container
-    each = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for n, c in kinds])
+    each = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for n, c in kinds]).cast("array<struct<pack_name:string,capacity:bigint>>")
     x = items.select("item", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("all"), F.explode(each).alias("k")).select("item", "all", "k.*")
     n = F.greatest(F.ceil(F.col("all") / F.col("capacity")), F.lit(1)).cast("long")
     x = x.select("pack_name", "capacity", "item", "all", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("piece_no"))

@@ -322,7 +322,7 @@ def gc_trends(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(None)
 def phase_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Random forest for S phase from the measures of a cell: probability for each annotated cell, from the forest that was fitted on the other half of the cells."""
+    """Random forest for S phase from the measures of a cell: probability for each annotated cell, from the forest that was fitted on the other half of the cells; null where that half is empty."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -335,7 +335,12 @@ def phase_forest(spark: SparkSession, d: str) -> DataFrame:
     x = stage(x.select("cell", "label", *names, F.pmod(F.xxhash64("cell"), F.lit(2)).cast("int").alias("half")))
     out = None
     for half in (0, 1):
-        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), RandomForestClassifier(numTrees=40, maxDepth=5, seed=11)]).fit(x.where(F.col("half") != half))
+        other = x.where(F.col("half") != half)
+        if other.isEmpty():  # nothing to fit on: no probability
+            part = x.where(F.col("half") == half).select("cell", "label", "half", F.lit(None).cast("double").alias("p_s"))
+            out = part if out is None else out.unionByName(part)
+            continue
+        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), RandomForestClassifier(numTrees=40, maxDepth=5, seed=11)]).fit(other)
         part = model.transform(x.where(F.col("half") == half)).select("cell", "label", "half", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias("p_s"))
         out = part if out is None else out.unionByName(part)
     return out

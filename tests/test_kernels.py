@@ -42,6 +42,16 @@ def test_pelt_short_series():
             assert (ends[-1] if n else ends) == (n if n else [])
 
 
+def test_segments_without_a_corrected_dispersion_are_no_way():
+    for y in ([0, 5, 7, 9, 8, 7], [0, 5, 7, 9, 30, 28, 0, 0, 0, 9, 0, 0], [0, 9, 0, 0, 0, 0, 0, 8]):
+        y = np.array(y, float)
+        cost = C.cost_function(y, "nb_bcmm", mbic=True)
+        ends = C.pelt(len(y), cost, 2.0)
+        assert cost(np.array([0]), 2)[0] == np.inf and ends[-1] == len(y)
+        assert np.isfinite([cost(np.array([s]), e)[0] for s, e in zip([0, *ends[:-1]], ends, strict=True)]).all()
+    assert C.pelt(4, C.cost_function(np.array([0.0, 9, 0, 0]), "nb_bcmm"), 2.0) == [4]
+
+
 def test_crops_contains_the_single_solutions():
     rng = np.random.default_rng(5)
     y = rng.poisson(np.repeat([5, 30, 12, 50], 15)).astype(float)

@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from seriesloom import util
 from seriesloom.operators import changepoint as C
 from seriesloom.operators import costs, fits, scaling, states
 
@@ -52,6 +53,33 @@ def test_segments_without_a_corrected_dispersion_are_no_way():
     assert C.pelt(4, C.cost_function(np.array([0.0, 9, 0, 0]), "nb_bcmm"), 2.0) == [4]
 
 
+@pytest.mark.parametrize("kind", ["normal", "poisson", "nb_mm", "nb_bcmm", "nb_alpha", "nb_grid", "normal_mean", "np"])
+def test_costs_of_all_segments_and_solutions_in_step_equal_those_one_by_one(kind):
+    rng = np.random.default_rng(17)
+    ys = [rng.poisson(np.repeat(rng.choice([0, 0.3, 4, 60, 900], 5), 9)[: int(rng.integers(4, 45))]).astype(float) for _ in range(6)] + [np.zeros(6), np.full(9, 40.0)]
+    size = max(map(len, ys)) + 1
+    many = np.full((len(ys), size, size), np.inf)
+    for k, y in enumerate(ys):
+        many[k, : len(y) + 1, : len(y) + 1] = own = C.pair_costs(y, kind)
+        cost = C.cost_function(y, kind)
+        for t in range(2, len(y) + 1):
+            assert own[t, : t - 1] == pytest.approx(cost(np.arange(t - 1), t), rel=1e-9, abs=1e-7)
+    n, beta = np.array([len(y) for y in ys]), np.array([5.0 + len(y) / 9 for y in ys])
+    assert C.pelt_many(many, n, beta) == [C.pelt(len(y), C.cost_function(y, kind), b) for y, b in zip(ys, beta, strict=True)]
+    assert C.crops_many(many, n, beta / 2, beta) == [C.crops(len(y), C.cost_function(y, kind), b / 2, b) for y, b in zip(ys, beta, strict=True)]
+
+
+def test_series_across_batches_stay_whole(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame([(None if k == 3 else f"s{k}", i) for k, n in enumerate((1, 30, 6, 8, 7, 1, 1, 15)) for i in range(n)], "s string, i int")
+        run = lambda x, at: x.iloc[at].assign(i=np.diff([*at, len(x)]))
+        got = util.map_series(df, ["s"], ["i"], run, "s string, i int").collect()
+        assert sorted((r.s or "", r.i) for r in got) == sorted((("" if k == 3 else f"s{k}"), n) for k, n in enumerate((1, 30, 6, 8, 7, 1, 1, 15)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_crops_contains_the_single_solutions():
     rng = np.random.default_rng(5)
     y = rng.poisson(np.repeat([5, 30, 12, 50], 15)).astype(float)

@@ -185,6 +185,19 @@ def test_counts_of_long_series_equal_direct_sums():
     assert t.rising(starts, end, c, -1 + 1e-15) == pytest.approx(want, rel=1e-9, abs=1e-9)
 
 
+def test_event_probabilities_are_what_the_draws_estimate():
+    rng = np.random.default_rng(6)
+    for mean_out in (0.8, 12.0, 240.0):
+        events = [(rng.poisson(m, n).astype(float), m * 0.9 if m == mean_out else m) for n in (1, 2, 5, 20, 21) for m in (mean_out * 0.6, mean_out, mean_out * 1.7)] + [(np.zeros(3), mean_out * 2)]
+        drawn = states.event_p_values(events, mean_out, 0.02, 3)
+        y, m = [e[0] for e in events], np.array([e[1] for e in events])
+        got = states.event_probabilities([len(v) for v in y], [v.sum() for v in y], m, np.full(len(y), mean_out), 0.02)
+        assert got == pytest.approx(drawn, abs=0.02)
+    at = np.arange(900.0)
+    prob = np.exp(states.nb_log(at, np.full(900, 6.0), np.full(900, 0.02)))
+    assert states.beta_share(50.0, np.array([4.0, 12.0, 200.0]), 50 / 56.0) == pytest.approx([prob[:4].sum(), prob[:12].sum(), 1.0], rel=1e-9)
+
+
 def test_a_fit_of_states_is_no_worse_than_a_fine_grid():
     rng = np.random.default_rng(8)
     truth = np.repeat([2, 3, 4, 2, 0, 3], 25)

@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seriesloom.util import spread_by
+from seriesloom.util import map_series
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log-gamma for positive x: recurrence to 6 and the asymptotic series."""
-    x = np.asarray(x, float).copy()
-    out = np.zeros_like(x)
-    for _ in range(6):
-        small = x < 6
-        out[small] -= 1 / x[small]
-        x[small] += 1
+    """Derivative of log-gamma for positive x: recurrence by 6 and the asymptotic series."""
+    x = np.asarray(x, float)
+    out = -1 / x
+    for k in range(1, 6):
+        out -= 1 / (x + k)
+    x = x + 6
     f = 1 / (x * x)
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
 
@@ -30,36 +29,72 @@ def tied_mixture(x: np.ndarray, components: int = 16, rounds: int = 40, starts:
 
     Returns weights, means, variances and xi. Priors: stick weights with a gamma hyperprior, mean precision 0.1, precisions gamma(1, 1).
     """
-    k = np.arange(components, dtype=float)
-    x, times = np.unique(x, return_counts=True)
-    best = None
-    for xi in starts:
-        g1, g2 = np.ones(components), np.ones(components)
-        w1, w2 = float(components), 1.0
-        a, b = np.full(components, 2.0), np.full(components, 0.5)
-        bound = -np.inf
-        for _ in range(rounds):
-            stick = digamma(g1) - digamma(g1 + g2)
-            rest = digamma(g2) - digamma(g1 + g2)
-            prior = stick + np.r_[0, np.cumsum(rest)[:-1]]
-            log_r = prior + 0.5 * (digamma(a) - np.log(b)) - 0.5 * math.log(2 * math.pi) - 0.5 * (a / b) * (x[:, None] - xi * k) ** 2
-            top = log_r.max(1, keepdims=True)
-            norm = top + np.log(np.exp(log_r - top).sum(1, keepdims=True))
-            r = np.exp(log_r - norm) * times[:, None]
-            n = r.sum(0)
-            g1, g2 = 1 + n, w1 / w2 + n.sum() - np.cumsum(n)
-            w1, w2 = 1 + components - 1, 1 - np.sum((digamma(g2) - digamma(g1 + g2))[:-1])
-            tau = a / b
-            xi = ((r * k * tau * x[:, None]).sum() + 0.1 * (k * k).sum()) / (0.1 * (k * k).sum() + (r * k * k * tau).sum())
-            a, b = 1 + 0.5 * n, 1 + 0.5 * (r * (x[:, None] - xi * k) ** 2).sum(0) + 0.05 * (xi * k - k) ** 2
-            before, bound = bound, float((norm[:, 0] * times).sum())
-            if abs(bound - before) < 1e-6 * abs(bound):
+    return tied_mixtures([x], components, rounds, starts)[0]
+
+
+def tied_mixtures(xs: list[np.ndarray], components: int = 16, rounds: int = 40, starts: tuple[float, ...] = (0.75, 1.0)) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """:func:`tied_mixture` of many series in step, those with about as many distinct values together."""
+    own = [np.unique(x, return_counts=True) for x in xs]
+    left = sorted(range(len(xs)), key=lambda i: len(own[i][0]))
+    out: list = [None] * len(xs)
+    while left:
+        size = max(len(own[left[-1]][0]), 1)
+        most = max(1, 60_000 // (size * components))
+        part, left = left[-most:], left[:-most]
+        x, times = np.zeros((len(part), size)), np.zeros((len(part), size))
+        for row, i in enumerate(part):
+            x[row, : len(own[i][0])], times[row, : len(own[i][0])] = own[i]
+        solved = [_mixtures(x, times, components, rounds, xi) for xi in starts]
+        for row, i in enumerate(part):
+            best = 0
+            for s in range(1, len(starts)):
+                if solved[s][0][row] > solved[best][0][row]:
+                    best = s
+            _, w, m, v, xi = (a[row] for a in solved[best])
+            out[i] = w, m, v, float(xi)
+    return out
+
+
+def _mixtures(x: np.ndarray, times: np.ndarray, components: int, rounds: int, start: float) -> tuple[np.ndarray, ...]:
+    """Bounds, weights, means, variances and xi of (series, distinct values) with their numbers (0 beyond a series' own), from one starting xi; a series that has settled leaves the rounds."""
+    k, b_all = np.arange(components, dtype=float), len(x)
+    bounds, weights, means, variances, xis = np.zeros(b_all), np.zeros((b_all, components)), np.zeros((b_all, components)), np.zeros((b_all, components)), np.zeros(b_all)
+    at = np.arange(b_all)
+    g1, g2, a, b = np.ones((b_all, components)), np.ones((b_all, components)), np.full((b_all, components), 2.0), np.full((b_all, components), 0.5)
+    w1, w2, xi, bound = np.full(b_all, float(components)), np.ones(b_all), np.full(b_all, start), np.full(b_all, -np.inf)
+    both = digamma(g1 + g2)
+    rest = digamma(g2) - both
+    for step in range(rounds):
+        prior = digamma(g1) - both
+        prior[:, 1:] += np.cumsum(rest, 1)[:, :-1]
+        tau = a / b
+        far = x[:, :, None] - (xi[:, None] * k)[:, None, :]
+        log_r = (prior + 0.5 * (digamma(a) - np.log(b)) - 0.5 * math.log(2 * math.pi))[:, None, :] - (0.5 * tau)[:, None, :] * far * far
+        top = log_r.max(2, keepdims=True)
+        r = np.exp(log_r - top)
+        total = r.sum(2, keepdims=True)
+        r *= times[:, :, None] / total
+        n = r.sum(1)
+        g1, g2 = 1 + n, (w1 / w2)[:, None] + n.sum(1, keepdims=True) - np.cumsum(n, 1)
+        both = digamma(g1 + g2)
+        rest = digamma(g2) - both
+        w1, w2 = np.full(len(x), float(components)), 1 - rest[:, :-1].sum(1)
+        rx = np.einsum("buk,bu->bk", r, x)
+        xi = ((rx * k * tau).sum(1) + 0.1 * (k * k).sum()) / (0.1 * (k * k).sum() + (n * k * k * tau).sum(1))
+        far = x[:, :, None] - (xi[:, None] * k)[:, None, :]
+        a, b = 1 + 0.5 * n, 1 + 0.5 * (r * far * far).sum(1) + 0.05 * (xi[:, None] * k - k) ** 2
+        before, bound = bound, ((top + np.log(total))[:, :, 0] * times).sum(1)
+        done = np.abs(bound - before) < 1e-6 * np.abs(bound) if step < rounds - 1 else np.ones(len(x), bool)
+        if done.any():
+            v = g1[done] / (g1[done] + g2[done])
+            w = v * np.concatenate([np.ones((len(v), 1)), np.cumprod(1 - v, 1)[:, :-1]], 1)
+            own = at[done]
+            bounds[own], weights[own], means[own], variances[own], xis[own] = bound[done], w / w.sum(1, keepdims=True), xi[done, None] * k, b[done] / a[done], xi[done]
+            go = ~done
+            at, x, times, g1, g2, a, b, w1, w2, xi, bound, both, rest = (q[go] for q in (at, x, times, g1, g2, a, b, w1, w2, xi, bound, both, rest))
+            if not len(at):
                 break
-        v = g1 / (g1 + g2)
-        weights = v * np.r_[1, np.cumprod(1 - v)[:-1]]
-        if best is None or bound > best[0]:
-            best = (bound, weights / weights.sum(), xi * k, b / a, xi)
-    return best[1:]
+    return bounds, weights, means, variances, xis
 
 
 def mixture_fit(df: DataFrame, series: str, value: str, components: int = 16) -> DataFrame:
@@ -67,15 +102,16 @@ def mixture_fit(df: DataFrame, series: str, value: str, components: int = 16) ->
     without positive values get no row."""
     kind = df.schema[series].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna().to_numpy(float)
-        if not len(x) or x.max() <= 0:
-            return pd.DataFrame(columns=[series, "xi", "prescale", "weights", "means", "variances"], dtype=object)
-        pre = (components - 1) / x.max()
-        w, m, v, xi = tied_mixture(np.sort(x) * pre, components)
-        return pd.DataFrame({series: [pdf[series].iloc[0]], "xi": [xi], "prescale": [pre], "weights": [w.tolist()], "means": [m.tolist()], "variances": [v.tolist()]})
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        values = rows[value].to_numpy(float, na_value=np.nan)
+        xs = [v[~np.isnan(v)] for v in np.split(values, first[1:])]
+        use = [i for i, x in enumerate(xs) if len(x) and x.max() > 0]
+        pre = [(components - 1) / xs[i].max() for i in use]
+        fits = tied_mixtures([xs[i] * p for i, p in zip(use, pre, strict=True)], components)
+        part = lambda j: [f[j].tolist() for f in fits]
+        return pd.DataFrame({series: rows[series].iloc[first[use]].tolist(), "xi": [f[3] for f in fits], "prescale": pre, "weights": part(0), "means": part(1), "variances": part(2)})
 
-    return spread_by(df.select(series, value), [series]).groupBy(series).applyInPandas(run, f"{series} {kind}, xi double, prescale double, weights array<double>, means array<double>, variances array<double>")
+    return map_series(df.select(series, value), [series], [], run, f"{series} {kind}, xi double, prescale double, weights array<double>, means array<double>, variances array<double>")
 
 
 def candidate_scales(levels: DataFrame, series: str, mean: str, weight: str, least_weight: float = 0.05, least_product: float = 0.02, most: int = 9) -> DataFrame:

@@ -144,6 +144,14 @@ def test_mixture_finds_the_spacing_and_fits_recover_parameters():
     assert scaling.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649, abs=1e-8)
 
 
+def test_mixtures_in_step_equal_those_one_by_one():
+    rng = np.random.default_rng(8)
+    xs = [np.round(rng.normal(rng.choice([1, 2, 5, 9], int(n)), 0.1), 2) for n in rng.integers(1, 90, 12)] + [np.array([3.0]), np.full(40, 15.0)]
+    for x, (w, m, v, xi) in zip(xs, scaling.tied_mixtures(xs), strict=True):
+        for got, want in zip((w, m, v, xi), scaling.tied_mixture(x), strict=True):
+            assert got == pytest.approx(want, rel=1e-7, abs=1e-9)
+
+
 def test_bias_correction_removes_the_covariate():
     rng = np.random.default_rng(9)
     gc = rng.random(600)

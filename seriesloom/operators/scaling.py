@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,7 @@ def _mixtures(x: np.ndarray, times: np.ndarray, components: int, rounds: int, st
     return bounds, weights, means, variances, xis
 
 
-def mixture_fit(df: DataFrame, series: str, value: str, components: int = 16) -> DataFrame:
+def mixture_fit(df: DataFrame, series: str, value: str, components: int = 16, dealt: bool = False) -> DataFrame:
     """Mixture of each series: series, xi, prescale, and arrays weights, means, variances. Values are scaled so that the largest is ``components`` - 1; series
     without positive values get no row."""
     kind = df.schema[series].dataType.simpleString()
@@ -111,7 +112,7 @@ def mixture_fit(df: DataFrame, series: str, value: str, components: int = 16) ->
         part = lambda j: [f[j].tolist() for f in fits]
         return pd.DataFrame({series: rows[series].iloc[first[use]].tolist(), "xi": [f[3] for f in fits], "prescale": pre, "weights": part(0), "means": part(1), "variances": part(2)})
 
-    return map_series(df.select(series, value), [series], [], run, f"{series} {kind}, xi double, prescale double, weights array<double>, means array<double>, variances array<double>")
+    return map_series(df.select(series, value), [series], [], run, f"{series} {kind}, xi double, prescale double, weights array<double>, means array<double>, variances array<double>", dealt)
 
 
 def candidate_scales(levels: DataFrame, series: str, mean: str, weight: str, least_weight: float = 0.05, least_product: float = 0.02, most: int = 9) -> DataFrame:
@@ -133,23 +134,43 @@ def candidate_scales(levels: DataFrame, series: str, mean: str, weight: str, lea
 def score_candidates(points: DataFrame, candidates: DataFrame, series: str, level: str, value: str, low: float, high: float, all_errors: bool = False) -> DataFrame:
     """Errors of each candidate whose mean rounded level lies in [low, high]: rounding errors of the levels (seg) and, with ``all_errors``, distances of the values (all) from the whole numbers.
 
-    points has one row per position with its segment level and raw value. Levels are counted before they meet the candidates, so that join has a row per level; only the distances of the values need the positions.
+    points has one row per position with its segment level and raw value. Positions and candidates meet as one row for each series, so no row is made for each position and candidate.
     """
     known = points.where(F.col(level).isNotNull() & F.col(value).isNotNull())
-    levels = known.groupBy(series, level).agg(F.count("*").alias("_c"), F.sum(value).alias("_v"))
-    j = levels.join(candidates, series).withColumn("_y", F.col(level) * F.col("scale")).withColumn("_r", F.bround("_y", 0)).withColumn("_d", F.abs(F.col("_y") - F.col("_r")))
-    c, n = F.col("_c"), F.sum("_c")
-    total, squares = F.sum(c * F.col("_d")), F.sum(c * F.col("_d") * F.col("_d"))
-    s = j.groupBy(series, "ordinal").agg(
-        *[F.first(x).alias(x) for x in ("gap", "product", "k", "scale")],
-        (F.sum(c * F.col("_r")) / n).alias("ploidy"), (F.sum(c * F.col("_y")) / n).alias("ploidy_continuous"), n.alias("n_bins"), (F.sum("_v") / F.nullif(F.sum(c * F.col("_r")), F.lit(0.0))).alias("rpc"),
-        total.alias("error_seg_l1"), F.sqrt(squares).alias("error_seg_l2"), F.sqrt(F.greatest(squares - total * total / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))).alias("error_seg_sd"), F.percentile("_d", F.lit(0.5), c).alias("error_seg_median"),
-    ).where(F.col("ploidy").between(low, high))
-    if not all_errors:
-        return s
-    e = known.join(s.select(series, "ordinal", "scale"), series).withColumn("_e", F.abs(F.col(value) * F.col("scale") - F.bround(F.col(level) * F.col("scale"), 0)))
-    a = e.groupBy(series, "ordinal").agg(F.sum("_e").alias("error_all_l1"), F.sqrt(F.sum(F.col("_e") * F.col("_e"))).alias("error_all_l2"), F.stddev_samp("_e").alias("error_all_sd"), F.median("_e").alias("error_all_median"))
-    return s.join(a, [series, "ordinal"])
+    at = known.groupBy(series).agg(F.collect_list(F.col(level).cast("double")).alias("_l"), F.collect_list(F.col(value).cast("double")).alias("_v"))
+    carried = ["ordinal", "gap", "product", "k", "scale"]
+    own = candidates.groupBy(series).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in carried])).alias("_c"))
+    own = own.select(series, *[F.col(f"_c.{c}").alias(f"_{c}") for c in carried])
+    made = ["ploidy", "ploidy_continuous", "n_bins", "rpc", *[f"error_seg_{k}" for k in ("l1", "l2", "sd", "median")], *[f"error_all_{k}" for k in ("l1", "l2", "sd", "median") if all_errors]]
+
+    def errors(e: np.ndarray) -> list[np.ndarray]:
+        n = e.shape[1]
+        half = np.partition(e, ((n - 1) // 2, n // 2), axis=1)
+        return [e.sum(1), np.sqrt((e * e).sum(1)), e.std(axis=1, ddof=1) if n > 1 else np.full(len(e), np.nan), (half[:, (n - 1) // 2] + half[:, n // 2]) / 2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            names, parts = [], []
+            for name, lev, val, *own in zip(b[series], b["_l"], b["_v"], *[b[f"_{c}"] for c in carried], strict=True):
+                c, lev, val = np.stack(own, 1), np.asarray(lev), np.asarray(val)
+                y = c[:, 4:] * lev
+                r = np.rint(y)
+                total, n = r.sum(1), len(lev)
+                keep = (total / n >= low) & (total / n <= high)
+                c, y, r, total = c[keep], y[keep], r[keep], total[keep]
+                if not len(c):
+                    continue
+                rpc = np.divide(val.sum(), total, out=np.full(len(c), np.nan), where=total != 0)
+                parts.append(np.column_stack([c, total / n, y.sum(1) / n, np.full(len(c), float(n)), rpc, *errors(np.abs(y - r)), *(errors(np.abs(c[:, 4:] * val - r)) if all_errors else [])]))
+                names += [name] * len(c)
+            if names:
+                x = np.concatenate(parts)
+                yield pd.DataFrame({series: names} | {c: x[:, i] for i, c in enumerate([*carried, *made])})
+
+    kind = points.schema[series].dataType.simpleString()
+    x = at.join(own, series).mapInPandas(run, f"{series} {kind}, " + ", ".join(f"{c} double" for c in [*carried, *made]))
+    whole = {"ordinal": "int", "k": "int", "n_bins": "bigint"}
+    return x.select(series, *[F.col(c).cast(whole[c]).alias(c) if c in whole else F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in [*carried, *made]])
 
 
 def choose(candidates: DataFrame, series: str, error: str, residual: str | None = None, tolerance: float = 0.25) -> DataFrame:

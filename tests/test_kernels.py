@@ -144,6 +144,21 @@ def test_mixture_finds_the_spacing_and_fits_recover_parameters():
     assert scaling.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649, abs=1e-8)
 
 
+def test_errors_of_candidates_without_a_row_for_each_position_and_candidate(spark):
+    rng = np.random.default_rng(4)
+    pts = [(s, float(rng.choice([40, 61, 80])), float(rng.integers(20, 90))) for s in ("a", "b") for _ in range(31)] + [("a", None, 5.0), ("c", 9.0, 9.0)]
+    cand = [(s, i, 20.0, 0.1, i, i / 20) for s in ("a", "b", "d") for i in (1, 2, 3)]
+    df = scaling.score_candidates(spark.createDataFrame(pts, "s string, l double, v double"), spark.createDataFrame(cand, "s string, ordinal int, gap double, product double, k int, scale double"), "s", "l", "v", 1.1, 8, True)
+    assert "MapInPandas" in df._jdf.queryExecution().toString()
+    got = {(r.s, r.ordinal): r for r in df.collect()}
+    assert got.keys() == {(s, i) for s in ("a", "b") for i in (1, 2, 3) if 1.1 <= np.rint(np.array([p[1] for p in pts if p[0] == s and p[1]]) * i / 20).mean() <= 8}
+    for (s, i), r in got.items():
+        lev, val = (np.array([p[c] for p in pts if p[0] == s and p[1] is not None]) for c in (1, 2))
+        seg, every = np.abs(lev * i / 20 - np.rint(lev * i / 20)), np.abs(val * i / 20 - np.rint(lev * i / 20))
+        want = (31, val.sum() / np.rint(lev * i / 20).sum(), seg.sum(), np.median(seg), seg.std(ddof=1), every.sum(), np.median(every), np.sqrt((every**2).sum()))
+        assert (r.n_bins, r.rpc, r.error_seg_l1, r.error_seg_median, r.error_seg_sd, r.error_all_l1, r.error_all_median, r.error_all_l2) == pytest.approx(want)
+
+
 def test_mixtures_in_step_equal_those_one_by_one():
     rng = np.random.default_rng(8)
     xs = [np.round(rng.normal(rng.choice([1, 2, 5, 9], int(n)), 0.1), 2) for n in rng.integers(1, 90, 12)] + [np.array([3.0]), np.full(40, 15.0)]

@@ -240,6 +240,23 @@ def test_a_fit_of_states_is_no_worse_than_a_fine_grid():
     assert many == pytest.approx([states.log_likelihood(states.emissions(y, 7, r, 0.3, 0.02, 0.02), log_a) for r in (9.0, 11.0)])
 
 
+def test_states_of_series_in_step_equal_those_one_by_one():
+    rng = np.random.default_rng(21)
+    ys, borders, rpcs = [], [], []
+    for n in (10, 33, 60, 61, 120):
+        truth = np.repeat(rng.choice([0, 1, 2, 3, 4], 12), 10)[:n]
+        ys.append(rng.poisson(rng.gamma(50, np.where(truth == 0, 0.4, 11.0 * truth) / 50)).astype(float))
+        borders.append(rng.random(n - 1) < 0.1)
+        rpcs.append(float(rng.uniform(9, 12)))
+    many = states.Many(ys, borders, 9, 0.01)
+    fitted = many.fit(np.array(rpcs))
+    for y, b, r, got, (path, prob) in zip(ys, borders, rpcs, fitted, many.decoded(fitted), strict=True):
+        assert got[4] == pytest.approx(states.fit(y, b, 9, r)[4], abs=1e-3)
+        log_p, log_a = states.emissions(y, 9, *got[:4]), states.steps(len(y), 9, 0.01, b)
+        assert (path == states.viterbi(log_p, log_a)).all()
+        assert prob == pytest.approx(states.posterior(log_p, log_a)[0][np.arange(len(y)), path], abs=1e-8)
+
+
 def test_trends_and_their_partial_forms(spark):
     x = np.arange(30.0)
     assert fits.partial_mann_kendall(x, np.r_[x[15:], x[:15]]) > 5 and abs(fits.partial_mann_kendall(x, x)) < 1e-9

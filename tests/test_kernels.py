@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -69,6 +70,19 @@ def test_costs_of_all_segments_and_solutions_in_step_equal_those_one_by_one(kind
     assert C.crops_many(many, n, beta / 2, beta) == [C.crops(len(y), C.cost_function(y, kind), b / 2, b) for y, b in zip(ys, beta, strict=True)]
 
 
+@pytest.mark.parametrize("kind", ["nb_mm", "nb_bcmm"])
+def test_costs_of_all_segments_hold_no_row_of_terms_for_each(kind):
+    y = np.random.default_rng(2).negative_binomial(20, 0.1, 120).astype(float)
+    C.pair_costs(y, kind)  # builds the tables of the worker
+    tracemalloc.start()
+    own = C.pair_costs(y, kind)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * 8 * len(y) * (len(y) + 1) / 2
+    cost = C.cost_function(y, kind)
+    assert all(own[t, : t - 1] == pytest.approx(cost(np.arange(t - 1), t), rel=1e-9, abs=1e-7) for t in (2, 50, 120))
+
+
 def test_series_across_batches_stay_whole(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:

@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from seriesloom.llm import mixing, packing, quantiles, residue
 from seriesloom.llm.ranks import positions
 
@@ -144,6 +146,20 @@ def test_talk_and_markup_are_not(text):
     assert not any(residue.spans(s) for s in residue.sentences(text))
 
 
+def test_fit_holds_every_window_of_every_document(spark):
+    texts = [None, "", *[f"The {i}th speaker said a number of things about item {i % 7}, and went on for {i} minutes of the sitting. Then nothing more." for i in range(700)], "Error 404: Not Found", "Dear {{ name }}, welcome."]
+    df = spark.createDataFrame([(t, f"h{i % 23}") for i, t in enumerate(texts)], "text string, host string")
+    got = [residue.Packed(bytes(r.x)) for r in residue.packed(df, "text", "host").collect()]
+    t = residue.Tokenized([r.text for r in df.where((residue.fold(F.col("host")) == 2) & F.col("text").isNotNull()).collect()])
+    w = np.random.default_rng(3).normal(size=1 << residue.BITS)
+    assert sum(len(p.label) for p in got) == len(t.a) and sum(p.label.sum() for p in got) == residue.labelled(t)[0].sum() > 0
+    odds = np.sort(np.concatenate([p.scores(w) for p in got]))
+    assert 1 / (1 + np.exp(-np.clip(odds, -30, 30))) == pytest.approx(np.sort(t.probability(w, 0.0)), abs=1e-9)
+    d, sums = np.random.default_rng(4).normal(size=len(got[0].label)), np.zeros(1 << residue.BITS)
+    got[0].add(d, sums)
+    assert sums @ w == pytest.approx(d @ got[0].scores(w))
+
+
 def test_classifier_finds_residue_in_unseen_hosts(spark):
     rng = random.Random(2)
     plain = ["The costs of the tram rose by {} percent.", "I thank the rapporteur, whose work helped the tenant in {}.", "Will the government review the bridge toll {}, yes or no?", "La séance est reprise à {} heures.", "Wir werden die Hafenabgabe {} kürzen."]
